@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from bindery.llm import quality
+from bindery.llm import linededup, quality, secrets
 
 QUERIES = {
+    "op7_line_dedup": linededup.op7_line_dedup,
+    "op9_secret_scans": secrets.op9_secret_scans,
     "op1_quality_rules": quality.op1_quality_rules,
 }
 
 ORACLES = {
+    "op7_line_dedup": linededup.ORACLE,
+    "op9_secret_scans": secrets.ORACLE,
     "op1_quality_rules": quality.ORACLE,
 }
