@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from bindery.llm import linededup, quality, secrets
+from bindery.llm import linededup, mixing, quality, secrets
 
 QUERIES = {
+    "op4_source_mix": mixing.op4_source_mix,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op1_quality_rules": quality.op1_quality_rules,
 }
 
 ORACLES = {
+    "op4_source_mix": mixing.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op1_quality_rules": quality.ORACLE,
