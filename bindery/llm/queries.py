@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import linededup, mixing, quality, secrets
+from bindery.llm import licenses, linededup, mixing, quality, secrets
 
 QUERIES = {
+    "op10_license_scans": licenses.op10_license_scans,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_license_scans": licenses.ORACLE,
     "op4_source_mix": mixing.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op9_secret_scans": secrets.ORACLE,

@@ -13,6 +13,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once a row.
+
+    The optimizer may put an expression in place of its name, also inside a lambda, where it
+    would run for every element; a lambda's own variable is never replaced.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN, -1), "")
