@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, quality, secrets
+from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash
 
 QUERIES = {
+    "op8_simhash": simhash.op8_simhash,
     "op10_license_scans": licenses.op10_license_scans,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_line_dedup": linededup.op7_line_dedup,
