@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash
+from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk
 
 QUERIES = {
+    "op2_exact_topk": topk.op2_exact_topk,
     "op8_simhash": simhash.op8_simhash,
     "op10_license_scans": licenses.op10_license_scans,
     "op4_source_mix": mixing.op4_source_mix,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_exact_topk": topk.ORACLE,
     "op10_license_scans": licenses.ORACLE,
     "op4_source_mix": mixing.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
