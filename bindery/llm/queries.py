@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk
+from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op2_exact_topk": topk.op2_exact_topk,
     "op8_simhash": simhash.op8_simhash,
     "op10_license_scans": licenses.op10_license_scans,
