@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk, toxicity
+from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk, toxicity, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op2_exact_topk": topk.op2_exact_topk,
     "op8_simhash": simhash.op8_simhash,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_warc": warc.ORACLE,
     "op2_exact_topk": topk.ORACLE,
     "op10_license_scans": licenses.ORACLE,
     "op4_source_mix": mixing.ORACLE,
