@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, quality, secrets, simhash, topk, toxicity, warc
+from bindery.llm import licenses, linededup, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op2_exact_topk": topk.op2_exact_topk,
