@@ -93,7 +93,7 @@ def mark(rows: DataFrame) -> DataFrame:
 def genres_to_add(own: Column, wanted: Column) -> Column:
     """Genres that the book does not carry in any case, each once, in order."""
     taken = F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda g: X.casefold(F.trim(g)))
-    clean = F.filter(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), F.trim), lambda g: g != "")
+    clean = F.filter(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), lambda g: F.trim(g)), lambda g: g != "")
     fresh = F.filter(clean, lambda g: ~F.array_contains(taken, X.casefold(g)))
     folded = F.transform(fresh, X.casefold)
     return F.filter(fresh, lambda g, i: F.array_position(folded, X.casefold(g)) == i + 1)
