@@ -18,13 +18,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SIGHTINGS = "path string, mark string, at timestamp"
 
 
-def settle_stream(sightings: DataFrame, checks: int = 2, forget_after: str = "1 hour") -> DataFrame:
+def settle_stream(sightings: DataFrame, checks: int = 2, forget_after: str | None = None) -> DataFrame:
     """(path, mark, streak): a row for each sighting that makes or keeps a path settled.
 
-    A changed mark starts the count again; a path that is not seen for ``forget_after`` of
-    processing time is forgotten, as a file that left the folder.
+    A changed mark starts the count again; with ``forget_after``, a path that is not seen for
+    so much processing time is forgotten, as a file that left the folder. Such a stream has
+    always another batch to run, so it can't be drained by ``availableNow``.
     """
-    milliseconds = int(pd.Timedelta(forget_after).total_seconds() * 1000)
+    milliseconds = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,13 +40,14 @@ def settle_stream(sightings: DataFrame, checks: int = 2, forget_after: str = "1
             if streak >= checks:
                 out.append((key[0], mark, streak))
         state.update((mark, streak))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         if out:
             yield pd.DataFrame(out, columns=["path", "mark", "streak"])
 
     return sightings.groupBy("path").applyInPandasWithState(
         step, "path string, mark string, streak long", "mark string, streak long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout,
     )
 
 
