@@ -33,6 +33,8 @@ from bindery.storage import materialize
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
+#: The band table has a row per template and band; up to so many rows it is broadcast.
+BROADCAST_ROWS = 100_000
 NO_ID = -(2**63)
 
 #: Public license notices, by SPDX identifier.
@@ -170,12 +172,10 @@ def scan_licenses(
         wanted = table.filter(F.col("span") == span).select(
             "license", F.col("shingles").alias("template"), F.explode(_signature(F.col("hashes"), bands)).alias("t")
         )
-        candidates = (
-            windows.join(wanted, (F.col("b.band") == F.col("t.band")) & (F.col("b.value") == F.col("t.value")))
-            .groupBy("doc_id", "row", "first", "license")
-            .agg(F.any_value("shingles").alias("shingles"), F.any_value("template").alias("template"))
-        )
-        verified = candidates.select(
+        if len(own) * bands <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        retrieved = windows.join(wanted, (F.col("b.band") == F.col("t.band")) & (F.col("b.value") == F.col("t.value")))
+        verified = retrieved.select(
             "doc_id", "row", "license", "first",
             F.size(F.array_intersect("template", "shingles")).cast("long").alias("shared"),
             F.size("template").cast("long").alias("total"),
