@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.text import BLANKS, dropped_chars, lines, words
+from bindery.llm.text import BLANKS, dropped_chars, let, lines, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -68,65 +68,65 @@ BASE = Policy("base-1", ("too_few_words", "repeated_words"))
 WEB = Policy("web-1", tuple(rule.name for rule in RULES))
 
 
-def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the measurements (long) that the rules read.
+def _windows(w: Column) -> Column:
+    """The 3-word windows of words with their places, sorted."""
+    return F.sort_array(
+        F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
+            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")),
+        )
+    )
+
+
+def _repeated_places(s: Column) -> Column:
+    """The places of sorted windows that equal a neighbour, in order."""
+    same = lambda i, j: F.coalesce(F.get(s, i)["g"] == F.get(s, j)["g"], F.lit(False))
+    return F.sort_array(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1)),
+            lambda i: F.get(s, i)["p"],
+        )
+    )
+
 
-    ``n_repeat_words`` counts words that lie in a 3-word window found at least twice in the
-    text. The windows are sorted together with their places, equal neighbours mark the
-    places, and each marked place covers three words less its overlap with the next one.
+def _covered_words(p: Column) -> Column:
+    """Words that windows at these places cover: three each, less the overlap with the next."""
+    return F.when(
+        F.size(p) > 0,
+        F.aggregate(
+            F.sequence(F.lit(0), F.size(p) - 1),
+            F.lit(0).cast("long"),
+            lambda acc, i: acc + F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - F.get(p, i), F.lit(3))),
+        ),
+    ).otherwise(F.lit(0).cast("long"))
+
+
+def repeated_words(w: Column) -> Column:
+    """Words that lie in a 3-word window found at least twice.
+
+    Each step is bound to a lambda variable, so a filter on a measurement, which the
+    optimizer rewrites in terms of the text, evaluates it once more and not once per word.
     """
+    found = let(w, lambda own: let(_windows(own), lambda s: let(_repeated_places(s), _covered_words)))
+    return F.when(F.size(w) >= 4, found).otherwise(F.lit(0).cast("long"))
+
+
+def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the measurements (long) that the rules read."""
     split = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     ).select("doc_id", "t", words(F.col("t")).alias("w"), lines(F.col("t")).alias("l"))
-    last = F.size("w") - 3
-    windows = F.when(
-        last >= 0,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                lambda i: F.struct(
-                    F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("p")
-                ),
-            )
-        ),
-    )
     worded = F.filter(F.col("l"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    measured = split.select(
+    return split.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.size("l").cast("long").alias("n_lines"),
         F.length(dropped_chars(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
         (F.length("t") - F.length(dropped_chars(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-        worded.alias("worded"),
-        windows.alias("s"),
-    )
-    same = lambda i, j: F.coalesce(F.get("s", i)["g"] == F.get("s", j)["g"], F.lit(False))
-    places = F.when(
-        F.size("s") > 1,
-        F.sort_array(
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: same(i, i - 1) | same(i, i + 1)),
-                lambda i: F.get("s", i)["p"],
-            )
-        ),
-    )
-    marked = measured.select(
-        *(c for c in measured.columns if c not in ("s", "worded")),
-        (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        places.alias("p"),
-    )
-    covered = F.when(
-        F.size("p") > 0,
-        F.aggregate(
-            F.sequence(F.lit(0), F.size("p") - 1),
-            F.lit(0).cast("long"),
-            lambda acc, i: acc + F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - F.get("p", i), F.lit(3))),
-        ),
-    )
-    return marked.select(
-        *(c for c in marked.columns if c != "p"), F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")
+        let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("w")).alias("n_repeat_words"),
     )
 
 
