@@ -12,19 +12,18 @@ A margin threshold is calibrated on ordinary training windows, and a logistic mo
 text's margins gives its score. Labels, language, source and id are not inputs of a score.
 
 Scoring is one pass without a shuffle; the model is a few kilobytes. Only the model's
-sample meets the driver: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` rows of at most
-``SAMPLE_CHARS`` characters each, the first by a hash of the text.
+sample meets the driver: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled ids, the
+first by a hash of the id, and their texts of at most ``SAMPLE_CHARS`` characters.
 
 Defined cases: null and empty texts are one empty window and get a score; with fewer than
 three toxic or ordinary training texts every score is the smoothed share of toxic labels;
-null labels are ignored; null ids are never held out; repeated rows score alike; an empty
+null labels and ids are not learned from; null ids are never held out; repeated rows score alike; an empty
 table gives an empty result; extra columns are carried only by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -173,18 +172,24 @@ def _likelihood_ratio(a: int, n1: int, b: int, n0: int) -> float:
     return 2 * (log_of(a, n1, a / n1) + log_of(b, n0, b / n0) - log_of(a, n1, p) - log_of(b, n0, p))
 
 
+def _codes_of(words: list[bytes]) -> np.ndarray:
+    """The distinct codes of a text, as integers."""
+    return np.unique(np.frombuffer(b"".join(words), np.uint64))
+
+
 def _distinctive(own: list[list[bytes]], other: list[list[bytes]], limit: int) -> list[bytes]:
     """Code runs that ``own`` texts hold more often than ``other``, the strongest last."""
-    found = Counter(code for words in own for code in {c for w in words for c in _split(w)})
-    wanted = {code for code, n in found.items() if n >= LEAST_DOCS}
-    against = Counter(code for words in other for code in {c for w in words for c in _split(w)} & wanted)
+    codes, found = np.unique(np.concatenate([_codes_of(words) for words in own]), return_counts=True)
+    codes, found = codes[found >= LEAST_DOCS], found[found >= LEAST_DOCS]
+    against = np.zeros(len(codes), np.int64)
+    for words in other:
+        against += np.isin(codes, _codes_of(words), assume_unique=True)
     n1, n0 = len(own), len(other)
-    strength = {
-        code: _likelihood_ratio(found[code], n1, against[code], n0)
-        for code in wanted
-        if found[code] / n1 > CONTRAST * (against[code] + 0.5) / n0
-    }
-    strength = {code: g for code, g in strength.items() if g > SIGNIFICANCE}
+    strength: dict[bytes, float] = {}
+    for k in np.flatnonzero(found / n1 > CONTRAST * (against + 0.5) / n0):
+        ratio = _likelihood_ratio(int(found[k]), n1, int(against[k]), n0)
+        if ratio > SIGNIFICANCE:
+            strength[codes[k].tobytes()] = ratio
     runs: dict[bytes, float] = {}
     for words in own:
         for word in words:
@@ -235,11 +240,11 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
     model.toxic = b"".join(gained)
     lost = b"".join(_distinctive(other, own, len(model.toxic)))
     model.ordinary = (b"\0" * len(model.toxic) + lost)[-len(model.toxic) :]
-    groups = [[windows(words) for words in group] for group in (own, other)]
     margins, starts, labels = [], [], []
     at = 0
-    for label, group in zip((1.0, 0.0), groups):
-        for parts in group:
+    for label, group in zip((1.0, 0.0), (own, other)):
+        for words in group:
+            parts = windows(words)
             margins.append(model.margins(parts))
             starts.append(at)
             labels.append(label)
@@ -261,21 +266,19 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from the labelled rows that are not held out; labels is (doc_id, toxic)."""
-    known = labels.filter(F.col("toxic").isNotNull()).select(
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("bad")
-    )
-    rows = (
-        docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .filter(~held_out(F.col("id")))
-        .join(known.distinct(), "id")
-    )
-    counts = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
-    sampled = []
-    for bad, most in ((True, TOXIC_ROWS), (False, ORDINARY_ROWS)):
-        fitting = rows.filter((F.col("bad") == bad) & (F.length("text") <= SAMPLE_CHARS))
-        first = fitting.select("text", "id").orderBy(F.xxhash64("text"), "id").limit(most)
-        sampled.append([r["text"] for r in first.collect()])
-    return fit(*sampled, counts.get(True, 0), counts.get(False, 0))
+    ).distinct()
+    counts = {r["bad"]: r["n"] for r in known.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    first = lambda bad, most: known.filter(F.col("bad") == bad).orderBy(F.xxhash64("id"), "id").limit(most)
+    # At most TOXIC_ROWS + ORDINARY_ROWS ids, so the texts stay where they are.
+    wanted = F.broadcast(first(True, TOXIC_ROWS).unionByName(first(False, ORDINARY_ROWS)))
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id")
+    sample = sorted((r["bad"], r["text"]) for r in rows.filter(F.length("text") <= SAMPLE_CHARS).select("bad", "text").collect())
+    of = lambda bad: [t for b, t in sample if b is bad]
+    model = fit(of(True), of(False), counts.get(True, 0), counts.get(False, 0))
+    _cache.clear()  # the driver has no further use for the words
+    return model
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
