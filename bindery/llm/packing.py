@@ -77,82 +77,94 @@ def pieces(
     return chosen.mapInArrow(run, PIECES)
 
 
+#: A packing: for each bin its load and its pieces.
+Packing = list[tuple[int, tuple[int, ...]]]
+
+
 class Bins:
     """Open bins by free space: the fullest bin that still takes a piece, in bit operations."""
 
-    def __init__(self, lengths: list[int], most: int, bins: list[list[int]] = ()):
+    def __init__(self, lengths: list[int], most: int, bins: Packing = ()):
         self.lengths, self.most = lengths, most
-        self.bins: list[list[int]] = [list(b) for b in bins]
+        self.loads = [load for load, _ in bins]
+        self.items = [items for _, items in bins]
         self.by_free: dict[int, list[int]] = {}
         self.open = 0
-        for k, b in enumerate(self.bins):
-            self._offer(k, most - sum(lengths[i] for i in b))
+        for k, load in enumerate(self.loads):
+            self._offer(k, most - load)
 
     def _offer(self, k: int, free: int) -> None:
         if free:
-            self.by_free.setdefault(free, []).append(k)
-            self.open |= 1 << free
+            stack = self.by_free.get(free)
+            if stack:
+                stack.append(k)
+            else:
+                self.by_free[free] = [k]
+                self.open |= 1 << free
 
     def place(self, item: int) -> None:
         need = self.lengths[item]
         fitting = self.open >> need
         if not fitting:
-            self.bins.append([item])
-            self._offer(len(self.bins) - 1, self.most - need)
+            self.items.append((item,))
+            self.loads.append(need)
+            self._offer(len(self.items) - 1, self.most - need)
             return
         free = need + (fitting & -fitting).bit_length() - 1
         stack = self.by_free[free]
         k = stack.pop()
         if not stack:
             self.open &= ~(1 << free)
-        self.bins[k].append(item)
+        self.items[k] += (item,)
+        self.loads[k] += need
         self._offer(k, free - need)
 
-    def best_fit(self, items: list[int]) -> list[list[int]]:
-        for item in sorted(items, key=lambda i: -self.lengths[i]):
+    def best_fit(self, items: list[int]) -> Packing:
+        for item in sorted(items, key=self.lengths.__getitem__, reverse=True):
             self.place(item)
-        return self.bins
+        return self.packing()
+
+    def packing(self) -> Packing:
+        return list(zip(self.loads, self.items))
 
 
-def fitness(bins: list[list[int]], lengths: list[int], most: int) -> tuple[int, float]:
+def fitness(bins: Packing, most: int) -> tuple[int, float]:
     """Fewer bins first; then bins that are either full or nearly empty."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / most) ** 2 for b in bins)
+    return -len(bins), sum(load * load for load, _ in bins) / (most * most)
 
 
-def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], most: int, rng) -> list[list[int]]:
+def crossover(one: Packing, other: Packing, lengths: list[int], most: int, rng) -> Packing:
     """Inject well-filled bins of ``other`` into ``one``, drop the bins of ``one`` that hold
     an injected piece, and best-fit what those bins held besides."""
-    filled = sorted(other, key=lambda b: (-sum(lengths[i] for i in b), len(b)))
+    filled = sorted(other, key=lambda b: (-b[0], len(b[1])))
     top = filled[: max(1, int(WELL_FILLED * len(filled)))]
     injected = rng.sample(top, max(1, len(top) // 2))
-    taken = {i for b in injected for i in b}
+    taken = {i for _, items in injected for i in items}
     kept, displaced = [], []
     for b in one:
-        if taken.isdisjoint(b):
+        if taken.isdisjoint(b[1]):
             kept.append(b)
         else:
-            displaced += [i for i in b if i not in taken]
+            displaced += [i for i in b[1] if i not in taken]
     return Bins(lengths, most, injected + kept).best_fit(displaced)
 
 
-def mutate(bins: list[list[int]], lengths: list[int], most: int, rng) -> list[list[int]]:
+def mutate(bins: Packing, lengths: list[int], most: int, rng) -> Packing:
     """Dissolve the emptiest bins and some at random; best-fit their pieces."""
-    ranked = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
+    ranked = sorted(bins, key=lambda b: b[0])
     n = max(1, len(ranked) // 50)
     loose, rest = ranked[:n], ranked[n:]
     for _ in range(min(n, len(rest))):
         loose.append(rest.pop(rng.randrange(len(rest))))
-    return Bins(lengths, most, rest).best_fit([i for b in loose for i in b])
+    return Bins(lengths, most, rest).best_fit([i for _, items in loose for i in items])
 
 
-def evolve(
-    lengths: list[int], most: int, seed: str, elites: list[list[list[int]]], generations: int = GENERATIONS
-) -> list[list[int]]:
+def evolve(lengths: list[int], most: int, seed: str, elites: list[Packing], generations: int = GENERATIONS) -> Packing:
     """The best packing an island finds from best-fit seeds and the elites it was sent."""
     bound = -(-sum(lengths) // most)
     rng = random.Random(seed)
     items = list(range(len(lengths)))
-    score = lambda bins: fitness(bins, lengths, most)
+    score = lambda bins: fitness(bins, most)
     population = [*elites, Bins(lengths, most).best_fit(items)]
     best = max(population, key=score)
     if len(best) <= bound:
@@ -163,7 +175,7 @@ def evolve(
         rng.shuffle(order)
         for item in sorted(order, key=lambda i: -(lengths[i] * rng.uniform(0.8, 1.2))):
             seeded.place(item)
-        population.append(seeded.bins)
+        population.append(seeded.packing())
     for _ in range(generations):
         offspring = []
         for _ in range(POPULATION):
@@ -171,29 +183,28 @@ def evolve(
             child = crossover(a, b, lengths, most, rng)
             offspring.append(mutate(child, lengths, most, rng) if rng.random() < 0.5 else child)
         population = sorted(population + offspring, key=score, reverse=True)[:POPULATION]
-        if -score(population[0])[0] <= bound:
+        if len(population[0]) <= bound:
             break
     return population[0]
 
 
-def _assigned(bins: list[list[int]], n: int) -> list[int]:
+def _assigned(bins: Packing, n: int) -> list[int]:
     found = [0] * n
-    for k, b in enumerate(bins):
-        for i in b:
+    for k, (_, items) in enumerate(bins):
+        for i in items:
             found[i] = k
     return found
 
 
-def _bins_of(assigned: list[int]) -> list[list[int]]:
-    found: dict[int, list[int]] = {}
+def _bins_of(assigned: list[int], lengths: list[int]) -> Packing:
+    found: dict[int, tuple[int, ...]] = {}
     for i, k in enumerate(assigned):
-        found.setdefault(k, []).append(i)
-    return list(found.values())
+        found[k] = found.get(k, ()) + (i,)
+    return [(sum(lengths[i] for i in items), items) for items in found.values()]
 
 
-def _shards(rows: DataFrame, most: int, shard_items: int) -> DataFrame:
+def _shards(rows: DataFrame, n: int) -> DataFrame:
     """(shard, items): a row per shard, its pieces in a fixed order."""
-    n = max(1, round(rows.count() / shard_items))
     shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)).cast("int")
     item = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
     return rows.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(item)).alias("items"))
@@ -206,7 +217,7 @@ def _round(states: DataFrame, most: int, number: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, island, lengths, elites = (batch.column(c)[k].as_py() for c in range(4))
-                best = evolve(lengths, most, f"{shard}/{island}/{number}", [_bins_of(e) for e in elites])
+                best = evolve(lengths, most, f"{shard}/{island}/{number}", [_bins_of(e, lengths) for e in elites])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([shard], pa.int32()),
@@ -238,10 +249,12 @@ def pack(
 def pack_pieces(
     rows: DataFrame, most: int = LENGTH, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, rounds: int = ROUNDS
 ) -> DataFrame:
-    shards = materialize(_shards(rows, most, shard_items), "shards")
+    n = max(1, round(rows.count() / shard_items))
+    shards = materialize(_shards(rows, n), "shards")
     loose = F.filter("items", lambda x: x["length"] < most)
     problems = shards.select("shard", F.transform(loose, lambda x: x["length"].cast("int")).alias("lengths"))
-    spread = lambda df: df.repartition("shard", "island")
+    # A few islands a task: their rows are small, their work is not.
+    spread = lambda df: df.repartition(-(-n * islands // 4), "shard", "island")
     every = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
     none = F.array().cast("array<array<int>>")
     states = spread(problems.select("shard", every, "lengths")).select("shard", "island", "lengths", none.alias("elites"))
