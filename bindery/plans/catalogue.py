@@ -409,10 +409,28 @@ def mark_unmark_idempotent(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'held' WHEN quality = 1 THEN 'written' WHEN quality = 0 THEN 'unverified' ELSE 'left' END || ' | ' || coalesce(source, '') || ' | ' || n_chars || ' B' AS line FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < 1024")
 def change_log(spark, sf_dir):
-    """A line for each book: its outcome, source and size."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 1024").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    """A line for each book of under 1024 bytes, as its SQL has it; ``change_log_whole`` has all."""
+    return log_lines(table(spark, sf_dir, "documents").filter("n_chars < 1024"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    """
+SELECT doc_id, concat_ws(' | ', CASE WHEN toxic = 1 THEN 'held' WHEN quality = 1 THEN 'written' WHEN quality = 0 THEN 'unverified' ELSE 'left' END, coalesce(source, ''),
+  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0)
+    WHEN n_chars < 1073741824 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars < 1099511627776 THEN printf('%.1f GB', n_chars / 1073741824.0)
+    WHEN n_chars IS NOT NULL THEN printf('%.1f TB', n_chars / 1099511627776.0) END) AS line FROM documents LEFT JOIN labels USING (doc_id)
+"""
+)
+def change_log_whole(spark, sf_dir):
+    """A line for each book, of any size; one of unknown size ends in its source."""
+    return log_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def log_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, line): the outcome, source and size of each book."""
     outcome = F.when(F.col("toxic") == 1, "held").when(F.col("quality") == 1, "written").when(F.col("quality") == 0, "unverified").otherwise("left")
-    return docs.select("doc_id", F.concat_ws(" | ", outcome, F.coalesce("source", F.lit("")), X.human_size(F.col("n_chars"))).alias("line"))
+    line = F.concat_ws(" | ", outcome, F.coalesce("source", F.lit("")), X.human_size(F.col("n_chars")))
+    return docs.join(labels, "doc_id", "left").select("doc_id", line.alias("line"))
 
 
 # ---- genres, names, matches -------------------------------------------------------------

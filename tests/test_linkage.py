@@ -194,3 +194,20 @@ def test_registered_queries_match_their_sql(spark):
         ours = sorted(repr(tuple(r)) for r in rows.select(*cols).collect())
         theirs = sorted(repr(r) for r in con.sql(f"select {', '.join(cols)} from ({sql})").fetchall())
         assert ours == theirs, name
+
+
+def test_the_change_log_has_a_line_for_each_size(spark, tmp_path):
+    from bindery.plans import catalogue
+
+    def told(size):
+        for unit in ("B", "KB", "MB", "GB", "TB"):
+            if size < 1024 or unit == "TB":
+                return f"{size} B" if unit == "B" else f"{size:.1f} {unit}"
+            size /= 1024
+
+    sizes = [None, 0, 1023, 1024, 1280, 1792, 2304, 1024**2 - 1, 1024**2, 5 * 1024**2 // 4, 7 * 1024**3, 3 * 1024**4, 2 * 1024**5]
+    spark.createDataFrame([(k, "s", n) for k, n in enumerate(sizes)], "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, None), (2, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    outcome = {1: "held", 2: "written"}
+    got = {r.doc_id: r.line for r in catalogue.change_log_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: " | ".join([outcome.get(k, "left"), "s", *([] if n is None else [told(n)])]) for k, n in enumerate(sizes)}
