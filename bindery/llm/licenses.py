@@ -1,6 +1,7 @@
 """License scanning by MinHash bands over overlapping text windows.
 
-Words are maximal runs of letters and digits, lower-cased; shingles are five words. The
+Words are maximal runs of letters and digits, lower-cased; shingles are five words, and all
+the words of a template that has fewer, which then is found where they stand in a row. The
 templates fall into classes by length; a class of templates of at most L words has windows
 of 2 L words that start every L words, so each place of a template lies whole in a window.
 A window's signature has one row per band, and the number of bands is set so that a window
@@ -15,7 +16,7 @@ and only the few windows that pass reach the joins. The template table is fixed
 caller and its shingles enter the plan as literals; it does not grow with the corpus.
 
 Defined cases: null and empty texts have no license; a text of fewer words than a shingle
-has none; templates need five words; repeated licenses in one text count once; rows with
+has none of its templates; a template without a word is an error; repeated licenses in one text count once; rows with
 equal ids keep their own findings; an empty table gives an empty result; extra columns are
 not carried.
 """
@@ -23,6 +24,8 @@ not carried.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,49 +70,65 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
 )
 
+#: Notices of fewer words than a shingle.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("All-rights-reserved", "All rights reserved"),
+    ("Some-rights-reserved", "Some rights reserved"),
+    ("No-rights-reserved", "No rights reserved"),
+)
+
 
 def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _shingles(array: Column, make) -> Column:
+def _shingles(array: Column, make, shingle: int) -> Column:
     """``make`` of the words of each shingle, in order."""
     return let(
         array,
         lambda w: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))),
-            lambda i: make(*(F.get(w, i + k) for k in range(SHINGLE))),
+            F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))),
+            lambda i: make(*(F.get(w, i + k) for k in range(shingle))),
         ),
     )
 
 
-def _text_shingles(array: Column) -> Column:
-    return F.array_distinct(_shingles(array, lambda *w: F.concat_ws(" ", *w)))
+def _text_shingles(array: Column, shingle: int = SHINGLE) -> Column:
+    return F.array_distinct(_shingles(array, lambda *w: F.concat_ws(" ", *w), shingle))
+
+
+def _hash_shingles(array: Column, shingle: int = SHINGLE) -> Column:
+    return _shingles(array, lambda *w: F.xxhash64(*w), shingle)
 
 
-def _hash_shingles(array: Column) -> Column:
-    return _shingles(array, lambda *w: F.xxhash64(*w))
+def _by_shingle(make) -> Column:
+    """``make(words, shingle)`` of a template, whose shingle has ``shingle`` words."""
+    made = make(F.col("words"), SHINGLE)
+    for shingle in range(1, SHINGLE):
+        made = F.when(F.col("shingle") == shingle, make(F.col("words"), shingle)).otherwise(made)
+    return made
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(license, words, n, span, shingles, hashes); span is the class: the words are at most
-    so many, a power of two."""
+    """(license, n, shingle, span, shingles, hashes); span is the class: the words are at most
+    so many, a power of two; shingle is the words of a shingle."""
     rows = spark.createDataFrame([(name, text) for name, text in templates], "license string, text string")
     counted = rows.select("license", license_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     span = F.pow(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(8))))).cast("int")
-    return counted.filter(F.col("n") >= SHINGLE).select(
+    return counted.withColumn("shingle", F.least("n", F.lit(SHINGLE))).select(
         "license",
         "n",
+        "shingle",
         span.alias("span"),
-        _text_shingles(F.col("words")).alias("shingles"),
-        F.array_distinct(_hash_shingles(F.col("words"))).alias("hashes"),
+        _by_shingle(_text_shingles).alias("shingles"),
+        F.array_distinct(_by_shingle(_hash_shingles)).alias("hashes"),
     )
 
 
-def bands_for(span: int, distinct: int) -> int:
+def bands_for(span: int, distinct: int, shingle: int = SHINGLE) -> int:
     """Bands of one row so that a window with four fifths of a template of ``distinct``
     shingles collides with probability ``1 - MISS``."""
-    window = 2 * span - SHINGLE + 1
+    window = 2 * span - shingle + 1
     shared = math.ceil(CONTAINMENT * distinct)
     similarity = shared / (window + distinct - shared)
     return math.ceil(math.log(MISS) / math.log1p(-min(similarity, 1 - 1e-9)))
@@ -136,40 +155,47 @@ def scan_licenses(
     spark = docs.sparkSession
     table = template_table(spark, templates)
     known = table.collect()  # as many rows as the caller gave templates
+    if wordless := [t["license"] for t in known if not t["n"]]:
+        raise ValueError(f"templates without a word: {wordless}")
+    sizes = sorted({t["shingle"] for t in known})
     tokens = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64(text).alias("row"),
         license_words(F.col(text)).alias("words"),
     )
     hashed = tokens.select(
-        "doc_id", "row", "words", _hash_shingles(F.col("words")).alias("hashes")
+        "doc_id", "row", "words", *(_hash_shingles(F.col("words"), k).alias(f"hashes{k}") for k in sizes)
     )
-    everything = F.array(*(F.lit(h) for h in sorted({h for t in known for h in t["hashes"]})))
-    long_enough = F.size("words") >= SHINGLE
-    hits = materialize(hashed.filter(long_enough & F.arrays_overlap("hashes", everything)), "license-hits")
+
+    def holds(k: int) -> Column:
+        wanted = F.array(*(F.lit(h) for h in sorted({h for t in known if t["shingle"] == k for h in t["hashes"]})))
+        return (F.size("words") >= k) & F.arrays_overlap(f"hashes{k}", wanted)
+
+    hits = materialize(hashed.filter(reduce(or_, map(holds, sizes))), "license-hits")
     found = None
-    for span in sorted({t["span"] for t in known}):
-        own = [t for t in known if t["span"] == span]
-        bands = max(bands_for(span, len(t["hashes"])) for t in own)
+    for span, k in sorted({(t["span"], t["shingle"]) for t in known}):
+        own = [t for t in known if (t["span"], t["shingle"]) == (span, k)]
+        bands = max(bands_for(span, len(t["hashes"]), k) for t in own)
         literal = F.array(*(F.lit(h) for h in sorted({h for t in own for h in t["hashes"]})))
         windows = (
-            hits.select(
-                "doc_id", "row", "words", "hashes",
-                F.explode(F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(span))).alias("first"),
+            hits.filter(F.size("words") >= k)
+            .select(
+                "doc_id", "row", "words", F.col(f"hashes{k}").alias("hashes"),
+                F.explode(F.sequence(F.lit(0), F.greatest(F.size(f"hashes{k}") - 1, F.lit(0)), F.lit(span))).alias("first"),
             )
             .select(
                 "doc_id", "row", "first",
                 F.slice("words", F.col("first") + 1, F.lit(2 * span)).alias("words"),
-                F.slice("hashes", F.col("first") + 1, F.lit(2 * span - SHINGLE + 1)).alias("hashes"),
+                F.slice("hashes", F.col("first") + 1, F.lit(2 * span - k + 1)).alias("hashes"),
             )
             .filter(F.arrays_overlap("hashes", literal))
             .select(
                 "doc_id", "row", "first",
-                _text_shingles(F.col("words")).alias("shingles"),
+                _text_shingles(F.col("words"), k).alias("shingles"),
                 F.explode(_signature(F.col("hashes"), bands)).alias("b"),
             )
         )
-        wanted = table.filter(F.col("span") == span).select(
+        wanted = table.filter((F.col("span") == span) & (F.col("shingle") == k)).select(
             "license", F.col("shingles").alias("template"), F.explode(_signature(F.col("hashes"), bands)).alias("t")
         )
         if len(own) * bands <= BROADCAST_ROWS:
@@ -187,10 +213,20 @@ def scan_licenses(
 
 
 def op10_license_scans(spark, sf_dir) -> DataFrame:
-    """Licenses found in each document: their identifiers, sorted, and how many."""
+    """Licenses found in each document: their identifiers, sorted, and how many. As in its SQL,
+    the notices of fewer words than a shingle are not among them."""
+    return licenses_of(spark, sf_dir, TEMPLATES)
+
+
+def op10_license_notices(spark, sf_dir) -> DataFrame:
+    """Licenses and short notices found in each document."""
+    return licenses_of(spark, sf_dir, TEMPLATES + NOTICES)
+
+
+def licenses_of(spark, sf_dir, templates) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = (
-        scan_licenses(docs)
+        scan_licenses(docs, templates=templates)
         .groupBy("doc_id", "row")
         .agg(
             F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
@@ -226,3 +262,18 @@ FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id
 
 
 ORACLE = _oracle()
+
+
+def _notices_oracle() -> str:
+    """The SQL above, with notices that are found where their words stand in a row."""
+    names = ", ".join(f"('{name}', '{' '.join(text.lower().split())}')" for name, text in NOTICES)
+    head, tail = ORACLE.rsplit("SELECT doc_id, coalesce(", 1)
+    tail = tail.replace("LEFT JOIN m USING", "LEFT JOIN both_kinds USING")
+    return f"""{head.rstrip()}, short AS (
+  SELECT rid, name FROM (SELECT rid, ' ' || array_to_string(w, ' ') || ' ' AS said FROM d), (VALUES {names}) v(name, body)
+  WHERE contains(said, ' ' || body || ' ')
+), both_kinds AS (SELECT * FROM m UNION ALL SELECT * FROM short)
+SELECT doc_id, coalesce({tail}"""
+
+
+NOTICES_ORACLE = _notices_oracle()

@@ -272,6 +272,19 @@ def test_licenses(spark, docs, empty):
     assert licenses.bands_for(8, 1) > licenses.bands_for(8, 4)
 
 
+def test_short_licenses(spark):
+    own = (("WTFPL", "WTFPL"), ("ISC", "ISC License"), ("four", "in the public domain"), *licenses.NOTICES, *licenses.TEMPLATES[:2])
+    filler = " ".join(f"filler{k}" for k in range(29))
+    texts = ["All rights reserved.", f"{filler} {filler} (c) ALL  rights-reserved {filler}", "all rights are reserved", "wtfpl", "The ISC license; no rights\nreserved", f"{filler} in the public. Domain", None, "Released under the MIT License. All rights reserved", "rights reserved"]
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(rows, templates=own).collect()}
+    assert got == {(k, name) for k, t in enumerate(texts) for name, body in own if f" {' '.join(words(body))} " in f" {' '.join(words(t))} "}
+    assert {(0, "All-rights-reserved"), (1, "All-rights-reserved"), (3, "WTFPL")} <= got
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(rows, templates=[("none", "--")])
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
