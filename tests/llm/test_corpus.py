@@ -297,6 +297,17 @@ def test_pipeline_stages_keep_the_columns(spark, docs, empty, tmp_path):
         assert (rows.count() == 0) == (start is empty)
 
 
+def test_line_dedup_stage_carries_columns_named_as_its_counts(spark):
+    import corpus_pipeline
+
+    rows = [(k, f"{LINE}\nown {k}", 0, k, f"d{k}", "own") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n_lines long, N_dropped string, own_0 string")
+    got = corpus_pipeline.drop_common_lines(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(k, t, len(t), *rest) for (k, t, _), (_, _, _, *rest) in ((r[:3], r) for r in rows) for t in [t if k == 5 else f"own {k}"]]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_row_places():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
     assert F is not None
