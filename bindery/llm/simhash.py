@@ -77,16 +77,17 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, row, fp): row is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            columns = [batch.column(0), batch.column(1), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _key_bits() -> list[tuple[int, int]]:
@@ -241,7 +242,8 @@ def _split_large(keyed: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) with the smallest label reachable; ``nodes`` is (node, label).
+    """(node, label, root) with the smallest label reachable and the smallest node that has
+    it, which no other component has; ``nodes`` is (node, label).
 
     Each round takes the smallest label of a node and its neighbours, and then the label
     that its label's holder has (pointer jumping on the smallest-labelled node), until
@@ -276,30 +278,44 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done = moved.filter(F.col("was") != F.col("best")).isEmpty()
         state = moved.select("node", "best")
         if done:
-            return state.select("node", F.col("best.label").alias("label"))
+            return state.select("node", F.col("best.label").alias("label"), F.col("best.at").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row, fp, component_id, root) of every row; component ids may repeat where ids
+    do or are null, roots don't."""
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     groups = materialize(
         marked.groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("label")), "groups"
     )
     labels = components(groups, links(groups.select(F.col("node").alias("fp"))))
     own = groups.join(labels.withColumnRenamed("label", "reached"), "node", "left").select(
-        F.col("node").alias("fp"), F.coalesce("reached", "label").alias("component_id")
+        F.col("node").alias("fp"), F.coalesce("reached", "label").alias("component_id"), F.coalesce("root", "node").alias("root")
     )
     named = materialize(own, "components")
     return marked.join(named, "fp").select(
-        "doc_id", "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id")
+        "doc_id", "row", "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "root"
     )
 
 
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return grouped(docs, doc_id, text).select("doc_id", "fp", "component_id")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows whose id is its component's: one document of each group stays."""
-    kept = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__kept")).distinct()
-    return docs.join(ids, F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)) == ids["__kept"], "left_semi")
+    """One of the input's rows for each component: the first by id, a null id before all, then
+    by a hash of the text, and of rows alike in both the first by a hash of all columns."""
+    first = grouped(docs, doc_id, text).groupBy("root").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "row")).alias("first")
+    )
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"),
+        F.xxhash64(text).alias("row"),
+    )
+    kept = own.join(first.select("first.*"), ["key", "row"], "left_semi").groupBy("key", "row")
+    return kept.agg(F.min_by("in", F.xxhash64(F.to_json("in"))).alias("in")).select("in.*")
 
 
 def op8_simhash(spark, sf_dir) -> DataFrame:

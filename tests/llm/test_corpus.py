@@ -212,6 +212,45 @@ def test_simhash(docs, empty):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def row_hash(text):
+    x = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute_keep_one(rows):
+    """Of (doc_id, text, ...) rows the first of each component."""
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    key = lambda n: (-(2**63) if rows[n][0] is None else rows[n][0], row_hash(rows[n][1]))
+    return [rows[min((n for n in range(len(rows)) if group[n] == g), key=key)] for g in set(group)]
+
+
+def near_copies(n, at, seed=6):
+    """A long text and one with a word changed, whose fingerprints are linked."""
+    for tried in range(100):
+        rng = random.Random(f"{seed} {n} {tried}")
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        one, two = " ".join(words), " ".join(words[:at] + ["else"] + words[at + 1 :])
+        if 0 < (brute_fingerprint(one) ^ brute_fingerprint(two)).bit_count() <= 4:
+            return one, two
+    raise AssertionError("no near copies")
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    (a, b), (c, d) = near_copies(1, 400), near_copies(2, 300)
+    rows = [(None, a), (None, b), (None, a), (3, a), (None, c), (7, d), (5, "x"), (5, "x"), (5, "y"), (6, "y"), (8, None), (9, "")]
+    rows = [r + (f"k{n}" if r != (5, "x") and r != (None, a) else "k",) for n, r in enumerate(rows)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, label string"))
+    want = brute_keep_one(rows)
+    assert len(want) < len({r[0] for r in rows}) + 1
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+
+
 def test_links_of_fingerprints_are_all_found(spark):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(200)} | {0, 2**64 - 1}
