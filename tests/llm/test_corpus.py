@@ -347,6 +347,48 @@ def test_line_dedup_stage_carries_columns_named_as_its_counts(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def brute_pieces(rows):
+    library = tokens.Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    found = collections.Counter()
+    for k, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        for n, (start, length) in enumerate(packing.cut(len(ids))):
+            found[(k, n, start, length, zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length])))] += 1
+    return found
+
+
+def test_pipeline_rows_of_each_stage_and_of_run(spark, tmp_path):
+    """Each stage against plain Python; how often the mix takes a document is from ``mix``, which has SQL."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    plain = [" ".join(rng.choice("red green blue stone river cloud tree bird".split()) + str(rng.randrange(9)) for _ in range(60)) for _ in range(160)]
+    bad = [" ".join(rng.choice(["nastyword", "vileword"]) if n % 5 == 0 else w for n, w in enumerate(t.split())) for t in plain[:60]]
+    texts = [f"{t}\n{LINE}\nown {k}" if k % 16 == 0 else t for k, t in enumerate(plain)] + plain[3:9]
+    texts += [*near_copies(1, 400), *near_copies(2, 200)]
+    clean = [(k, t, "a" if k % 10 else "b", len(t)) for k, t in enumerate(texts)]
+    rows = clean + [(1000 + k, t, "b", len(t)) for k, t in enumerate(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] >= 1000)) for r in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    cut = {k: t for k, t, _ in brute_lines([r[:2] for r in clean])}
+    lined = [(k, cut[k], source, len(cut[k])) for k, _, source, _ in clean]
+    single = brute_keep_one(lined)
+    assert len(rows) > len(clean) > len(single) and lined != clean
+    turns = mixing.mix(spark.createDataFrame(single, docs.schema)).collect()
+    copies = {r.doc_id: sum(t > 0 and 2 * t >= r.size for t in r.turns) for r in turns}
+    mixed = [r for r in single for _ in range(copies[r[0]])]
+    assert collections.Counter(mixed) != collections.Counter(single)
+    stages, got = dict(corpus_pipeline.STAGES), docs
+    for name, want in (("toxicity", clean), ("line_dedup", lined), ("simhash", single), ("source_mix", mixed)):
+        got = stages[name](spark, got, str(tmp_path)).cache()
+        assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want), name
+    pieces = brute_pieces([r[:2] for r in mixed])
+    for packed in (stages["packing"](spark, got, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect()) == pieces
+
+
 def test_row_places():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
     assert F is not None
