@@ -16,7 +16,8 @@ chunk of bounded size, and gives at most k rows per query, which a ranked window
 Nothing is broadcast. Groups are re-computed alone if an executor is lost.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null
-id take no part; of repeated ids the smallest vector counts; shorter vectors are as if
+id take no part; all rows of a repeated id count, each as a candidate for the queries of
+other ids, and its queries are ranked as one, the best pairs of all; shorter vectors are as if
 filled with zeros; an empty vector scores 0; scores outside a long are cut to its range;
 a table without queries or candidates gives an empty result; extra columns are not carried.
 """
@@ -214,10 +215,11 @@ def search_block(queries: pa.Table, rows: pa.Table, k: int, scale: int, slices:
             index = BitSlices(part, slices)
             for n, query in enumerate(wanted):
                 among = index.all
-                own = np.searchsorted(names, query_ids[n])
-                if own < len(names) and names[own] == query_ids[n]:
-                    among = among.copy()
-                    among[own // 64] &= ~np.uint64(1 << (own % 64))
+                first, last = np.searchsorted(names, query_ids[n]), np.searchsorted(names, query_ids[n], "right")
+                if first < last:
+                    own = np.zeros(len(names), np.uint8)
+                    own[first:last] = 1
+                    among = among & ~index.pack(own)
                 sums, _, slack = index.add_up([int(q) for q in query])
                 chosen = index.select(sums, among, k, slack)
                 score = _scores(part[chosen], query)
@@ -247,18 +249,17 @@ def top_k(
     embedding: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest score for
-    each row of ``queries``, other than the row with the query's own id."""
+    each id of ``queries``, other than rows with the query's own id."""
 
     def whole(table: DataFrame) -> DataFrame:
         component = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
         chosen = table.select(
             F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")
         )
-        return (
-            chosen.filter(F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", component), F.lit(False)))
-            .groupBy("vec_id")
-            .agg(F.min("embedding").alias("embedding"))
-        )
+        # Rows of one id are dealt out by their number, so that no block grows with them.
+        return chosen.filter(
+            F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", component), F.lit(False))
+        ).withColumn("number", F.monotonically_increasing_id())
 
     rows = materialize(whole(vectors), "vectors")
     asked = materialize(whole(queries), "queries").withColumnRenamed("vec_id", "query_id")
@@ -267,7 +268,7 @@ def top_k(
     blocks = max(1, -(-n // block))
     chunk = min(MAX_QUERIES, max(256, -(-m * blocks // 24)))
     chunks = max(1, -(-m // chunk))
-    spread = lambda c, to: F.pmod(F.xxhash64(c), F.lit(to)).cast("int")
+    spread = lambda c, to: F.pmod(F.xxhash64(c, "number"), F.lit(to)).cast("int")
     every = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
     left = asked.select("*", spread("query_id", chunks).alias("chunk")).select("*", every(blocks).alias("block"))
     right = rows.select("*", spread("vec_id", blocks).alias("block")).select("*", every(chunks).alias("chunk"))

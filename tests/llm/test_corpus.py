@@ -69,6 +69,17 @@ def test_topk(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_keeps_all_rows_of_repeated_ids(spark):
+    rng = random.Random(9)
+    rows = [(k // 3, [rng.uniform(-0.5, 0.5) for _ in range(8)]) for k in range(180)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=9).collect()
+    whole = [(k, np.floor(64 * np.array(v)).astype(int)) for k, v in rows]
+    for q in (0, 20, 40):
+        best = sorted((-int(a @ b), k) for own, a in whole if own == q for k, b in whole if k != q)[:9]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, k, -s) for n, (s, k) in enumerate(best, 1)]
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs, shard_items=16).collect()
     path = packing.public_tokenizers.path("byte_bpe_50k.json")
