@@ -211,3 +211,10 @@ def test_the_change_log_has_a_line_for_each_size(spark, tmp_path):
     outcome = {1: "held", 2: "written"}
     got = {r.doc_id: r.line for r in catalogue.change_log_whole(spark, str(tmp_path)).collect()}
     assert got == {k: " | ".join([outcome.get(k, "left"), "s", *([] if n is None else [told(n)])]) for k, n in enumerate(sizes)}
+
+
+def test_notes_on_blank_texts_come_off_to_nothing(spark):
+    blank = [None, "", " ", "  \n\t "]
+    assert column(spark, blank, X.noted) == [X.NOTE] * 4
+    assert column(spark, blank, lambda c: X.noted(X.noted(c))) == [X.NOTE] * 4
+    assert column(spark, blank, lambda c: X.unmarked(X.noted(c))) == [None] * 4
