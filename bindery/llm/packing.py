@@ -2,13 +2,14 @@
 
 A document is its ids and an end id; one longer than a sequence is cut into full pieces,
 the first taking what is left over. Full pieces are sequences of their own. The others are
-dealt by a hash into shards of about ``SHARD_ITEMS`` pieces; a shard is one packing problem
+dealt by a hash, salted with their place in the written table of pieces so that repeated
+rows part too, into shards of about ``SHARD_ITEMS`` pieces; a shard is one packing problem
 of bounded size. Several islands, tasks of their own, hold populations for the same shard:
 chromosomes are sets of bins, crossover injects whole well-filled bins of one parent into
 the other, removes the bins that then hold a piece twice, and best-fits the displaced
 pieces; mutation dissolves the emptiest bins. After each round every island's elite
 migrates to the next island of its shard. A shard whose bins equal the lower bound
-(tokens over sequence length, rounded up) is done and costs nothing more. Randomness is
+(tokens over sequence length, rounded up) has a proven optimum and is not searched further. Randomness is
 seeded by shard, island and round, so reruns agree.
 
 Recovery: pieces, shards and each round's elites are written tables; a lost executor costs
@@ -55,17 +56,15 @@ def pieces(
     docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", most: int = LENGTH
 ) -> DataFrame:
     """A row per piece of each document."""
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.encode(value.as_py() or "") + end
-                for number, (start, length) in enumerate(cut(len(ids) // 4, most)):
-                    crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                    rows.append((name, number, start, length, crc))
+            for name, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1), (END_ID,))):
+                told = memoryview(ids).cast("B")
+                for number, (start, length) in enumerate(cut(len(ids), most)):
+                    rows.append((name, number, start, length, zlib.crc32(told[4 * start : 4 * (start + length)])))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows)) or [()] * 5
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -204,8 +203,12 @@ def _bins_of(assigned: list[int], lengths: list[int]) -> Packing:
 
 
 def _shards(rows: DataFrame, n: int) -> DataFrame:
-    """(shard, items): a row per shard, its pieces in a fixed order."""
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n)).cast("int")
+    """(shard, items): a row per shard, its pieces in a fixed order.
+
+    The salt is a row's place in the files of ``rows``, a written table, so a task that is
+    run again deals its rows as before."""
+    salt = F.monotonically_increasing_id()
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", salt), F.lit(n)).cast("int")
     item = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
     return rows.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(item)).alias("items"))
 

@@ -9,9 +9,9 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from bindery.llm import licenses, linededup, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity, warc
 
@@ -102,13 +102,24 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_the_encoder_is_the_librarys():
+def test_the_encoder_is_the_librarys(monkeypatch):
     own = tokens.encoder(packing.public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(1)
     marks = ["a", "word", "The", "é", "ß", "\n", " ", "  ", "'s", "1", "23", "!", "<|endoftext|>", "\t", "中", "😀", "\x1c", " ", ".", "don't"]
-    for _ in range(400):
-        text = "".join(rng.choice(marks) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))
-        assert own.encode(text) == tokens.Encoder._packed(own.library.encode(text, add_special_tokens=False).ids), repr(text)
+    texts = [None, "", " "] + ["".join(rng.choice(marks) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    texts += [" ".join(f"{rng.choice(marks)}{rng.randrange(3000)}" for _ in range(4000)) for _ in range(3)]
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 900)
+    for end in ((), (2,)):
+        for text, ids in zip(texts, own.encode(pa.array(texts, pa.string()), end), strict=True):
+            assert ids.tolist() == [*own.library.encode(text or "", add_special_tokens=False).ids, *end], repr(text)
+
+
+def test_repeated_rows_are_dealt_over_shards(spark, tmp_path):
+    rows = spark.createDataFrame([(None, 0, 0, 1, 7)] * 400, packing.PIECES)
+    rows.write.parquet(f"{tmp_path}/pieces")
+    sizes = [len(r["items"]) for r in packing._shards(spark.read.parquet(f"{tmp_path}/pieces"), 8).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 100
 
 
 def test_genetic_packing_reaches_the_bound_and_keeps_all_pieces():
@@ -402,4 +413,3 @@ def test_pipeline_rows_of_each_stage_and_of_run(spark, tmp_path):
 
 def test_row_places():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
-    assert F is not None
