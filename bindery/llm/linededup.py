@@ -2,35 +2,45 @@
 
 A line's key is the line without blanks at both ends and with A-Z lower-cased; its hash is
 two independent 64-bit values (128 bits, so that keys of a whole corpus stay apart).
-``LineRuns`` keeps what was seen as sorted runs of (hash, documents, largest id): each new
-batch is merge-anti-joined with the runs, which tells its fresh hashes from known ones,
-and is added as a run of level 0; when a level holds ``fanout`` runs they are merged into
-one sorted run of the next level. A hash lies in at most ``fanout * levels`` runs, and
-their sums are its totals.
-
-``dedup_lines`` then drops, from each document, the lines whose key was found in at least
-``min_docs`` documents, unless the document is the largest one that holds it. Only DataFrame
-functions are used. Hashes, not texts, are shuffled for counting; the texts are shuffled
-once, by row, to meet their dropped places. A line found in a third of all documents is
-pre-aggregated before its shuffle, and the join back is a plain sort-merge join of two
-exchanges, which adaptive execution splits where a key is hot.
+``LineRuns`` keeps what was seen as sorted runs of (hash, documents, keeper). A new batch is
+merge-joined with the runs: its hashes that no run has (the anti-join) are fresh, and only
+they name a keeper, the largest document of the batch that holds the line; for known hashes
+the batch adds its documents alone. The batch becomes a run of level 0; when a level holds
+``fanout`` runs they are merged into one sorted run of the next level, so a hash lies in at
+most ``fanout * levels`` runs. A small manifest names the runs that count; it is replaced in
+one step, so an interrupted call leaves the runs as they were, and a later call or session
+goes on from them.
+
+``dedup_lines`` deals its documents into batches by falling ids, adds them to the runs, and
+drops, from each document, the lines found in at least ``min_docs`` documents unless it is
+their keeper: the largest document, or, where earlier calls left their runs, the one that
+these kept it in. Only DataFrame functions are used. Hashes, not texts, are shuffled for
+counting; a line found in a third of all documents is pre-aggregated before its shuffle. The
+texts are shuffled once, by row, and are neither sorted nor held: they stream past a hash
+table of the places to drop, and adaptive execution splits a hot partition of them.
 
 Defined cases: null or empty text is one empty line; a null id counts as one document
 below every other id; rows with equal ids are one document for counting and each row keeps
-its own lines; repeated lines of one document count once; an empty table gives an empty
-result; all columns of the input are carried, whatever their names.
+its own lines; repeated lines of one document count once; ties are lines of one key, all of
+which stay in the keeper; long texts are read whole, one at a time; an empty table gives an
+empty result; all columns of the input are carried, whatever their names, and counts are
+added only under names that the caller gives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm.text import BLANKS, ascii_lower, lines
-from bindery.storage import materialize, shared_dir
+from bindery.storage import discard, materialize, read_text, remove, shared_dir, write_text
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+BATCHES = 3
+FANOUT = 3
 #: Stands for a null id: below every other.
 NO_ID = -(2**63)
 HASH = ["h1", "h2"]
@@ -41,22 +51,36 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs, max_id, fresh) below a shared folder."""
+    """Levelled sorted runs of (h1, h2, n_docs, keeper) below a shared folder.
+
+    ``keeper`` is null in rows that only add documents to a hash of an earlier run, so over
+    all runs each hash has it once.
+    """
 
-    def __init__(self, spark, root: str | None = None, fanout: int = 3):
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = FANOUT):
         self.spark = spark
         self.root = root or shared_dir(spark, "line-runs")
         self.fanout = fanout
-        self.levels: dict[int, list[str]] = {}
-        self.written = 0
+        known = read_text(spark, self._manifest) if root else None
+        state = json.loads(known) if known else {"written": 0, "levels": {}}
+        self.written: int = state["written"]
+        self.levels: dict[int, list[str]] = {int(k): v for k, v in state["levels"].items()}
+
+    @property
+    def _manifest(self) -> str:
+        return f"{self.root}/manifest.json"
+
+    def _commit(self) -> None:
+        remove(self.spark, self._manifest)
+        write_text(self.spark, self._manifest, json.dumps({"written": self.written, "levels": self.levels}))
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, max_id long, fresh boolean").parquet(*paths)
+        return self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(*paths)
 
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.root}/level-{level}/run-{self.written}"
         self.written += 1
-        run.sortWithinPartitions(*HASH).write.parquet(path)
+        run.sortWithinPartitions(*HASH).write.mode("overwrite").parquet(path)
         self.levels.setdefault(level, []).append(path)
 
     @property
@@ -65,33 +89,34 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Add (h1, h2, doc_id): a row per hash and document, of documents not added before."""
-        counted = batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_id"))
+        counted = batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+        fresh = F.lit(True)
         if self.paths:
-            known = self._read(self.paths).select(*HASH)
-            fresh = counted.join(known, HASH, "left_anti").withColumn("fresh", F.lit(True))
-            seen = counted.join(known, HASH, "left_semi").withColumn("fresh", F.lit(False))
-            counted = fresh.unionByName(seen)
-        else:
-            counted = counted.withColumn("fresh", F.lit(True))
-        self._write(counted, 0)
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
+            known = self._read(self.paths).filter("keeper IS NOT NULL").select(*HASH, F.lit(True).alias("known"))
+            counted, fresh = counted.join(known, HASH, "left"), F.col("known").isNull()
+        self._write(counted.select(*HASH, "n_docs", F.when(fresh, F.col("largest")).alias("keeper")), 0)
+        merged = self._compact()
+        self._commit()
+        for path in merged:
+            remove(self.spark, path)
+
+    def _compact(self) -> list[str]:
+        """Merge levels that are full; the runs that no longer count."""
+        level, merged = 0, []
         while len(self.levels.get(level, [])) >= self.fanout:
-            merged = (
-                self._read(self.levels.pop(level))
-                .groupBy(*HASH)
-                .agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"), F.bool_or("fresh").alias("fresh"))
-            )
+            paths = self.levels.pop(level)
             level += 1
-            self._write(merged, level)
+            self._write(self._merged(paths), level)
+            merged += paths
+        return merged
+
+    def _merged(self, paths: list[str]) -> DataFrame:
+        sums = F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")
+        return self._read(paths).groupBy(*HASH).agg(*sums)
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_id) over all runs."""
-        return (
-            self._read(self.paths).groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
-        )
+        """(h1, h2, n_docs, keeper) over all runs, a row for each hash."""
+        return self._read(self.paths) if len(self.paths) == 1 else self._merged(self.paths)
 
 
 def long_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -109,40 +134,63 @@ def long_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataF
     )
 
 
+def _falling(placed: DataFrame, batches: int) -> list[Column]:
+    """Conditions on ``doc_id`` that part the rows into batches of about equal size, the
+    largest ids first."""
+    shares = [k / batches for k in range(batches - 1, 0, -1)]
+    cuts = placed.agg(F.percentile_approx("doc_id", shares, 1000).alias("cuts")).first()["cuts"] if shares else []
+    edges = list(dict.fromkeys(cuts or []))
+    above = [F.col("doc_id") > edge for edge in edges] + [F.lit(True)]
+    below = [F.lit(True)] + [F.col("doc_id") <= edge for edge in edges]
+    return [a & b for a, b in zip(above, below)]
+
+
+def dropped_places(
+    docs: DataFrame, doc_id: str, text: str, min_chars: int, min_docs: int, batches: int, runs: LineRuns
+) -> DataFrame:
+    """(doc_id, row, drop): the places of the lines that go, of documents that lose any."""
+    placed = materialize(long_lines(docs, doc_id, text, min_chars), "lines")
+    for chosen in _falling(placed, batches):
+        runs.add(placed.filter(chosen).select("doc_id", *HASH).distinct())
+    common = runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper")
+    dropped = materialize(
+        placed.join(common, HASH)
+        .filter(F.col("doc_id") != F.col("keeper"))
+        .groupBy("doc_id", "row")
+        .agg(F.sort_array(F.collect_set("pos")).alias("drop")),
+        "dropped-lines",
+    )
+    discard(placed)
+    return dropped
+
+
 def dedup_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
-    batches: int = 3,
+    batches: int = BATCHES,
+    runs: LineRuns | None = None,
+    counts: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """The input with its texts cut, and ``n_lines``, ``n_dropped`` (long) under those names
-    (an input column of such a name gives way)."""
-    spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    placed = materialize(
-        long_lines(docs, doc_id, text, min_chars).withColumn(
-            "batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-        ),
-        "lines",
-    )
-    runs = LineRuns(spark)
-    for batch in range(batches):
-        runs.add(placed.filter(F.col("batch") == batch).select("doc_id", *HASH).distinct())
-    common = materialize(runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "max_id"), "common-lines")
-    dropped = (
-        placed.join(common, HASH)
-        .filter(F.col("doc_id") != F.col("max_id"))
-        .groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-    )
+    """The input with its texts cut. ``counts`` names two more columns (long), the lines of a
+    text before and how many of them went; names of the input are refused. ``runs`` are those
+    of earlier calls, whose lines count as seen; without them the call starts afresh."""
+    own = docs.columns
+    if clash := {c.lower() for c in counts or ()} & {c.lower() for c in own}:
+        raise ValueError(f"columns of the input: {sorted(clash)}")
+    fresh = runs is None
+    runs = runs or LineRuns(docs.sparkSession)
+    dropped = dropped_places(docs, doc_id, text, min_chars, min_docs, batches, runs)
+    if fresh:
+        remove(docs.sparkSession, runs.root)
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in own)).alias("in"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64(text).alias("row"),
     )
-    met = keyed.join(dropped, ["doc_id", "row"], "left").select(
+    met = keyed.join(dropped.hint("shuffle_hash"), ["doc_id", "row"], "left").select(
         "in", lines(F.col("in")[text]).alias("l"), F.coalesce("drop", F.array().cast("array<int>")).alias("d")
     )
     # The lines between two dropped places, one slice each: linear however many are dropped.
@@ -155,16 +203,14 @@ def dedup_lines(
         ),
     )
     cut = F.when(F.size("d") == 0, F.col("in")[text]).otherwise(F.array_join(F.flatten(between), "\n"))
-    return met.select(
-        *(cut.alias(c) if c == text else F.col("in")[c].alias(c) for c in own),
-        F.size("l").cast("long").alias("n_lines"),
-        F.size("d").cast("long").alias("n_dropped"),
-    )
+    told = [F.size(c).cast("long").alias(name) for c, name in zip(("l", "d"), counts or ())]
+    return met.select(*(cut.alias(c) if c == text else F.col("in")[c].alias(c) for c in own), *told)
 
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     """Lines of all documents, with those found in five documents or more kept once."""
-    cut = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = dedup_lines(docs, counts=("n_lines", "n_dropped"))
     return cut.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )

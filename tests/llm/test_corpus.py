@@ -212,14 +212,39 @@ def brute_lines(rows, least=5, chars=40):
 
 
 def test_line_dedup(docs, empty):
-    got = linededup.dedup_lines(docs)
-    assert set(got.columns) == set(docs.columns) | {"n_dropped"}
+    got = linededup.dedup_lines(docs, counts=("before", "gone"))
+    assert got.columns == [*docs.columns, "before", "gone"]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert collections.Counter((r.doc_id, r.text or "", r.n_dropped) for r in got.collect()) == collections.Counter(brute_lines(rows))
+    assert collections.Counter((r.doc_id, r.text or "", r.gone) for r in got.collect()) == collections.Counter(brute_lines(rows))
+    assert {r.n_lines for r in linededup.dedup_lines(docs).collect()} <= {None, "clash"}
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs, counts=("N_Lines", "gone"))
     assert any(n for _, _, n in brute_lines(rows))
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_runs_of_earlier_calls_meet_later_batches(spark):
+    lines = [f"line number {k} of the many lines that are found here again" for k in range(12)]
+    rng = random.Random(12)
+    rows = [(n, "\n".join(rng.sample(lines, rng.randrange(1, 7)) + [f"own {n}"])) for n in range(40)]
+    root, seen, keeper = warc.shared_dir(spark, "test-runs"), collections.Counter(), {}
+    for a, b in ((0, 9), (9, 10), (10, 25), (25, 40)):
+        part = rows[a:b]
+        runs = linededup.LineRuns(spark, root, fanout=3)  # opened again each time
+        got = linededup.dedup_lines(spark.createDataFrame(part, "doc_id long, text string"), batches=2, runs=runs)
+        for k, t in part:
+            for x in t.split("\n")[:-1]:
+                seen[x] += 1
+        for k, t in reversed(part):
+            for x in t.split("\n")[:-1]:
+                keeper.setdefault(x, k)
+        gone = lambda k, x: seen[x] >= 5 and keeper[x] != k
+        want = {k: "\n".join(x for x in t.split("\n") if not gone(k, x)) for k, t in part}
+        assert {r.doc_id: r.text for r in got.collect()} == want
+    assert max(runs.levels) >= 1 and sum(map(len, runs.levels.values())) < 8
+    assert {r.n_docs for r in runs.totals().collect()} == set(seen.values())
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
