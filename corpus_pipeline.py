@@ -7,8 +7,6 @@ sequences. Every stage but the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in five documents or more stay in one; lengths are those of the new texts."""
-    # The counts of dedup_lines take these names, so the input's own columns go by under others.
-    taken = {c.lower() for c in docs.columns}
-    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
-    aside = dict(zip(own, (name for n in itertools.count() if (name := f"own_{n}") not in taken)))
-    cut = linededup.dedup_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
-    cut = cut.withColumnsRenamed({to: c for c, to in aside.items()})
+    cut = linededup.dedup_lines(docs)
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")
     return cut.withColumn("n_chars", length) if "n_chars" in docs.columns else cut
 
