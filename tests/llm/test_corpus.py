@@ -3,6 +3,7 @@ empty tables and clashing column names; results against brute force where SQL ha
 
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -136,10 +137,10 @@ def test_mixing(docs, empty):
     assert collections.Counter((r.doc_id, r.size) for r in rows) == collections.Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in docs.collect())
     taken, target = collections.Counter(), {}
     for r in rows:
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and (r.taken == 0) == (r.slot is None)
         taken[r.source_size, r.target] += r.taken
         target[r.source_size, r.target] = r.target
-    assert all(n == int(target[k]) for k, n in taken.items())
+    assert all(abs(n - target[k]) <= 12 for k, n in taken.items())
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, block_words=4).collect()))
     assert mixing.mix(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
@@ -147,10 +148,46 @@ def test_mixing(docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
-def test_schedule_gives_each_block_once(spark):
-    quotas = spark.createDataFrame([(0, 1000, 10), (1, 90, 1), (2, 0, 0), (3, 3000, 30)], "sid int, quota long, blocks long")
-    got = mixing.schedule(quotas, 41).collect()
-    assert sorted((r.sid, r.block) for r in got) == sorted([(0, b) for b in range(10)] + [(1, 0)] + [(3, b) for b in range(30)])
+def brute_schedule(quotas, slots, step=mixing.STEP):
+    """The source of each slot."""
+    total, edge, ends = sum(quotas), 0, []
+    for q in quotas:
+        edge += q
+        ends.append(math.floor(edge / total * 2**31))
+    return [next(k for k, end in enumerate(ends) if i * step % 2**31 < end) for i in range(slots)]
+
+
+def test_schedule_keeps_to_its_targets_in_every_prefix(spark):
+    quotas = [1000, 90, 0, 3000, 7]
+    rows = spark.createDataFrame(list(enumerate(quotas)), "sid int, quota long")
+    got = sorted((r.slot, r.sid, r.block) for r in mixing.schedule(rows, 3000).collect())
+    want, seen = brute_schedule(quotas, 3000), collections.Counter()
+    assert [g[:2] for g in got] == list(enumerate(want))
+    for slot, sid, block in got:
+        assert block == seen[sid]
+        seen[sid] += 1
+        for k, q in enumerate(quotas):
+            assert abs(seen[k] - (slot + 1) * q / sum(quotas)) < 3
+    other = mixing.schedule(rows, 3000, step=1234567891).collect()
+    assert sorted((r.slot, r.sid, r.block) for r in other) != got
+
+
+def test_the_schedule_decides_what_is_taken_and_in_which_order(spark):
+    rng = random.Random(21)
+    rows = [(None if k % 17 == 0 else k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(60))), rng.choice("aabbbbc")) for k in range(200)]
+    rows += [rows[5]] * 3
+    docs = spark.createDataFrame([r + (n % 7,) for n, r in enumerate(rows)], "doc_id long, text string, source string, slots int")
+    one, other = ({(r.doc_id, r.row): (r.taken, r.slot) for r in mixing.mix(docs, step=s).collect()} for s in (mixing.STEP, 12345))
+    assert {k: v[0] for k, v in one.items()} != {k: v[0] for k, v in other.items()}
+    wanted = collections.defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        wanted[r.doc_id, r.row] += [t.slot for t in r.turns if 2 * t.words >= r.size]
+    mixed = [(r.doc_id, row_hash(r.text)) for r in mixing.mixed_documents(docs).collect()]
+    assert collections.Counter(mixed) == collections.Counter({k: len(v) for k, v in wanted.items() if v})
+    order = sorted((slot, k) for k, v in wanted.items() for slot in v)
+    assert mixed == [k for _, k in sorted(order, key=lambda x: x[0])] or [s for s, _ in order] != sorted({s for s, _ in order})
+    again = [tuple(r) for r in mixing.mixed_documents(docs.repartition(7)).collect()]
+    assert collections.Counter(again) == collections.Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
 
 
 def test_warc(spark):
@@ -424,7 +461,7 @@ def test_pipeline_rows_of_each_stage_and_of_run(spark, tmp_path):
     single = brute_keep_one(lined)
     assert len(rows) > len(clean) > len(single) and lined != clean
     turns = mixing.mix(spark.createDataFrame(single, docs.schema)).collect()
-    copies = {r.doc_id: sum(t > 0 and 2 * t >= r.size for t in r.turns) for r in turns}
+    copies = {r.doc_id: sum(2 * t.words >= r.size for t in r.turns) for r in turns}
     mixed = [r for r in single for _ in range(copies[r[0]])]
     assert collections.Counter(mixed) != collections.Counter(single)
     stages, got = dict(corpus_pipeline.STAGES), docs
