@@ -11,16 +11,19 @@ shares one. An equality exchange brings equal keys together and the distance ver
 Copies collapse first: the index holds one row per distinct fingerprint. A bucket of equal
 keys never emits its pairs: a breadth-first walk over bit-packed distances emits a spanning
 forest of the bucket's links, at most one row per member. Buckets beyond ``BUCKET`` members
-are keyed again, by the wildcard variants of the other bits, and those that are still
-larger are walked in blocks against each other, so no bucket is cut short and no task holds
-more than two blocks. Forests of all buckets make up the links, whose components are found
-by label propagation with pointer jumping, cut by written tables; component labels meet
-documents in a sort-merge join, which adaptive execution splits for a hot fingerprint.
+are keyed again, by the wildcard variants of a second cut of the fingerprint, so a bucket's
+members agree in about 40 of 64 bits; one that is still larger is held by its task, 8 bytes a
+member, and walked in blocks against each other, so no bucket is cut short. Forests of all
+buckets make up the links, whose components are found by label propagation with pointer
+jumping, cut by written tables; component labels meet documents in a sort-merge join, which
+adaptive execution splits for a hot fingerprint.
 
 Defined cases: null, empty and blank texts have fingerprint 0, linked like any other; a
-text of fewer than four words has one shingle, the whole sequence; a null id counts as
-below every other id, and its component is null; repeated rows share one fingerprint; an
-empty table gives an empty result; extra columns are carried only by ``keep_one``.
+text of fewer than four words has one shingle, the whole sequence; very long texts are
+hashed whole, in blocks of shingles; a null id is never a component's id unless the
+component has no other; repeated rows share one fingerprint and component; ties cannot
+occur, as a component's id is the smallest; an empty table gives an empty result; extra
+columns, whatever their names, are carried only by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.storage import materialize
+from bindery.storage import discard, materialize
 
 SHINGLE = 4
 SEED = 42
@@ -42,7 +45,6 @@ DISTANCE = 4
 SEGMENTS = (21, 21, 22)
 #: Members of a bucket that are walked at once.
 BUCKET = 4096
-NO_ID = -(2**63)
 
 _BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -153,7 +155,7 @@ def _bucket_links(members: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarra
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (variant, key, fp) sorted by variant and key -> links of each bucket."""
-    carry: np.ndarray | None = None
+    carry: list[np.ndarray] = []  # of the last bucket, which may go on in the next batch
     names = ["a", "b"]
 
     def emit(rows: np.ndarray) -> pa.RecordBatch | None:
@@ -185,15 +187,16 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = [np.asarray(batch.column(k)).astype(np.int64, copy=False).view(np.uint64) for k in range(3)]
         rows = np.stack(columns, axis=1)
-        if carry is not None:
-            rows = np.concatenate([carry, rows])
-        # The last bucket may go on in the next batch.
+        if carry and (carry[-1][-1, :2] == rows[0, :2]).all() and (rows[-1, :2] == rows[0, :2]).all():
+            carry.append(rows)
+            continue
+        rows = np.concatenate([*carry, rows])
         tail = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
         cut = int(tail[-1]) + 1 if len(tail) else 0
-        carry = rows[cut:]
+        carry = [rows[cut:]]
         if cut and (out := emit(rows[:cut])) is not None:
             yield out
-    if carry is not None and (out := emit(carry)) is not None:
+    if carry and (out := emit(np.concatenate(carry))) is not None:
         yield out
 
 
@@ -242,8 +245,8 @@ def _split_large(keyed: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label, root) with the smallest label reachable and the smallest node that has
-    it, which no other component has; ``nodes`` is (node, label).
+    """(node, label, root) with the smallest label reachable, null only if there is no other,
+    and the smallest node that has it, which no other component has; ``nodes`` is (node, label).
 
     Each round takes the smallest label of a node and its neighbours, and then the label
     that its label's holder has (pointer jumping on the smallest-labelled node), until
@@ -256,11 +259,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "links",
     )
     linked = both.select("node").distinct()
-    # root: the node whose label is the smallest known; compared by (label, node)
-    state = materialize(
-        nodes.join(linked, "node", "left_semi").select("node", F.struct("label", F.col("node").alias("at")).alias("best")),
-        "labels",
-    )
+    # best.at: the node whose label is the smallest known, compared by (no label, label, node)
+    best = F.struct(F.col("label").isNull().alias("none"), "label", F.col("node").alias("at")).alias("best")
+    state = materialize(nodes.join(linked, "node", "left_semi").select("node", best), "labels")
     while True:
         told = both.join(state.select(F.col("node").alias("next"), "best"), "next").groupBy("node").agg(
             F.min("best").alias("told")
@@ -275,9 +276,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        done = moved.filter(F.col("was") != F.col("best")).isEmpty()
+        done = moved.filter(F.col("was.at") != F.col("best.at")).isEmpty()
+        discard(state)
         state = moved.select("node", "best")
+        state.written_to = moved.written_to
         if done:
+            discard(both)
             return state.select("node", F.col("best.label").alias("label"), F.col("best.at").alias("root"))
 
 
@@ -285,17 +289,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, row, fp, component_id, root) of every row; component ids may repeat where ids
     do or are null, roots don't."""
     marked = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    groups = materialize(
-        marked.groupBy(F.col("fp").alias("node")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("label")), "groups"
-    )
+    groups = materialize(marked.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("label")), "groups")
     labels = components(groups, links(groups.select(F.col("node").alias("fp"))))
     own = groups.join(labels.withColumnRenamed("label", "reached"), "node", "left").select(
         F.col("node").alias("fp"), F.coalesce("reached", "label").alias("component_id"), F.coalesce("root", "node").alias("root")
     )
-    named = materialize(own, "components")
-    return marked.join(named, "fp").select(
-        "doc_id", "row", "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "root"
-    )
+    return marked.join(materialize(own, "components"), "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,17 +303,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One of the input's rows for each component: the first by id, a null id before all, then
+    """One of the input's rows for each component: the first by id, a null id after all, then
     by a hash of the text, and of rows alike in both the first by a hash of all columns."""
     first = grouped(docs, doc_id, text).groupBy("root").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "row")).alias("first")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("key"), "row")).alias("first")
     )
     own = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"),
+        F.col(doc_id).isNull().alias("none"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("key"),
         F.xxhash64(text).alias("row"),
     )
-    kept = own.join(first.select("first.*"), ["key", "row"], "left_semi").groupBy("key", "row")
+    by = ["none", "key", "row"]
+    kept = own.join(first.select("first.*").hint("shuffle_hash"), by, "left_semi").groupBy(*by)
     return kept.agg(F.min_by("in", F.xxhash64(F.to_json("in"))).alias("in")).select("in.*")
 
 

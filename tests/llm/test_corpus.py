@@ -310,10 +310,25 @@ def brute_keep_one(rows):
             if (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
-    key = lambda n: (-(2**63) if rows[n][0] is None else rows[n][0], row_hash(rows[n][1]))
+    key = lambda n: (rows[n][0] is None, rows[n][0] or 0, row_hash(rows[n][1]))
     return [rows[min((n for n in range(len(rows)) if group[n] == g), key=key)] for g in set(group)]
 
 
+def test_component_ids_are_the_smallest_reachable(spark):
+    rows = [(9, "a b"), (None, "a b"), (None, "c"), (None, "c"), (12, None), (4, ""), (4, " "), (30, "x y z w v")]
+    for n in range(4):
+        one, two = near_copies(10 + n, 250)
+        rows += [(100 - n, one), (50 + n, two), (None, two), (60, one)]
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    prints = [brute_fingerprint(t) for _, t in rows]
+    reach = [{b for b in range(len(rows)) if (prints[a] ^ prints[b]).bit_count() <= 4} for a in range(len(rows))]
+    for _ in rows:
+        reach = [set().union(*(reach[b] for b in own)) for own in reach]
+    least = lambda own: min((rows[b][0] for b in own if rows[b][0] is not None), default=None)
+    assert got == collections.Counter((k, least(own)) for (k, _), own in zip(rows, reach))
+    assert got[(None, None)] == 2 and got[(None, 9)] == 1
+
+
 def near_copies(n, at, seed=6):
     """A long text and one with a word changed, whose fingerprints are linked."""
     for tried in range(100):
@@ -335,8 +350,8 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
 
 
-def test_links_of_fingerprints_are_all_found(spark):
-    rng = random.Random(4)
+def prints_in_groups(seed):
+    rng = random.Random(seed)
     prints = {rng.getrandbits(64) for _ in range(200)} | {0, 2**64 - 1}
     for x in list(prints)[:60]:
         for _ in range(3):
@@ -344,6 +359,14 @@ def test_links_of_fingerprints_are_all_found(spark):
             for b in rng.sample(range(64), rng.randrange(1, 6)):
                 y ^= 1 << b
             prints.add(y)
+    base = rng.getrandbits(64)
+    return prints | {base ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(0, 64, 5)}
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_links_of_fingerprints_are_all_found(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # 8: buckets are keyed again
+    prints = prints_in_groups(4)
     signed = [x - 2**64 if x >= 2**63 else x for x in prints]
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     nodes = spark.createDataFrame([(x, n) for n, x in enumerate(signed)], "node long, label long")
@@ -363,6 +386,16 @@ def test_links_of_fingerprints_are_all_found(spark):
     assert all(got.get(x, order[x]) == order[find(x)] for x in signed)
 
 
+def test_a_bucket_over_many_batches_is_walked_whole():
+    rows = [(1, 5, 1 << k) for k in range(40)] + [(1, 6, 7)] + [(2, 6, k) for k in (0, 1, 3, 2**40 - 1)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], ["variant", "key", "fp"])
+    whole = {t for b in simhash._walk(iter([batch(rows)])) for t in zip(*(c.to_pylist() for c in b.columns))}
+    for n in (1, 3, 7):
+        parts = simhash._walk(batch(rows[at : at + n]) for at in range(0, len(rows), n))
+        assert {t for b in parts for t in zip(*(c.to_pylist() for c in b.columns))} == whole
+    assert len(whole) == 39 + 2
+
+
 def test_large_buckets_are_walked_whole(monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
     chain = np.array([(1 << k) - 1 for k in range(0, 60, 3)], np.uint64)
