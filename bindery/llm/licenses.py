@@ -13,12 +13,14 @@ A window without a single shingle of a template of its class cannot share a band
 with it, so signatures are computed only for windows that have one: this loses nothing.
 That filter, and everything else, is DataFrame functions; the filter runs without a shuffle,
 and only the few windows that pass reach the joins. The template table is fixed by the
-caller and its shingles enter the plan as literals; it does not grow with the corpus.
+caller and does not grow with the corpus: up to ``LITERALS`` shingles enter the plan as
+literals, and more are a table that the hashes of the texts are joined with.
 
 Defined cases: null and empty texts have no license; a text of fewer words than a shingle
-has none of its templates; a template without a word is an error; repeated licenses in one text count once; rows with
-equal ids keep their own findings; an empty table gives an empty result; extra columns are
-not carried.
+has none of its templates; very long texts are scanned whole, window by window; a template
+without a word is an error; of texts that state several licenses each is found, and ties do
+not arise; repeated licenses in one text count once; repeated rows, and rows with equal ids,
+keep their own findings; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ CONTAINMENT = 0.8
 MISS = 1e-6
 #: The band table has a row per template and band; up to so many rows it is broadcast.
 BROADCAST_ROWS = 100_000
+#: Distinct shingles of templates of one length that a plan holds as literals.
+LITERALS = 20_000
 NO_ID = -(2**63)
 
-#: Public license notices, by SPDX identifier.
+#: Public license notices by SPDX identifier, and public texts of whole licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -49,16 +53,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    (
-        "MIT-notice",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files (the Software), to deal in the Software without restriction",
-    ),
-    (
-        "BSD-notice",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met",
-    ),
     (
         "GPL-notice",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
@@ -68,6 +62,89 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "Apache-notice",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     ),
+    (
+        "MIT-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the Software.
+
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE.""",
+    ),
+    (
+        "BSD-3-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met:
+
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer.
+
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution.
+
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.
+
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "ISC-text",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "Zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software.
+
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+        alter it and redistribute it freely, subject to the following restrictions:
+
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required.
+
+        2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software.
+
+        3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "Unlicense-text",
+        """This is free and unencumbered software released into the public domain.
+
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+        copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
 )
 
 #: Notices of fewer words than a shingle.
@@ -112,7 +189,8 @@ def _by_shingle(make) -> Column:
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(license, n, shingle, span, shingles, hashes); span is the class: the words are at most
     so many, a power of two; shingle is the words of a shingle."""
-    rows = spark.createDataFrame([(name, text) for name, text in templates], "license string, text string")
+    told = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates))
+    rows = spark.range(1).select(F.inline(told))
     counted = rows.select("license", license_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     span = F.pow(F.lit(2), F.ceil(F.log2(F.greatest("n", F.lit(8))))).cast("int")
     return counted.withColumn("shingle", F.least("n", F.lit(SHINGLE))).select(
@@ -146,6 +224,37 @@ def _signature(hashes: Column, bands: int) -> Column:
     )
 
 
+def _distinct_hashes(known: list) -> list[int]:
+    return sorted({h for t in known for h in t["hashes"]})
+
+
+def _overlapping(rows: DataFrame, column: str, table: DataFrame, own: list, span: int | None, shingle: int) -> DataFrame:
+    """Rows that have a hash of the templates ``own``, those of a class in ``table``."""
+    wanted = _distinct_hashes(own)
+    if len(wanted) <= LITERALS:
+        return rows.filter(F.arrays_overlap(column, F.array(*map(F.lit, wanted))))
+    chosen = table.filter(F.col("shingle") == shingle)
+    chosen = chosen if span is None else chosen.filter(F.col("span") == span)
+    hashes = chosen.select(F.explode("hashes").alias("h")).distinct()
+    keys = [c for c in ("doc_id", "row", "first") if c in rows.columns]
+    found = rows.select(*keys, F.explode(F.array_distinct(column)).alias("h")).join(hashes, "h", "left_semi")
+    return rows.join(found.select(*keys).distinct(), keys, "left_semi")
+
+
+def _with_any(hashed: DataFrame, table: DataFrame, known: list, sizes: list[int]) -> DataFrame:
+    """Texts that have a shingle of any template."""
+    groups = {k: [t for t in known if t["shingle"] == k] for k in sizes}
+    few = {k: own for k, own in groups.items() if len(_distinct_hashes(own)) <= LITERALS}
+    hold = [
+        (F.size("words") >= k) & F.arrays_overlap(f"hashes{k}", F.array(*map(F.lit, _distinct_hashes(own)))) for k, own in few.items()
+    ]
+    found = hashed.filter(reduce(or_, hold)) if hold else None
+    for k in groups.keys() - few.keys():
+        more = _overlapping(hashed.filter(F.size("words") >= k), f"hashes{k}", table, groups[k], None, k)
+        found = more if found is None else found.unionByName(more)
+    return found if len(few) == len(groups) else found.dropDuplicates(["doc_id", "row"])
+
+
 def scan_licenses(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT
 ) -> DataFrame:
@@ -167,16 +276,11 @@ def scan_licenses(
         "doc_id", "row", "words", *(_hash_shingles(F.col("words"), k).alias(f"hashes{k}") for k in sizes)
     )
 
-    def holds(k: int) -> Column:
-        wanted = F.array(*(F.lit(h) for h in sorted({h for t in known if t["shingle"] == k for h in t["hashes"]})))
-        return (F.size("words") >= k) & F.arrays_overlap(f"hashes{k}", wanted)
-
-    hits = materialize(hashed.filter(reduce(or_, map(holds, sizes))), "license-hits")
+    hits = materialize(_with_any(hashed, table, known, sizes), "license-hits")
     found = None
     for span, k in sorted({(t["span"], t["shingle"]) for t in known}):
         own = [t for t in known if (t["span"], t["shingle"]) == (span, k)]
         bands = max(bands_for(span, len(t["hashes"]), k) for t in own)
-        literal = F.array(*(F.lit(h) for h in sorted({h for t in own for h in t["hashes"]})))
         windows = (
             hits.filter(F.size("words") >= k)
             .select(
@@ -188,7 +292,7 @@ def scan_licenses(
                 F.slice("words", F.col("first") + 1, F.lit(2 * span)).alias("words"),
                 F.slice("hashes", F.col("first") + 1, F.lit(2 * span - k + 1)).alias("hashes"),
             )
-            .filter(F.arrays_overlap("hashes", literal))
+            .transform(lambda rows: _overlapping(rows, "hashes", table, own, span, k))  # noqa: B023
             .select(
                 "doc_id", "row", "first",
                 _text_shingles(F.col("words"), k).alias("shingles"),

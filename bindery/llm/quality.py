@@ -5,12 +5,15 @@ per failed rule; a policy is a versioned mask over these bits, so changing a pol
 asking what each rule costs, is bitwise arithmetic over the ledger and no second scan of
 the texts.
 
-Everything is DataFrame functions over one row at a time: no shuffle, no Python worker,
-memory bounded by the longest single text.
+The measuring is DataFrame functions over one row at a time: no shuffle, no Python worker,
+memory bounded by the longest single text. ``stored`` writes the ledger, a few numbers a
+document, and policies and ablations read it from there.
 
 Defined cases: a null text is an empty text; a text without words fails ``too_few_words``
-only; a null id passes through; repeated rows give repeated ledger rows; an empty table
-gives an empty ledger; extra columns of the input are not carried and cannot clash.
+only; very long texts are measured whole; ties at a bound pass, as each rule says; a null id
+passes through; repeated rows give repeated ledger rows; an empty table gives an empty ledger
+and ablations of zeros; extra columns of the input are not carried and cannot clash; a policy
+that names an unknown rule is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.text import BLANKS, dropped_chars, let, lines, words
+from bindery.storage import materialize
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -59,6 +63,10 @@ class Policy:
     version: str
     rules: tuple[str, ...]
 
+    def __post_init__(self) -> None:
+        if unknown := set(self.rules) - {rule.name for rule in RULES}:
+            raise ValueError(f"no such rules: {sorted(unknown)}")
+
     @property
     def mask(self) -> int:
         return sum(rule.mask for rule in RULES if rule.name in self.rules)
@@ -148,6 +156,11 @@ def ledger(
     )
 
 
+def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger of all rules as a written table; the texts are not read again."""
+    return materialize(ledger(docs, doc_id, text), "quality-ledger")
+
+
 def apply_policy(book: DataFrame, policy: Policy) -> DataFrame:
     """The ledger with ``kept`` and the policy's version."""
     return book.select(
@@ -193,8 +206,9 @@ def ablations(book: DataFrame, policies: Mapping[str, Policy] | Sequence[Policy]
 
 
 def op1_quality_rules(spark, sf_dir) -> DataFrame:
-    """Measurements, base verdict and the verdict of policy ``web-1`` for all documents."""
-    book = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), WEB)
+    """Measurements, base verdict and the verdict of policy ``web-1`` for all documents, from
+    the stored ledger."""
+    book = apply_policy(stored(spark.read.parquet(f"{sf_dir}/documents.parquet")), WEB)
     base_failed = F.col("failed").bitwiseAND(F.lit(BASE.mask)) != 0
     return book.select(
         "doc_id",
@@ -209,6 +223,11 @@ def op1_quality_rules(spark, sf_dir) -> DataFrame:
     )
 
 
+def quality_ablations(spark, sf_dir) -> DataFrame:
+    """What each rule of the policies ``base-1`` and ``web-1`` removes from all documents."""
+    return ablations(stored(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -246,3 +265,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM f
 """
+
+
+def _ablations_oracle() -> str:
+    pairs = ", ".join(
+        f"('{policy.version}', '{rule.name}', {policy.mask}, {rule.mask})"
+        for policy in (BASE, WEB)
+        for rule in RULES
+        if rule.mask & policy.mask
+    )
+    return f"""
+SELECT policy, rule, count(*) FILTER (WHERE failed & own <> 0) AS n_failed, count(*) FILTER (WHERE failed & mask = own) AS n_only,
+  count(*) FILTER (WHERE failed & mask = 0) AS kept, count(*) FILTER (WHERE failed & (mask - own) = 0) AS kept_without
+FROM ({ORACLE}) b, (VALUES {pairs}) v(policy, rule, mask, own) GROUP BY policy, rule
+"""
+
+
+ABLATIONS_ORACLE = _ablations_oracle()

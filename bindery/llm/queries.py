@@ -16,6 +16,8 @@ QUERIES = {
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op1_quality_rules": quality.op1_quality_rules,
+    "quality_ablations": quality.quality_ablations,
+    "secret_ledger_rounds": secrets.secret_ledger_rounds,
 }
 
 ORACLES = {
@@ -27,4 +29,6 @@ ORACLES = {
     "op7_line_dedup": linededup.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op1_quality_rules": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS_ORACLE,
+    "secret_ledger_rounds": secrets.ROUNDS_ORACLE,
 }

@@ -6,22 +6,29 @@ pairs that the ledger lacks, so copies, and versions that come back, are scanned
 Findings are joined back to all paths by content address.
 
 Spans come from native regular expressions: splitting at a pattern gives the gaps, its
-matches give the hits, and running lengths of both give the places in code points. Each
-pattern is leftmost and non-overlapping. Cheap patterns guard the costly ones. No Python
-runs on rows.
+matches give the hits, and running lengths of both, summed in chunks and then over chunks,
+give the places in code points. Each pattern is leftmost and non-overlapping. Cheap patterns
+guard the costly ones. No Python runs on rows.
 
 Defined cases: a null text is empty; a null path passes through; equal rows give equal
-findings; an empty table gives an empty result; extra columns are not carried.
+findings; spans with equal starts are ordered by kind; very long texts are scanned whole, in
+time about linear in their hits; an empty table gives an empty result; extra columns are not
+carried.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOB_RULES_VERSION = 1
+from bindery.llm.text import let
+from bindery.storage import materialize
+
+#: Hits whose places are summed at once.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -54,6 +61,15 @@ BASE = 3
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def rules_version(rules: tuple[Secret, ...] = KINDS) -> int:
+    """A number that changes with any rule, so that what a changed rule set would find is
+    never taken from an older scan."""
+    return zlib.crc32(repr(rules).encode()) >> 1
+
+
+BLOB_RULES_VERSION = rules_version()
+
+
 def _spans(text: Column, order: int, rule: Secret) -> Column:
     """The spans of one kind, in order."""
     gaps = F.split(text, rule.pattern, -1)
@@ -65,29 +81,58 @@ def _spans(text: Column, order: int, rule: Secret) -> Column:
             F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["told"]).alias("told")
         ),
     )
-    walked = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-            F.when(
-                x["told"] >= rule.at_least,
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            F.lit(order).alias("kind"),
-                            (acc["at"] + x["gap"] + x["hit"]).alias("end"),
-                        )
+    found = let(sizes, lambda own: let(_walked(own, order, rule.at_least), _placed))
+    return F.when(text.rlike(rule.guard), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _walked(sizes: Column, order: int, at_least: int) -> Column:
+    """For each chunk of gaps and hits: struct(at, its length; found, its spans from its start)."""
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))).alias("at"),
+        F.when(
+            x["told"] >= at_least,
+            F.concat(
+                acc["found"],
+                F.array(
+                    F.struct(
+                        (acc["at"] + x["gap"]).alias("start"),
+                        F.lit(order).alias("kind"),
+                        (acc["at"] + x["gap"] + x["hit"]).alias("end"),
+                    )
+                ),
+            ),
+        )
+        .otherwise(acc["found"])
+        .alias("found"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(CHUNK)),
+        lambda first: F.aggregate(F.slice(sizes, first, F.lit(CHUNK)), start, step),
+    )
+
+
+def _placed(chunks: Column) -> Column:
+    """The spans of all chunks, moved by what comes before."""
+    ends = F.aggregate(
+        chunks,
+        F.array(F.lit(0)),
+        lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])),
+    )
+    return let(
+        ends,
+        lambda before: F.flatten(
+            F.transform(
+                chunks,
+                lambda c, k: F.transform(
+                    c["found"],
+                    lambda s: F.struct(
+                        (s["start"] + F.get(before, k)).alias("start"), s["kind"].alias("kind"), (s["end"] + F.get(before, k)).alias("end")
                     ),
                 ),
             )
-            .otherwise(acc["found"])
-            .alias("found"),
         ),
     )
-    return F.when(text.rlike(rule.guard), walked["found"]).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def blobs_of(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,8 +169,6 @@ def _written(spans: Column, rules=KINDS) -> Column:
 
 def op9_secret_scans(spark, sf_dir) -> DataFrame:
     """Spans of secrets in all documents."""
-    from bindery.storage import materialize
-
     versions = blobs_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     ledger = materialize(scan(versions), "secret-ledger")
     spans = findings(versions.select("path", "blob"), ledger)
@@ -140,7 +183,26 @@ def op9_secret_scans(spark, sf_dir) -> DataFrame:
     )
 
 
-def _oracle() -> str:
+def secret_ledger_rounds(spark, sf_dir) -> DataFrame:
+    """Two rounds over one ledger: all documents, then all documents again with all turns of
+    conversations as further versions, of which only unseen texts are scanned. A row for
+    each path of the second round: its spans, and whether its text was new to that round."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.concat(F.lit("conv/"), "conv_id", F.lit("/"), "turn").alias("path"), "text"
+    )
+    first = materialize(scan(blobs_of(docs, "path")), "secret-ledger")
+    versions = blobs_of(docs.unionByName(turns), "path")
+    second = materialize(scan(versions, first).withColumn("fresh", F.lit(True)), "secret-ledger")
+    ledger = first.withColumn("fresh", F.lit(False)).unionByName(second)
+    return (
+        versions.select("path", "blob")
+        .join(ledger, "blob")
+        .select("path", "fresh", F.size("spans").cast("long").alias("n_spans"), _written(F.col("spans")).alias("spans"))
+    )
+
+
+def _oracle(source: str = "documents") -> str:
     parts = []
     for k, rule in enumerate(KINDS):
         pattern = rule.pattern.replace("'", "''")
@@ -157,7 +219,7 @@ def _oracle() -> str:
   )"""
         )
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {source}),
 f AS ({" UNION ALL ".join(parts)}),
 g AS (
   SELECT rid, count(*) FILTER (WHERE kind = 0)::BIGINT AS a, count(*) FILTER (WHERE kind = 1)::BIGINT AS b,
@@ -173,3 +235,15 @@ FROM d LEFT JOIN g ON d.rid = g.rid
 
 
 ORACLE = _oracle()
+
+_BOTH = """(SELECT 'doc/' || doc_id AS doc_id, text FROM documents
+  UNION ALL SELECT 'conv/' || conv_id || '/' || turn, text FROM conversations) both_tables"""
+ROUNDS_ORACLE = f"""
+WITH r AS ({_oracle(_BOTH)}),
+v AS (
+  SELECT 'doc/' || doc_id AS path, FALSE AS fresh FROM documents
+  UNION ALL SELECT 'conv/' || conv_id || '/' || turn, NOT EXISTS (SELECT 1 FROM documents x WHERE coalesce(x.text, '') = coalesce(c.text, '')) FROM conversations c
+)
+SELECT path, fresh, coalesce(len(string_split(nullif(spans, ''), ',')), 0)::BIGINT AS n_spans, spans
+FROM r JOIN v ON r.doc_id = v.path
+"""

@@ -13,6 +13,8 @@ exact integer inner products, ties to the smaller id.
 Distribution: the grid of row blocks and query chunks is a plain equality grouping; a row
 is sent once per chunk and a query once per block, each group holds one block and one
 chunk of bounded size, and gives at most k rows per query, which a ranked window merges.
+At the largest sizes a block is sent, and its index made, once for 8192 queries, each of
+which then adds up all of its bitmaps: sending and indexing are a small share of that.
 Nothing is broadcast. Groups are re-computed alone if an executor is lost.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have a null
@@ -182,9 +184,12 @@ def _integers(column, scale: int) -> np.ndarray:
     else:
         dense = np.zeros((n, dim))
         dense[np.repeat(np.arange(n), sizes), np.concatenate([np.arange(s) for s in sizes]) if n else []] = flat
-    floors = np.floor(scale * dense)
+    with np.errstate(over="ignore"):
+        floors = np.floor(scale * dense)
     if floors.size and np.abs(floors).max() >= 2.0**40:
-        return np.array([[int(x) if np.isfinite(x) else int(LONG.max) for x in row] for row in floors], dtype=object)
+        # Beyond the precision of a double a component is an integer, scaled as one.
+        exact = lambda x, f: scale * int(x) if abs(x) >= 2.0**53 else int(f)
+        return np.array([[exact(x, f) for x, f in zip(*row)] for row in zip(dense.tolist(), floors.tolist())], dtype=object)
     return floors.astype(np.int64)
 
 

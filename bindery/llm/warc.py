@@ -4,26 +4,31 @@ Writing: each row becomes one WARC/1.1 record. Of records with equal payloads (b
 length) of at least ``min_bytes`` bytes, the one with the largest id is a response, the
 others are revisits that refer to it and carry no payload. Records end with two line breaks,
 so Spark's text sink, with those as its line separator, writes well-formed archives through
-its own commit protocol to any file system, in files of bounded record counts.
+its own commit protocol to any file system. The records of a file are so many that even
+records of the largest payload keep it below ``FILE_BYTES``, if not below 16 of them.
 
-Reading: each archive is parsed by its declared lengths, response payloads are checked
-against their digests, and the captures of one archive form one run, sorted by URL key,
-timestamp and id. Merging: runs are dealt out by ranges of that order; within a range a
-loser tree merges the runs' stretches, so partitions in order give the globally ordered
-capture history. A range is bounded by ``RANGE_ROWS`` captures, also where one host or one
-URL holds most of them, as the order ends with the id.
+Reading: each archive is parsed as a stream, record by record, by its declared lengths,
+response payloads are checked against their digests, and the captures of one archive form
+one run, sorted by URL key, timestamp, id, file and offset. Merging: runs are dealt out by
+ranges of that order; within a range a loser tree merges the runs' stretches, held as Arrow
+columns and read row by row, so partitions in order give the globally ordered capture
+history. A range holds about ``RANGE_ROWS`` captures, also where one host, one URL or one
+page holds most of them, as the order ends with the place in the archives.
 
 Defined cases: null html is an empty payload; a null URL is written as ``urn:page:<id>``;
 a null id is written as ``urn:page:`` and read back as null, and never is the response of
 equal payloads unless all are null; repeated rows give a record each, those with the
-largest id all being responses; an empty table gives an empty result; extra columns are not
-carried.
+largest id all being responses; captures that tie in key, time and id follow their places
+in the archives; very long payloads make records of their own length; an empty table gives
+an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import re
 from base64 import b32encode
 from collections.abc import Iterable, Iterator
 
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.storage import materialize, shared_dir
+from bindery.storage import discard, materialize, shared_dir
 
 MIN_BYTES = 0
+#: Records of a file at most, and bytes before compression that decide on fewer.
 RECORDS_PER_FILE = 5000
+FILE_BYTES = 1 << 30
 RANGE_ROWS = 200_000
 #: Captures without a time of their own: seconds from this moment (2024-01-01) by id.
 EPOCH = 1704067200
@@ -45,7 +52,7 @@ INDEX = (
     "urlkey string, timestamp string, page_id long, record_type string, payload_bytes long, "
     "payload_digest string, refers_to long, file string, offset long, length long"
 )
-ORDER = ["urlkey", "timestamp", "page_id"]
+ORDER = ["urlkey", "timestamp", "page_id", "file", "offset"]
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -55,7 +62,18 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
+def payloads(pages: DataFrame, page_id: str, html: str) -> DataFrame:
+    """(digest, bytes, top): the largest id of equal payloads, as a written table."""
+    payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    keyed = pages.select(
+        F.col(page_id).cast("long").alias("id"),
+        F.octet_length(payload).cast("long").alias("bytes"),
+        base32_sha1(payload).alias("digest"),
+    )
+    return materialize(keyed.groupBy("digest", "bytes").agg(F.max("id").alias("top")), "payloads")
+
+
+def records(pages: DataFrame, first: DataFrame, page_id: str, url: str, html: str, min_bytes: int) -> DataFrame:
     """(value): each row as the text of one WARC record, without its end."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     keyed = pages.select(
@@ -65,7 +83,6 @@ def records(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int)
         F.octet_length(payload).cast("long").alias("bytes"),
         base32_sha1(payload).alias("digest"),
     )
-    first = materialize(keyed.groupBy("digest", "bytes").agg(F.max("id").alias("top")), "payloads")
     met = keyed.join(first, ["digest", "bytes"]).withColumn(
         "revisit", (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("top"))
     )
@@ -108,13 +125,16 @@ def write_archives(
     min_bytes: int = MIN_BYTES,
 ) -> None:
     """Write the rows to gzipped WARC files in the folder ``path``."""
+    first = payloads(pages, page_id, html)
+    largest = (first.agg(F.max("bytes")).first()[0] or 0) + 2048
     (
-        records(pages, page_id, url, html, min_bytes)
+        records(pages, first, page_id, url, html, min_bytes)
         .write.option("lineSep", END.decode())
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", max(16, min(RECORDS_PER_FILE, FILE_BYTES // largest)))
         .text(path)
     )
+    discard(first)
 
 
 def url_key(url: str) -> str:
@@ -125,8 +145,8 @@ def url_key(url: str) -> str:
     rest = rest.partition("#")[0]
     cut = min((i for i in (rest.find("/"), rest.find("?")) if i >= 0), default=len(rest))
     host, tail = rest[:cut].rpartition("@")[2].lower(), rest[cut:] or "/"
-    name, _, port = host.partition(":")
-    labels = name.split(".")
+    name, _, port = host.rpartition(":") if re.search(r":\d*$", host) and not host.endswith("]") else (host, "", "")
+    labels = [name] if name.startswith("[") else name.split(".")
     if labels[0] == "www" and len(labels) > 2:
         labels = labels[1:]
     own = f":{port}" if port and (scheme.lower(), port) not in (("http", "80"), ("https", "443")) else ""
@@ -140,37 +160,45 @@ def _id_of(urn: str | None) -> int | None:
 
 def parse_archive(data: bytes, name: str) -> Iterator[tuple]:
     """Index rows of an archive in file order; ``offset`` is in its uncompressed bytes."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
     at = 0
-    while at < len(data):
-        stop = data.index(END, at)
-        version, *fields = data[at:stop].decode("utf-8").split(BREAK)
+    while head_bytes := _header(stream):
+        version, *fields = head_bytes.decode("utf-8").split(BREAK)
         if not version.startswith("WARC/"):
             raise ValueError(f"{name}: no record at {at}")
         head = {k.lower(): v for k, _, v in (f.partition(": ") for f in fields)}
-        start = stop + len(END)
-        after = start + int(head["content-length"])
-        if data[after : after + len(END)] != END:
-            raise ValueError(f"{name}: the record at {at} does not end at {after}")
-        block = memoryview(data)[start:after]
-        inner = data.index(END, start, after) + len(END)
-        http = dict(f.partition(": ")[::2] for f in data[start:inner].decode("utf-8").split(BREAK) if ": " in f)
+        length = int(head["content-length"])
+        block = stream.read(length)
+        if len(block) != length or stream.read(len(END)) != END:
+            raise ValueError(f"{name}: the record at {at} does not end after {length} bytes")
+        inner = block.index(END) + len(END)
+        http = dict(f.partition(": ")[::2] for f in block[:inner].decode("utf-8").split(BREAK) if ": " in f)
         size, digest = int(http["Content-Length"]), head["warc-payload-digest"].removeprefix("sha1:")
         kind = head["warc-type"]
         if kind == "response":
-            payload = block[inner - start :]
+            payload = memoryview(block)[inner:]
             if len(payload) != size or b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                raise ValueError(f"{name}: the payload at {inner} does not match its digest")
+                raise ValueError(f"{name}: the payload of the record at {at} does not match its digest")
         stamp = "".join(c for c in head["warc-date"] if c.isdigit())
+        whole = len(head_bytes) + length + 2 * len(END)
         yield (
             url_key(head["warc-target-uri"]), stamp, _id_of(head["warc-record-id"]), kind, size, digest,
-            _id_of(head.get("warc-refers-to")), name, at, after + len(END) - at,
+            _id_of(head.get("warc-refers-to")), name, at, whole,
         )
-        at = after + len(END)
+        at += whole
+
+
+def _header(stream) -> bytes:
+    """The lines before the next empty one, without the breaks at their end; empty at the end."""
+    found = []
+    while (line := stream.readline()) not in (b"", BREAK.encode()):
+        found.append(line)
+    return b"".join(found).removesuffix(BREAK.encode())
 
 
 def _key(row: tuple) -> tuple:
-    return row[0], row[1], -(2**63) if row[2] is None else row[2]
+    return row[0], row[1], -(2**63) if row[2] is None else row[2], row[7], row[8]
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -240,6 +268,12 @@ class LoserTree:
             self.winner = one
 
 
+def _rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for part in parts:
+        for at in range(0, part.num_rows, 1000):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, 1000).columns))
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Runs -> the capture history: partitions in order, and rows in order within each."""
     rows = runs.count()
@@ -247,12 +281,16 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches: dict[str, list[tuple]] = {}
+        # The stretch of one file is slices of consecutive batches, kept as columns.
+        stretches: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                stretches.setdefault(row[7], []).append(row)
+            files = batch.column(7).to_pylist()
+            cuts = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1]), len(files)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    stretches.setdefault(files[a], []).append(batch.slice(a, b - a))
         ready: list[tuple] = []
-        for row in LoserTree(stretches.values(), _key):
+        for row in LoserTree(map(_rows, stretches.values()), _key):
             ready.append(row)
             if len(ready) == 10_000:
                 yield _table(ready, _SCHEMA)
@@ -260,7 +298,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if ready:
             yield _table(ready, _SCHEMA)
 
-    dealt = runs.repartitionByRange(ranges, *ORDER).sortWithinPartitions("file", *ORDER)
+    dealt = runs.repartitionByRange(ranges, *ORDER).sortWithinPartitions("file", *ORDER[:3], "offset")
     return dealt.mapInArrow(merge, INDEX)
 
 
