@@ -4,26 +4,31 @@ A text is read as words, lower-cased and without punctuation at their ends; a wo
 a run of 8-byte codes, hashes of its first 3, 5 and 7 characters and of the whole. Codes
 are incompressible, so a match with a dictionary saves as much whatever a word's letters,
 and words that merely resemble others save nothing. Training takes a bounded sample of
-labelled rows: the toxic dictionary is made of the code runs that toxic texts hold more
-often than ordinary ones, by document frequency and likelihood ratio; the ordinary one of
-as many runs that ordinary texts favour. Every window of ``WINDOW`` words of a text is
+labelled rows. Each class's windows, less the codes that the class does not hold more often
+than the other (by document frequency and likelihood ratio), are the samples from which
+zstandard's own trainer makes its dictionary. Every window of ``WINDOW`` words of a text is
 compressed with both; the margin of a window is the difference of the compressed lengths.
 A margin threshold is calibrated on ordinary training windows, and a logistic model over a
 text's margins gives its score. Labels, language, source and id are not inputs of a score.
 
 Scoring is one pass without a shuffle; the model is a few kilobytes. Only the model's
-sample meets the driver: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled ids, the
-first by a hash of the id, and their texts of at most ``SAMPLE_CHARS`` characters.
+sample meets the driver: one text for each of at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS``
+labelled ids, the first by a hash of the id, whatever their length.
 
 Defined cases: null and empty texts are one empty window and get a score; with fewer than
 three toxic or ordinary training texts every score is the smoothed share of toxic labels;
-null labels and ids are not learned from; null ids are never held out; repeated rows score alike; an empty
-table gives an empty result; extra columns are carried only by ``keep_clean``.
+where samples are too few for the trainer, they are the dictionary themselves; null labels
+and ids are not learned from; an id labelled both ways is toxic; of rows with one labelled id
+the least text is learned from; null ids are never held out; repeated rows score alike, and a
+score of exactly one half is toxic; very long texts are scored whole, in groups of windows; an
+empty table gives an empty result; extra columns, whatever their names, are carried only by
+``keep_clean``.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,13 +41,15 @@ from pyspark.sql import functions as F
 
 TOXIC_ROWS = 1000
 ORDINARY_ROWS = 3000
-SAMPLE_CHARS = 50_000
-WINDOW = 8
+WINDOW = 16
 STEMS = (3, 5, 7)
 CODE = 8
 DICTIONARY_BYTES = 4096
-CONTRAST = 6.0
-SIGNIFICANCE = 20.0
+#: Bytes of the stretches that the trainer picks: the codes of one word.
+STRETCH = 32
+#: How much more often, and how surely so, a class holds the codes its dictionary is made of.
+TOXIC_CONTRAST, TOXIC_SIGNIFICANCE = 6.0, 20.0
+ORDINARY_CONTRAST, ORDINARY_SIGNIFICANCE = 1.5, 6.0
 LEAST_DOCS = 3
 RIDGE = 0.3
 #: Words that are compressed in one call.
@@ -177,34 +184,34 @@ def _codes_of(words: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(words), np.uint64))
 
 
-def _distinctive(own: list[list[bytes]], other: list[list[bytes]], limit: int) -> list[bytes]:
-    """Code runs that ``own`` texts hold more often than ``other``, the strongest last."""
+def _distinctive(own: list[list[bytes]], other: list[list[bytes]], contrast: float, significance: float) -> set[bytes]:
+    """Codes that ``own`` texts hold more often than ``other``."""
     codes, found = np.unique(np.concatenate([_codes_of(words) for words in own]), return_counts=True)
     codes, found = codes[found >= LEAST_DOCS], found[found >= LEAST_DOCS]
     against = np.zeros(len(codes), np.int64)
     for words in other:
         against += np.isin(codes, _codes_of(words), assume_unique=True)
     n1, n0 = len(own), len(other)
-    strength: dict[bytes, float] = {}
-    for k in np.flatnonzero(found / n1 > CONTRAST * (against + 0.5) / n0):
-        ratio = _likelihood_ratio(int(found[k]), n1, int(against[k]), n0)
-        if ratio > SIGNIFICANCE:
-            strength[codes[k].tobytes()] = ratio
-    runs: dict[bytes, float] = {}
-    for words in own:
-        for word in words:
-            strong = [c for c in _split(word) if c in strength]
-            if strong:
-                runs[b"".join(strong)] = max(strength[c] for c in strong)
-    kept: list[bytes] = []
-    size = 0
-    for run in sorted(runs, key=lambda r: (-runs[r], -len(r), r)):
-        if size + len(run) > limit:
-            break
-        if not any(run in other_run for other_run in kept):
-            kept.append(run)
-            size += len(run)
-    return kept[::-1]
+    often = np.flatnonzero(found / n1 > contrast * (against + 0.5) / n0)
+    sure = [k for k in often if _likelihood_ratio(int(found[k]), n1, int(against[k]), n0) > significance]
+    return {codes[k].tobytes() for k in sure}
+
+
+def _samples(texts: list[list[bytes]], kept: set[bytes]) -> list[bytes]:
+    """What ``kept`` codes leave of each window that has any."""
+    parts = (words[at : at + WINDOW] for words in texts for at in range(0, len(words), WINDOW))
+    left = (b"".join(c for word in part for c in _split(word) if c in kept) for part in parts)
+    return [x for x in left if x]
+
+
+def _dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on the samples, or, of too few of them, the distinct
+    ones, the most frequent last."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=STRETCH, d=CODE, level=3).as_bytes()
+    except zstandard.ZstdError:
+        ranked = [x for x, _ in sorted(Counter(samples).items(), key=lambda x: (x[1], x[0]))]
+        return b"".join(ranked)[-DICTIONARY_BYTES:]
 
 
 def _unique(texts: list[str]) -> list[list[bytes]]:
@@ -234,12 +241,12 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int, n_ordinary: int) ->
     own, other = _unique(toxic), _unique(ordinary)
     if len(own) < LEAST_DOCS or len(other) < LEAST_DOCS:
         return model
-    gained = _distinctive(own, other, DICTIONARY_BYTES)
-    if not gained:
+    toxic_codes = _distinctive(own, other, TOXIC_CONTRAST, TOXIC_SIGNIFICANCE)
+    if not toxic_codes:
         return model
-    model.toxic = b"".join(gained)
-    lost = b"".join(_distinctive(other, own, len(model.toxic)))
-    model.ordinary = (b"\0" * len(model.toxic) + lost)[-len(model.toxic) :]
+    ordinary_codes = _distinctive(other, own, ORDINARY_CONTRAST, ORDINARY_SIGNIFICANCE)
+    model.toxic = _dictionary(_samples(own, toxic_codes))
+    model.ordinary = _dictionary(_samples(other, ordinary_codes))
     margins, starts, labels = [], [], []
     at = 0
     for label, group in zip((1.0, 0.0), (own, other)):
@@ -266,15 +273,18 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from the labelled rows that are not held out; labels is (doc_id, toxic)."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("bad")
-    ).distinct()
+    known = (
+        labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy(F.col("doc_id").alias("id"))
+        .agg(F.bool_or(F.col("toxic") == 1).alias("bad"))
+    )
     counts = {r["bad"]: r["n"] for r in known.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     first = lambda bad, most: known.filter(F.col("bad") == bad).orderBy(F.xxhash64("id"), "id").limit(most)
     # At most TOXIC_ROWS + ORDINARY_ROWS ids, so the texts stay where they are.
     wanted = F.broadcast(first(True, TOXIC_ROWS).unionByName(first(False, ORDINARY_ROWS)))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id")
-    sample = sorted((r["bad"], r["text"]) for r in rows.filter(F.length("text") <= SAMPLE_CHARS).select("bad", "text").collect())
+    one_each = rows.groupBy("id", "bad").agg(F.min("text").alias("text"))
+    sample = sorted((r["bad"], r["text"]) for r in one_each.select("bad", "text").collect())
     of = lambda bad: [t for b, t in sample if b is bad]
     model = fit(of(True), of(False), counts.get(True, 0), counts.get(False, 0))
     _cache.clear()  # the driver has no further use for the words

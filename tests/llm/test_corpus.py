@@ -261,6 +261,25 @@ def test_toxicity(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in toxicity.scores(docs, model).collect())
     assert toxicity.scores(empty, model).count() == 0
     assert toxicity.train(table, labels.limit(0)).weights == []
+    # Margins, one window at a time by the library's plain call.
+    assert model.toxic[:4] == b"\x37\xa4\x30\xec", "trained by zstandard"
+    parts = [p for _, t, _ in texts[::9] for p in toxicity.windows(toxicity.coded(t))]
+    ordinary, toxic = model.compressors()
+    assert model.margins(parts).tolist() == [len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts]
+    assert max(model.margins(parts)) > model.threshold
+
+
+def test_toxicity_learns_one_text_of_each_labelled_id(spark, monkeypatch):
+    sent = {}
+    monkeypatch.setattr(toxicity, "fit", lambda *a: sent.setdefault("fit", a))
+    rows = [(1, "b"), (1, "a"), (2, "x " * 100_000), (3, None), (4, "q"), (None, "n")] + [(2, "y")] * 50
+    labels = [(1, 1), (1, 0), (2, 0), (2, None), (3, 0), (None, 1), (4, 1), (9, 0)]
+    ids = {k for k in (1, 2, 3, 4, 9) if zlib.crc32(str(k).encode()) % 5}
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    text, bad = {1: "a", 2: "x " * 100_000, 3: "", 4: "q"}, {1, 4}
+    assert sent["fit"] == (
+        sorted(text[k] for k in ids & bad), sorted(text[k] for k in ids - bad - {9}), len(ids & bad), len(ids - bad),
+    )
 
 
 def brute_lines(rows, least=5, chars=40):
