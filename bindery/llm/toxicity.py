@@ -54,7 +54,7 @@ LEAST_DOCS = 3
 RIDGE = 0.3
 #: Words that are compressed in one call.
 GROUP_WORDS = 100_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 PUNCTUATION = ".,;:!?|*&%$#<>()[]{}\"'-_=+/\\~`"
 
 _cache: dict[str, bytes] = {}
