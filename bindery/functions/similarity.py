@@ -65,15 +65,12 @@ def penalty(raw: Column) -> Column:
     return F.when(raw >= DEAD_BAND, F.lit(0.0)).when(raw < FLOOR, F.lit(1.0)).otherwise(told)
 
 
-def compared_titles(file_title: Column, record_title: Column) -> tuple[Column, Column]:
-    """The keys that are compared: whole titles where both have a subtitle, else the heads."""
-    head, subtitle = X.head_and_subtitle(file_title)
-    other_head, other_subtitle = X.head_and_subtitle(record_title)
-    both = subtitle.isNotNull() & other_subtitle.isNotNull()
-    full = lambda h, s: F.concat(h, F.lit(": "), s)
-    left = F.when(both, full(head, subtitle)).otherwise(head)
-    right = F.when(both, full(other_head, other_subtitle)).otherwise(other_head)
-    return X.comparison_key(left), X.comparison_key(right)
+def compared_titles(file: Column, record: Column) -> Column:
+    """struct(file, record) of the titles that are compared, from ``text.parted`` of both: whole
+    titles where both have a subtitle, else the heads."""
+    both = file["subtitle"].isNotNull() & record["subtitle"].isNotNull()
+    told = lambda x: F.when(both, F.concat(x["head"], F.lit(": "), x["subtitle"])).otherwise(x["head"])
+    return F.struct(told(file).alias("file"), told(record).alias("record"))
 
 
 def weighted_score(title: Column, author: Column, series_differs: Column, year_differs: Column) -> Column:
@@ -100,11 +97,16 @@ def weighted_score(title: Column, author: Column, series_differs: Column, year_d
     return F.round(F.when(agrees, F.least(score, F.lit(1.0))).otherwise(F.least(score, F.lit(CEILING))), 4)
 
 
-def title_agrees(file_title: Column, record_title: Column) -> Column:
-    """Whether a record's title says nothing against the file's: its head is in the file's
-    head as whole words, or is similar enough; a file without a title agrees."""
-    own = X.comparison_key(X.head_and_subtitle(file_title)[0])
-    other = X.comparison_key(X.head_and_subtitle(record_title)[0])
+def heads_agree(own: Column, other: Column) -> Column:
+    """Whether a record's title says nothing against the file's, from the keys of both heads:
+    the record's is in the file's as whole words, or is similar enough; a file without a title
+    agrees."""
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     inside = (other != "") & F.contains(padded(own), padded(other))
     return (own == "") | inside | (1.0 - penalty(ratio(own, other)) >= TITLE_AGREES)
+
+
+def title_agrees(file_title: Column, record_title: Column) -> Column:
+    """``heads_agree`` of two titles."""
+    key = lambda t: X.comparison_key(X.parted(t)["head"])
+    return heads_agree(key(file_title), key(record_title))

@@ -32,27 +32,40 @@ def settled(sightings: DataFrame, checks: int = 2, by: str = "path", at: str = "
     return runs.withColumn("streak", streak).withColumn("settled", F.col("streak") >= checks).drop("__changed", "__run")
 
 
+#: A name that says which of several it is: stem, number, ending.
+NUMBERED = r"^(.*) \(([2-9]|[1-9]\d{1,8})\)(\.[^.]*)?$"
+
+
 def free_names(wanted: DataFrame, taken: DataFrame, name: str = "name", order: list[str] | None = None) -> DataFrame:
     """Wanted names with ``free``: the name, or ``name (2).ext`` and on, the first that
-    neither the folder nor an earlier row has. ``taken`` is (name)."""
-    stem = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
-    ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    place = F.row_number().over(Window.partitionBy(name).orderBy(*(order or [name])))
-    numbered = r"^(.*) \((\d+)\)(\.[^.]*)?$"
-    used = taken.select(
-        F.when(F.col(name).rlike(numbered), F.concat(F.regexp_extract(name, numbered, 1), F.regexp_extract(name, numbered, 3)))
-        .otherwise(F.col(name))
-        .alias("__base"),
-        F.when(F.col(name).rlike(numbered), F.regexp_extract(name, numbered, 2).cast("int")).otherwise(1).alias("__used"),
+    neither the folder nor an earlier row has. ``taken`` is (name).
+
+    A numbered name that is wanted itself is kept for the row that wants it. The p-th free
+    number of a name is p and as many more as there are used ones before it: the i-th used
+    number u has u - i free ones below it, so one running count over both tells them apart.
+    """
+    row = "__row"
+    keyed = wanted.withColumn("__place", F.row_number().over(Window.partitionBy(name).orderBy(*(order or [name]))))
+    part = lambda group: F.regexp_extract(name, NUMBERED, group)
+    numbered = taken.select(name).unionByName(wanted.select(name)).filter(F.col(name).rlike(NUMBERED)).distinct()
+    used = (
+        taken.select(F.col(name).alias("__base"), F.lit(1).cast("long").alias("__n"))
+        .unionByName(numbered.select(F.concat(part(1), part(3)).alias("__base"), part(2).cast("long").alias("__n")))
+        .distinct()
+        .join(wanted.select(F.col(name).alias("__base")).distinct(), "__base", "left_semi")
     )
-    numbers = used.groupBy("__base").agg(F.collect_set("__used").alias("__used"))
-    met = wanted.withColumn("__place", place).join(numbers, wanted[name] == numbers["__base"], "left")
-    own = F.coalesce("__used", F.array().cast("array<int>"))
-    open_ = F.filter(F.sequence(F.lit(1), F.col("__place") + F.size(own)), lambda n: ~F.array_contains(own, n))
-    number = F.get(open_, F.col("__place") - 1)
-    return met.withColumn(
-        "free", F.when(number == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), ending))
-    ).drop("__place", "__base", "__used")
+    below = F.col("__n") - F.row_number().over(Window.partitionBy("__base").orderBy("__n"))
+    asks = keyed.select(F.col(name).alias("__base"), F.col("__place").cast("long").alias("__at"), F.struct("*").alias(row))
+    told = asks.withColumn("__used", F.lit(0)).unionByName(
+        used.select("__base", below.alias("__at"), F.lit(None).cast(asks.schema[row].dataType).alias(row), F.lit(1).alias("__used"))
+    )
+    so_far = Window.partitionBy("__base").orderBy("__at", "__used").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = (F.col("__at") + F.sum("__used").over(so_far)).alias("__number")
+    stem, ending = (F.regexp_extract("__base", r"^(.*?)(\.[^.]*)?$", group) for group in (1, 2))
+    again = F.concat(stem, F.lit(" ("), F.col("__number").cast("string"), F.lit(")"), ending)
+    free = F.when(F.col("__number") == 1, F.col("__base")).otherwise(again)
+    found = told.select("__base", row, number).filter(F.col(row).isNotNull())
+    return found.select(*(F.col(row)[c].alias(c) for c in wanted.columns), free.alias("free"))
 
 
 def destinations(files: DataFrame, delivered: DataFrame) -> DataFrame:

@@ -146,9 +146,10 @@ def wants_cover(add_cover: bool = True) -> Column:
 
 
 def audit_line(path: Column, outcome: Column, source: Column, score: Column) -> Column:
-    """One line for a book: what became of it and every change, in order."""
+    """One line for a book: what became of it and every change, in order; nothing of a source or
+    score that is null."""
     told = F.transform("changes", lambda c: F.concat(c["field"], F.lit("="), X.short_reason(c["value"])))
     return F.concat_ws(
-        " | ", path, outcome, F.concat(F.lit("source="), source), F.concat(F.lit("score="), F.format_string("%.4f", score)),
+        " | ", path, outcome, F.concat(F.lit("source="), source), F.when(score.isNotNull(), F.concat(F.lit("score="), F.format_string("%.4f", score))),
         F.when(F.size("changes") == 0, F.lit("no change")).otherwise(F.array_join(told, "; ")),
     )

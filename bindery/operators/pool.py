@@ -69,16 +69,24 @@ def standard_record_order(fields=PAYLOAD) -> list[Column]:
 def work_groups(pool: DataFrame) -> DataFrame:
     """The pool with ``group`` (title head and author letters; null if either is missing) and
     ``placement`` (series and position, both or none; a sole one in the group is everyone's)."""
-    head = X.comparison_key(X.head_and_subtitle(F.col("title"))[0])
-    series = X.comparison_key(F.col("series"))
-    number = X.said(F.col("series_number"))
-    keyed = pool.withColumns(
+    # Each step in a projection of its own: what a later one reads twice is a column by then.
+    told = pool.withColumns(
         {
-            "__head": F.nullif(head, F.lit("")),
-            "__letters": X.letters(X.name_keys(F.coalesce("authors", F.array().cast("array<string>")))),
-            "__own": F.when((series != "") & number.isNotNull(), F.concat_ws("\x1f", series, number)),
+            "__title": X.parted(F.col("title"))["head"],
+            "__names": X.name_keys(F.coalesce("authors", F.array().cast("array<string>"))),
+            "__number": X.said(F.col("series_number")),
         }
     )
+    spelled = told.withColumns(
+        {"__head": X.comparison_key(F.col("__title")), "__letters": X.letters(F.col("__names")), "__series": X.comparison_key(F.col("series"))}
+    )
+    series, number = F.col("__series"), F.col("__number")
+    keyed = spelled.withColumns(
+        {
+            "__head": F.nullif("__head", F.lit("")),
+            "__own": F.when((series != "") & number.isNotNull(), F.concat_ws("\x1f", series, number)),
+        }
+    ).drop("__title", "__names", "__number", "__series")
     group = F.when(
         F.col("__head").isNotNull() & F.col("__letters").isNotNull(), F.concat_ws("\x1f", "__head", "__letters")
     )
@@ -109,16 +117,20 @@ def standard_records(pool: DataFrame) -> DataFrame:
 
 def identity() -> Column:
     """What identifies a record: its ISBN-13, else title, first author and year; or null."""
+    return _identified(X.comparison_key(F.col("title")), X.name_key(F.get("authors", 0)))
+
+
+def _identified(title: Column, author: Column) -> Column:
     isbn = X.isbn13(F.col("isbn"))
-    title = X.comparison_key(F.col("title"))
-    author = X.name_key(F.get("authors", 0))
     key = F.concat_ws("\x1f", F.lit("key"), title, author, F.coalesce(X.year(F.col("date")), F.lit("")))
     return F.when(isbn.isNotNull(), F.concat(F.lit("isbn\x1f"), isbn)).when((title != "") & (author != ""), key)
 
 
 def dedupe(pool: DataFrame) -> DataFrame:
     """One candidate for each record, the first in the pool."""
-    return first_in_group(pool, ["book_id"], identity(), [F.col("pos").asc()])
+    keyed = pool.withColumns({"__title": X.comparison_key(F.col("title")), "__author": X.name_key(F.get("authors", 0))})
+    keyed = keyed.withColumn("__identity", _identified(F.col("__title"), F.col("__author"))).drop("__title", "__author")
+    return first_in_group(keyed, ["book_id"], F.col("__identity"), [F.col("pos").asc()]).drop("__identity")
 
 
 def concat_pools(pool: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -36,11 +36,13 @@ def score(pool: DataFrame, books: DataFrame) -> DataFrame:
     """
     file = books.select("book_id", *(F.col(c).alias(f"file_{c}") for c in ("title", "authors", "language", "date")))
     met = pool.join(file, "book_id").filter(X.same_language(F.col("file_language"), F.col("language")))
-    left, right = S.compared_titles(F.col("file_title"), F.col("title"))
-    keyed = met.withColumns(
+    # Each step in a projection of its own: what a later one reads twice is a column by then.
+    sides = met.withColumns({"__file": X.parted(F.col("file_title")), "__record": X.parted(F.col("title"))})
+    chosen = sides.withColumn("__titles", S.compared_titles(F.col("__file"), F.col("__record")))
+    keyed = chosen.withColumns(
         {
-            "__left": left,
-            "__right": right,
+            "__left": X.comparison_key(F.col("__titles.file")),
+            "__right": X.comparison_key(F.col("__titles.record")),
             "__wanted": X.name_keys("file_authors"),
             "__found": X.name_keys("authors"),
             "__number": X.position(X.bracket(F.col("file_title"), 2)),

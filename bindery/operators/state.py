@@ -145,9 +145,37 @@ def map_genres(wanted: DataFrame, known: DataFrame, allowed: DataFrame) -> DataF
     return met.join(listed, "__key", "left").withColumn("state", state).withColumn("target", F.col("__own")).drop("__key", "__own", "mapped")
 
 
+def utc_day(at: Column) -> Column:
+    """The UTC day of a moment, whatever the session's time zone."""
+    return F.to_date(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()))
+
+
 def quota(calls: DataFrame, daily: int, when: str = "at", order: list[str] | None = None) -> DataFrame:
     """Calls with ``granted``: the first ``daily`` of each UTC day, failures counting; 0 is
-    no limit."""
-    day = F.to_date(F.col(when))
-    place = F.row_number().over(Window.partitionBy(day).orderBy(when, *(order or [])))
-    return calls.withColumn("granted", F.lit(True) if daily == 0 else place <= daily)
+    no limit.
+
+    A day is not ranked as a whole: each hour's first ``daily`` calls are found on their own,
+    and only these, of which the day's first must be some, are ranked by day.
+    """
+    if daily == 0:
+        return calls.withColumn("granted", F.lit(True))
+    keyed = calls.withColumns({"__day": utc_day(F.col(when)), "__hour": F.floor(F.unix_micros(F.col(when).cast("timestamp")) / 3_600_000_000)})
+    by = [when, *(order or [])]
+    hourly = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__day", "__hour").orderBy(*by)))
+    early = F.col("__n") <= daily
+    counts = hourly.groupBy("__day", "__hour").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__day").orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1))
+    places = counts.select("__day", "__hour", F.coalesce(before, F.lit(0)).alias("__before"))
+    met = hourly.join(places, (hourly["__day"].eqNullSafe(places["__day"])) & (hourly["__hour"].eqNullSafe(places["__hour"])), "left")
+    granted = early & (F.coalesce("__before", F.lit(0)) + F.col("__n") <= daily)
+    return met.select(*(calls[c] for c in calls.columns), granted.alias("granted"))
+
+
+def ordered_names(known: DataFrame) -> DataFrame:
+    """The name table in its stable order."""
+    return known.select("kind", "source", "key", "standard", "seen").orderBy("kind", "source", "key")
+
+
+def ordered_genres(known: DataFrame) -> DataFrame:
+    """The genre table in its stable order."""
+    return known.select("source", "genre", "mapped", "seen").orderBy("source", "genre")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import text as X
-from bindery.functions.similarity import title_agrees
+from bindery.functions.similarity import heads_agree
 from bindery.operators import pool as P
 from bindery.operators import ranking as R
 from bindery.storage import materialize
@@ -55,7 +55,8 @@ def by_isbn(books: DataFrame, sources: Sequence[tuple[str, DataFrame]], errors:
     first hit's title agrees; ``contradicted`` where it does not; ``missed``. ``found`` is
     the hit. Each source is (name, candidates by ISBN), one row per book at most being used.
     """
-    left = books.filter(X.isbn_of(F.col("isbn")).isNotNull()).select("book_id", F.col("title").alias("file_title"))
+    left = books.filter(X.isbn_of(F.col("isbn")).isNotNull()).select("book_id", X.parted(F.col("title"))["head"].alias("__head"))
+    left = left.withColumn("__own", X.comparison_key(F.col("__head"))).drop("__head")
     done = None
     for name, hits in sources:
         if errors is not None:
@@ -66,12 +67,10 @@ def by_isbn(books: DataFrame, sources: Sequence[tuple[str, DataFrame]], errors:
         first = Window.partitionBy("book_id").orderBy("pos")
         one = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
         record = one.select("book_id", F.struct(*(c for c in one.columns if c != "book_id")).alias("found"))
-        met = left.join(record, "book_id")
-        told = met.select(
-            "book_id",
-            F.when(title_agrees(F.col("file_title"), F.col("found.title")), "match").otherwise("contradicted").alias("outcome"),
-            "found",
-        )
+        met = left.join(record.withColumn("__head", X.parted(F.col("found.title"))["head"]), "book_id")
+        met = met.withColumn("__other", X.comparison_key(F.col("__head")))
+        agrees = heads_agree(F.col("__own"), F.col("__other"))
+        told = met.select("book_id", F.when(agrees, "match").otherwise("contradicted").alias("outcome"), "found")
         done = told if done is None else told.unionByName(done.select("book_id", "outcome", done["found"].cast(told.schema["found"].dataType)))
         left = left.join(record, "book_id", "left_anti")
     return done.unionByName(left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(done.schema["found"].dataType).alias("found")))
@@ -94,7 +93,9 @@ def gather(
             new = new.join(failed, "book_id", "left_anti")
         merged = P.dedupe(P.standard_records(P.concat_pools(pool, new)))
         ranked = R.rank(R.score(merged, books))
-        step = materialize(ranked.join(R.leaders(ranked, bands).select("book_id", "band"), "book_id"), "walk")
+        # The leader's band is everyone's, by the window that ranked the pool.
+        led = F.max(F.when(F.col("rk") == 1, R.band(bands))).over(Window.partitionBy("book_id"))
+        step = materialize(ranked.withColumn("band", led), "walk")
         last = number == len(sources) - 1
         strong = step.filter("band = 'strong'").withColumn("exited", F.lit(not last))
         still = step.filter("band <> 'strong'")

@@ -7,6 +7,8 @@ play its part; golden rows (published results of the rules) are given as literal
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from bindery.functions import text as X
 from bindery.operators import delivery, merge, state, walk
 from bindery.operators import pool as P
 from bindery.operators import ranking as R
-from bindery.sources import replies
+from bindery.sources import epub, replies
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -242,18 +244,26 @@ def standard_record(spark, sf_dir):
 
 @query(
     """
-WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS own FROM lineitem),
-d AS (SELECT l_partkey, count(DISTINCT own) AS n, min(own) AS one FROM g GROUP BY l_partkey)
-SELECT l_orderkey, l_linenumber, coalesce(own, CASE WHEN n = 1 THEN one END) AS placement FROM g JOIN d USING (l_partkey)
+WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_returnflag = 'R' THEN 'supplier ' || (l_suppkey % 3) || chr(31) || (l_suppkey % 2) END AS own FROM lineitem),
+d AS (SELECT l_partkey, l_returnflag <> 'N' AS told, count(DISTINCT own) AS n, min(own) AS one FROM g GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, 'part ' || g.l_partkey || chr(31) || CASE WHEN told THEN 'ab' ELSE 'cd' END AS work,
+  coalesce(own, CASE WHEN n = 1 THEN one END) AS placement
+FROM g JOIN d ON g.l_partkey = d.l_partkey AND (g.l_returnflag <> 'N') = told
 """
 )
 def placement_groups(spark, sf_dir):
-    """Placements of a part's lines; a sole one is everyone's."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("own", F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")))
-    placed = F.collect_set("own").over(Window.partitionBy("l_partkey"))
-    return lines.withColumn("placed", placed).select(
-        "l_orderkey", "l_linenumber", F.coalesce("own", F.when(F.size("placed") == 1, F.get("placed", 0))).alias("placement")
-    )
+    """Works and placements of lines as candidates titled by their part; a sole placement is
+    everyone's in its group."""
+    lines = table(spark, sf_dir, "lineitem")
+    placed = F.col("l_returnflag") == "R"
+    pool = lines.select(
+        "l_orderkey", "l_linenumber", F.lit(1).cast("long").alias("book_id"),
+        F.concat(F.lit("The Part "), "l_partkey", F.when(placed, ": a novel").otherwise("")).alias("title"),
+        F.array(F.when(F.col("l_returnflag") != "N", "B., A.").otherwise("D., C.")).alias("authors"),
+        F.when(placed, F.concat(F.lit("The Supplier, "), F.col("l_suppkey") % 3)).alias("series"),
+        F.when(placed, (F.col("l_suppkey") % 2).cast("string")).alias("series_number"),
+    )
+    return P.work_groups(pool).select("l_orderkey", "l_linenumber", F.col("group").alias("work"), "placement")
 
 
 @query(
@@ -286,47 +296,63 @@ def language_filter(spark, sf_dir):
 # ---- walks and joins --------------------------------------------------------------------
 
 
+def _hits(rows: DataFrame, book: str, source: str, title) -> DataFrame:
+    """Rows as candidates of a source, a book's in the order of ``pos``."""
+    given = {"book_id": F.col(book), "pos": F.col("pos"), "source": F.lit(source), "title": title}
+    columns = [c.split(" ", 1) for c in re.split(r", (?=\w+ \w)", P.SCHEMA)]
+    return rows.select(*(given[n].alias(n) if n in given else F.lit(None).cast(kind).alias(n) for n, kind in columns))
+
+
 @query(
     """
 WITH s AS (SELECT s_nationkey AS n, min(s_suppkey) AS k FROM supplier WHERE s_acctbal > 9000 GROUP BY 1), c AS (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer GROUP BY 1)
-SELECT n_nationkey, CASE WHEN s.k IS NOT NULL THEN 'supplier' WHEN c.k IS NOT NULL THEN 'customer' END AS source, coalesce(s.k, c.k) AS key
+SELECT n_nationkey AS book_id, CASE WHEN n_regionkey = 1 THEN 'held' WHEN s.k % 2 = 0 THEN 'match' WHEN s.k IS NOT NULL THEN 'contradicted' WHEN n_regionkey = 2 THEN 'held'
+    WHEN c.k % 2 = 0 THEN 'match' WHEN c.k IS NOT NULL THEN 'contradicted' ELSE 'missed' END AS outcome,
+  CASE WHEN n_regionkey = 1 THEN NULL WHEN s.k IS NOT NULL THEN 'supplier' WHEN n_regionkey = 2 THEN NULL WHEN c.k IS NOT NULL THEN 'customer' END AS source
 FROM nation LEFT JOIN s ON s.n = n_nationkey LEFT JOIN c ON c.n = n_nationkey
 """
 )
 def priority_fallthrough(spark, sf_dir):
-    """The first source that has a record for a nation: rich suppliers, else customers."""
-    left = table(spark, sf_dir, "nation").select("n_nationkey")
-    sources = [
-        ("supplier", table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias("key"))),
-        ("customer", table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("key"))),
-    ]
-    found = None
-    for name, records in sources:
-        hit = left.join(records, "n_nationkey").select("n_nationkey", F.lit(name).alias("source"), "key")
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(records, "n_nationkey", "left_anti")
-    return found.unionByName(left.select("n_nationkey", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("key")))
+    """The ISBN walk of nations over rich suppliers, then customers: the first source that has
+    one decides; its title agrees or contradicts; failed sources hold."""
+    nations = table(spark, sf_dir, "nation")
+    books = nations.select(F.col("n_nationkey").cast("long").alias("book_id"), F.lit("Cragside").alias("title"), F.lit("9780306406157").alias("isbn"))
+    title = F.when(F.col("pos") % 2 == 0, "Cragside: a novel").otherwise("Infirmary")
+    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").cast("long").alias("n"), F.col("s_suppkey").cast("long").alias("pos"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("n"), F.col("c_custkey").cast("long").alias("pos"))
+    sources = [("supplier", _hits(suppliers, "n", "supplier", title)), ("customer", _hits(customers, "n", "customer", title))]
+    failed = lambda region, source: nations.filter(F.col("n_regionkey") == region).select(F.col("n_nationkey").cast("long").alias("book_id"), F.lit(source).alias("source"), F.lit("timeout").alias("reason"))
+    errors = failed(1, "supplier").unionByName(failed(2, "customer"))
+    return walk.by_isbn(books, sources, errors).select("book_id", "outcome", "found.source")
 
 
 @query(
     """
-WITH one AS (SELECT s_nationkey AS n, max(s_acctbal) / 10000 AS best FROM supplier GROUP BY 1), two AS (SELECT c_nationkey AS n, max(c_acctbal) / 10000 AS best FROM customer GROUP BY 1)
-SELECT n_nationkey, coalesce(one.best >= 0.95, false) AS exited,
-  CASE WHEN coalesce(one.best >= 0.95, false) THEN one.best ELSE greatest(one.best, two.best) END AS best,
-  n_regionkey = 0 AND NOT coalesce(one.best >= 0.95, false) AS held
+WITH one AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_acctbal > 9000), two AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_acctbal > 9000)
+SELECT n_nationkey AS book_id, one.n IS NOT NULL AND n_regionkey <> 3 AS exited, n_regionkey IN (0, 3) AND NOT (one.n IS NOT NULL AND n_regionkey <> 3) AS held,
+  CASE WHEN one.n IS NOT NULL AND n_regionkey <> 3 THEN 'supplier' ELSE 'customer' END AS source
 FROM nation LEFT JOIN one ON one.n = n_nationkey LEFT JOIN two ON two.n = n_nationkey
+WHERE (one.n IS NOT NULL AND n_regionkey <> 3) OR (two.n IS NOT NULL AND n_regionkey <> 0)
 """
 )
 def fold_early_exit(spark, sf_dir):
-    """Two steps: nations that are strong after suppliers do not ask customers; a failed
-    source (region 0's second) holds those that did not stop."""
+    """The title walk of nations over two sources: a nation that is strong after rich suppliers
+    does not ask customers; a failed source (region 3's first, region 0's second) holds those
+    that did not stop."""
     nations = table(spark, sf_dir, "nation")
-    one = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg((F.max("s_acctbal") / 10000).alias("first"))
-    two = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.max("c_acctbal") / 10000).alias("second"))
-    step = nations.join(one, "n_nationkey", "left").withColumn("exited", F.coalesce(F.col("first") >= 0.95, F.lit(False)))
-    stopped = step.filter("exited").select("n_nationkey", "n_regionkey", "exited", F.col("first").alias("best"))
-    asked = step.filter("not exited").join(two, "n_nationkey", "left").select("n_nationkey", "n_regionkey", "exited", F.greatest("first", "second").alias("best"))
-    return stopped.unionByName(asked).select("n_nationkey", "exited", "best", ((F.col("n_regionkey") == 0) & ~F.col("exited")).alias("held"))
+    schema = "book_id long, title string, authors array<string>, language string, date string"
+    book = {"title": F.lit("Cragside"), "authors": F.array(F.lit("L. J. Ross")), "language": F.lit(None).cast("string"), "date": F.lit(None).cast("string")}
+    books = nations.select(F.col("n_nationkey").cast("long").alias("book_id"), *(c.alias(n) for n, c in book.items()))
+    assert books.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    authors = F.array(F.lit("Ross, L. J."))
+    found = lambda name, key, nation, balance, source: _hits(
+        table(spark, sf_dir, name).filter(f"{balance} > 9000").select(F.col(nation).cast("long").alias("n"), F.col(key).cast("long").alias("pos")),
+        "n", source, F.lit("Cragside"),
+    ).withColumn("authors", authors)
+    sources = [("supplier", found("supplier", "s_suppkey", "s_nationkey", "s_acctbal", "supplier")), ("customer", found("customer", "c_custkey", "c_nationkey", "c_acctbal", "customer"))]
+    failed = lambda region, source: nations.filter(F.col("n_regionkey") == region).select(F.col("n_nationkey").cast("long").alias("book_id"), F.lit(source).alias("source"), F.lit("timeout").alias("reason"))
+    errors = failed(3, "supplier").unionByName(failed(0, "customer"))
+    return walk.gather(books, sources, errors).filter("rk = 1").select("book_id", "exited", "held", "source")
 
 
 @query(values([(r[0], {"strong": "write", "medium": "ask"}.get(r[9], "unverified")) for r in SCORES], "book_id, route"))
@@ -396,21 +422,52 @@ def merge_golden(spark, sf_dir):
     return rows.select("id", "edits.title", "edits.series", "edits.series_number", "edits.drop_series_number", "edits.drop_description", told.alias("changes"))
 
 
-@query(f"SELECT doc_id, md5(trim(text) || CASE WHEN regexp_matches(text, '<[a-zA-Z][a-zA-Z0-9-]*(\\s[^>]*)?/?>') THEN '<p>{X.NOTE}</p>' ELSE chr(10) || chr(10) || '{X.NOTE}' END) AS marked, md5(trim(text)) AS unmarked, true AS stable FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS bare FROM documents)
+SELECT doc_id, md5(CASE WHEN bare = '' THEN '{X.NOTE}' WHEN regexp_matches(bare, '<[a-zA-Z][a-zA-Z0-9-]*(\s[^>]*)?/?>') THEN bare || '<p>{X.NOTE}</p>' ELSE bare || chr(10) || chr(10) || '{X.NOTE}' END) AS marked,
+  md5(nullif(bare, '')) AS unmarked, true AS stable FROM d
+"""
+)
 def mark_unmark_idempotent(spark, sf_dir):
-    """A note put on twice is there once, and comes off again."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null and trim(text) <> ''")
-    once = docs.select("doc_id", X.noted(F.col("text")).alias("once"))
+    """A note put on twice is there once, and comes off again; a blank text is the note alone."""
+    once = table(spark, sf_dir, "documents").select("doc_id", X.noted(F.col("text")).alias("once"))
     return once.select(
         "doc_id", F.md5("once").alias("marked"), F.md5(X.unmarked(F.col("once"))).alias("unmarked"),
         (X.noted(F.col("once")) == F.col("once")).alias("stable"),
     )
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'held' WHEN quality = 1 THEN 'written' WHEN quality = 0 THEN 'unverified' ELSE 'left' END || ' | ' || coalesce(source, '') || ' | ' || n_chars || ' B' AS line FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < 1024")
+@query(
+    """
+WITH b AS (SELECT d.*, toxic, quality, CASE WHEN toxic = 1 THEN 'held' WHEN quality = 1 THEN 'written' WHEN quality = 0 THEN 'unverified' ELSE 'left' END AS outcome FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT doc_id, concat_ws(' | ', CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0)
+    WHEN n_chars < 1073741824 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars < 1099511627776 THEN printf('%.1f GB', n_chars / 1073741824.0)
+    WHEN n_chars IS NOT NULL THEN printf('%.1f TB', n_chars / 1099511627776.0) END,
+  outcome, 'source=' || source, CASE WHEN quality IS NOT NULL THEN printf('score=%.4f', quality * 0.75) END,
+  CASE WHEN quality = 1 THEN 'publisher=' || source || '; language=' || lang WHEN toxic = 1 THEN 'tag=removed' ELSE 'no change' END) AS line FROM b
+"""
+)
 def change_log(spark, sf_dir):
-    """A line for each book of under 1024 bytes, as its SQL has it; ``change_log_whole`` has all."""
-    return log_lines(table(spark, sf_dir, "documents").filter("n_chars < 1024"), table(spark, sf_dir, "labels"))
+    """The audit line of each book: its size, outcome, source, score and changes."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    good, bad = F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    null = F.lit(None).cast("string")
+    book = rows.select(
+        "doc_id", "source", "quality", "toxic", X.human_size(F.col("n_chars")).alias("size"),
+        *(null.alias(f"file_{n}") for n in merge.FIELDS if n != "authors"), F.array().cast("array<string>").alias("file_authors"),
+        (bad & ~good).alias("file_unverified"),
+        *(null.alias(f"found_{n}") for n in merge.FIELDS if n not in ("authors", "language", "publisher")),
+        F.array().cast("array<string>").alias("found_authors"),
+        F.when(good, F.col("lang")).alias("found_language"), F.when(good, F.col("source")).alias("found_publisher"),
+    )
+    told = merge.changes(merge.edits(book), F.col("source"))
+    outcome = F.when(bad, "held").when(good, "written").when(F.col("quality") == 0, "unverified").otherwise("left")
+    # A book without its mark's note keeps its description: the tag alone comes off.
+    kept = F.filter("changes", lambda c: c["field"] != "description")
+    return told.withColumn("changes", kept).select(
+        "doc_id", merge.audit_line(F.col("size"), outcome, F.col("source"), F.col("quality") * 0.75).alias("line")
+    )
 
 
 @query(
@@ -551,11 +608,25 @@ def retention(spark, sf_dir):
     return delivery.expired(orders, F.lit(now), 30, "o_orderdate").select("o_orderkey")
 
 
-@query("SELECT doc_id, CASE WHEN n = 1 THEN lang || '.epub' ELSE lang || ' (' || n || ').epub' END AS free FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS n FROM documents) WHERE n <= 100000000")
+@query(
+    r"""
+WITH w AS (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN lang || ' (' || (doc_id % 7 + 2) || ').epub' ELSE lang || '.epub' END AS name FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS place FROM w),
+t AS (SELECT unnest(['en.epub', 'fr (3).epub', 'fr (12).epub', 'de (x).epub']) AS name),
+n AS (SELECT DISTINCT name FROM (SELECT name FROM t UNION ALL SELECT name FROM w) WHERE regexp_matches(name, ' \([0-9]+\)\.epub$')),
+u AS (SELECT name AS base, 1 AS n FROM t UNION SELECT regexp_replace(name, ' \([0-9]+\)\.epub$', '.epub'), regexp_extract(name, ' \(([0-9]+)\)\.epub$', 1)::INT FROM n),
+d AS (SELECT base, n - row_number() OVER (PARTITION BY base ORDER BY n) AS below FROM u),
+f AS (SELECT doc_id, name, place + (SELECT count(*) FROM d WHERE base = name AND below < place) AS k FROM p)
+SELECT doc_id, CASE WHEN k = 1 THEN name ELSE left(name, length(name) - 5) || ' (' || k || ').epub' END AS free FROM f
+"""
+)
 def collision_names(spark, sf_dir):
-    """Free names for documents named by their language, one of which the folder has."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit(".epub")).alias("name"))
-    taken = spark.createDataFrame([("en.epub",)], "name string")
+    """Free names for documents named by their language, some of them numbered already, where
+    the folder has some names."""
+    numbered = F.concat("lang", F.lit(" ("), (F.col("doc_id") % 7 + 2).cast("string"), F.lit(").epub"))
+    name = F.when(F.col("doc_id") % 9 == 4, numbered).otherwise(F.concat("lang", F.lit(".epub")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    taken = spark.createDataFrame([("en.epub",), ("fr (3).epub",), ("fr (12).epub",), ("de (x).epub",)], "name string")
     return delivery.free_names(docs, taken, order=["doc_id"]).select("doc_id", "free")
 
 
@@ -607,13 +678,37 @@ def json_contract(spark, sf_dir):
     return rows.withColumn("c", replies.chosen(F.col("reply"), F.lit(3))).select("id", F.col("c").isNotNull().alias("valid"), "c.pick", "c.confidence")
 
 
-STATUSES = [(200, None, None, None), (401, None, "held", "key"), (403, "API key not valid", "held", "key"), (403, "forbidden", "held", "refused"), (404, None, "held", "refused"), (408, None, "temporary", "timeout"), (429, None, "temporary", "rate limit"), (503, None, "temporary", "unavailable")]
+#: Published kinds and reasons of refusals.
+STATUSES = [
+    ("message", 200, None, None, None),
+    ("message", 400, "API key not valid. Please pass a valid API key.", "held", "rejected the key"),
+    ("message", 400, "reason: keyInvalid", "held", "rejected the key"),
+    ("message", 403, "The caller is not authorized", "held", "rejected the key"),
+    ("message", 403, "Books API has not been used in project 1 before or it is disabled", "held", "configuration problem, HTTP 403"),
+    ("message", 400, "invalidParameter", "held", "configuration problem, HTTP 400"),
+    ("message", 401, "API key not valid", "held", "configuration problem, HTTP 401"),
+    ("message", 404, None, "held", "configuration problem, HTTP 404"),
+    ("message", 408, None, "temporary", "HTTP 408"),
+    ("message", 429, None, "temporary", "rate limiting, HTTP 429"),
+    ("message", 503, None, "temporary", "HTTP 503"),
+    ("message", 302, None, "held", "HTTP 302"),
+    ("status", 401, None, "held", "rejected the key"),
+    ("status", 403, None, "held", "rejected the key"),
+    ("status", 402, None, "held", "configuration problem, HTTP 402"),
+    ("model", 402, None, "temporary", "out of balance, HTTP 402"),
+    ("model", 403, None, "held", "rejected the key"),
+]
+LOST = [("timeout", "temporary", "timeout"), ("refused", "temporary", "connection refused"), ("reset", "temporary", "connection reset"), ("dns", "temporary", "DNS failure"), ("certificate", "held", "TLS certificate failure"), ("unreadable", "held", "unreadable reply")]
 
 
-@query(values([(i, *s[2:]) for i, s in enumerate(STATUSES)], "id, kind, reason"))
+@query(values([(i, *s[3:]) for i, s in enumerate(STATUSES)] + [(100 + i, *x[1:]) for i, x in enumerate(LOST)], "id, kind, reason"))
 def failure_kinds(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s[0], s[1]) for i, s in enumerate(STATUSES)], "id long, status int, message string")
-    return rows.withColumn("f", replies.failure(F.col("status"), F.col("message"))).select("id", "f.kind", "f.reason")
+    """What each refusal and each lost exchange is, by who was asked."""
+    rows = spark.createDataFrame([(i, *s[:3]) for i, s in enumerate(STATUSES)], "id long, by string, status int, message string")
+    asked = (rows.filter(F.col("by") == by).withColumn("f", replies.failure(F.col("status"), F.col("message"), by)) for by in ("message", "status", "model"))
+    lost = spark.createDataFrame([(100 + i, x[0]) for i, x in enumerate(LOST)], "id long, error string")
+    told = [x.select("id", "f.kind", "f.reason") for x in (*asked, lost.withColumn("f", replies.network_failure(F.col("error"))))]
+    return reduce(DataFrame.unionByName, told)
 
 
 REPLY_A = json.dumps({"data": {"editions": [
@@ -645,10 +740,14 @@ def replies_golden(spark, sf_dir):
     return one.unionByName(two).select("source", "pos", "title", F.array_join("authors", ";").alias("authors"), "series", "series_number", "isbn", "date", "cover", seen.alias("genres"))
 
 
-@query(f"SELECT page_id, regexp_extract(html, '{TITLE}', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang FROM pages")
+@query(f"SELECT page_id, trim(regexp_extract(html, '{TITLE}', 1)) AS title, CASE WHEN trim(regexp_extract(html, '{TITLE}', 1)) <> '' THEN 1 ELSE 0 END AS n FROM pages")
 def html_meta(spark, sf_dir):
+    """Titles of pages, read as elements of a package document."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_extract("html", TITLE, 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"))
+    escaped = F.replace(F.replace(F.regexp_extract("html", TITLE, 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    document = F.concat(F.lit('<package xmlns:dc="urn:dc"><dc:title>'), escaped, F.lit("</dc:title><dc:title> </dc:title></package>"))
+    found = pages.select("page_id", epub.opf_values(document, "title").alias("titles"))
+    return found.select("page_id", F.coalesce(F.get("titles", 0), F.lit("")).alias("title"), F.size("titles").alias("n"))
 
 
 @query(SETTLE + "SELECT user_id::VARCHAR AS path, event_type AS mark, streak FROM s WHERE streak >= 2")

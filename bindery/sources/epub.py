@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -29,6 +30,8 @@ ENCRYPTION = "http://www.w3.org/2001/04/xmlenc#"
 FONTS = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
 IMAGES = ((b"\xff\xd8\xff", "image/jpeg", ".jpg"), (b"\x89PNG\r\n\x1a\n", "image/png", ".png"), (b"GIF87a", "image/gif", ".gif"), (b"GIF89a", "image/gif", ".gif"))
 
+MAX_IMAGE = 5 * 1024 * 1024
+
 BOOK = (
     "title string, authors array<string>, isbn string, language string, description string, publisher string, "
     "date string, series string, series_number string, has_cover boolean, unverified boolean, "
@@ -87,10 +90,7 @@ class Package:
         if name is None and (group := self.collection()) is not None:
             name = group.text.strip()
             number = number or self.refining(group.get("id") or "", "group-position")
-        try:
-            return name, f"{float(number):g}" if number else None
-        except ValueError:
-            return name, number
+        return name, plain_number(number) if number else None
 
     def isbn(self) -> str | None:
         found = [n for e in self.all("identifier") if (n := isbn_of(e.text, e.get(f"{{{OPF}}}scheme")))]
@@ -116,6 +116,14 @@ class Package:
         }
 
 
+def plain_number(number: str) -> str:
+    """A position without needless zeros; what is no number stays as it is."""
+    try:
+        return f"{float(number):g}"
+    except ValueError:
+        return number.strip()
+
+
 def isbn_of(text: str | None, scheme: str | None = None) -> str | None:
     """The ISBN that an identifier states, by prefix, scheme or form."""
     bare = re.sub(r"[-\s]", "", re.sub(r"(?i)^(urn:isbn:|isbn:)", "", (text or "").strip())).upper()
@@ -125,6 +133,10 @@ def isbn_of(text: str | None, scheme: str | None = None) -> str | None:
 
 
 def image_type(body: bytes) -> tuple[str, str] | None:
+    """Media type and ending of a cover by its first bytes; None for what is no image or is
+    larger than any cover."""
+    if len(body) > MAX_IMAGE:
+        return None
     return next(((kind, ending) for start, kind, ending in IMAGES if body.startswith(start)), None)
 
 
@@ -173,42 +185,58 @@ def _set_authors(package: Package, authors: list[str]) -> None:
 
 
 def _set_isbn(package: Package, isbn: str) -> None:
-    wanted = isbn_of(isbn)
-    if not wanted:
+    """The identifier that says it is an ISBN, or a new one, states this ISBN as a URN; one that
+    states it already, in whatever form, stays as it is written."""
+    scheme_of = lambda e: e.get(f"{{{OPF}}}scheme") or ""
+    stating = (e for e in package.all("identifier") if re.match("(?i)urn:isbn:", e.text.strip()) or "isbn" in scheme_of(e).lower())
+    target, wanted = next(stating, None), isbn_of(isbn)
+    known = None if target is None else isbn_of(target.text, scheme_of(target))
+    if wanted is None or known == wanted:
+        return
+    if target is None:
+        target = ET.SubElement(package.meta, f"{{{DC}}}identifier")
+    target.attrib.pop(f"{{{OPF}}}scheme", None)
+    target.text = f"urn:isbn:{wanted}"
+
+
+def _state(package: Package, value: str | None, attribute: str | None = None, **marks: str) -> None:
+    """Make the first meta with these marks say ``value``, as its text or an attribute; with
+    None, take all of them off."""
+    held = [m for m in package.meta.findall(f"{{{OPF}}}meta") if marks.items() <= m.attrib.items()]
+    if value is None:
+        for m in held:
+            package.meta.remove(m)
         return
-    for element in package.all("identifier"):
-        scheme = element.get(f"{{{OPF}}}scheme")
-        if "isbn" in (scheme or "").lower() or element.text.strip().lower().startswith("urn:isbn:"):
-            if isbn_of(element.text, scheme) != wanted:
-                element.text = f"urn:isbn:{wanted}"
-                element.attrib.pop(f"{{{OPF}}}scheme", None)
-            return
-    ET.SubElement(package.meta, f"{{{DC}}}identifier").text = f"urn:isbn:{wanted}"
+    one = held[0] if held else ET.SubElement(package.meta, f"{{{OPF}}}meta", marks)
+    if attribute:
+        one.set(attribute, value)
+    else:
+        one.text = value
+
+
+def _named(package: Package, element) -> str:
+    """An element's id, given one that no other has if it has none."""
+    if not element.get("id"):
+        taken = {e.get("id") for e in package.root.iter()}
+        element.set("id", next(n for k in itertools.count(1) if (n := "series" if k == 1 else f"series-{k}") not in taken))
+    return element.get("id")
 
 
 def _set_series(package: Package, series: str | None, number: str | None, drop: bool) -> None:
-    group = package.collection() if not package.named("calibre:series") else None
-    if group is not None:
-        position = next((m for m in package.meta.findall(f"{{{OPF}}}meta") if m.get("refines") == f"#{group.get('id')}" and m.get("property") == "group-position"), None)
-        if series:
-            group.text = series
-        if position is not None and drop:
-            package.meta.remove(position)
-        elif number and position is not None:
-            position.text = number
-        elif number:
-            group.set("id", group.get("id") or "series")
-            ET.SubElement(package.meta, f"{{{OPF}}}meta", refines=f"#{group.get('id')}", property="group-position").text = number
-        return
-    for name, value, gone in (("calibre:series", series, False), ("calibre:series_index", number, drop)):
-        held = package.named(name)
-        if gone:
-            for m in held:
-                package.meta.remove(m)
-        elif value and held:
-            held[0].set("content", value)
-        elif value:
-            ET.SubElement(package.meta, f"{{{OPF}}}meta", name=name, content=value)
+    """Series and position in both encodings: the named metas, and the EPUB 3 collection, which
+    is made for a series that has none."""
+    group = package.collection()
+    if series:
+        _state(package, series, "content", name="calibre:series")
+        if group is None:
+            group = ET.SubElement(package.meta, f"{{{OPF}}}meta", property="belongs-to-collection")
+        group.text = series
+        _state(package, "series", refines=f"#{_named(package, group)}", property="collection-type")
+    if number or drop:
+        place = plain_number(number) if number else None
+        _state(package, place, "content", name="calibre:series_index")
+        if group is not None:
+            _state(package, place, refines=f"#{_named(package, group)}", property="group-position")
 
 
 def _set_tag(package: Package, on: bool) -> None:
@@ -252,9 +280,10 @@ def rewrite_one(content: bytes, edit: dict, genres: list[str] = (), cover: bytes
     image = _add_cover(package, cover) if cover else None
     if image is None and ET.tostring(package.root) == before:
         return content
-    for prefix, uri in re.findall(rb'xmlns(?::([A-Za-z_][\w.-]*))?="([^"]*)"', package.raw):
-        if not re.fullmatch(r"ns\d+", prefix.decode()):
-            ET.register_namespace(prefix.decode(), uri.decode())
+    # Names keep the prefixes that the document declares; ``ns`` and a number is the writer's own.
+    for _, (prefix, uri) in ET.iterparse(io.BytesIO(package.raw), events=("start-ns",)):
+        if uri and not re.fullmatch(r"ns\d+", prefix):
+            ET.register_namespace(prefix, uri)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as target:
         for entry in package.zip.infolist():
@@ -268,19 +297,22 @@ def rewrite_one(content: bytes, edit: dict, genres: list[str] = (), cover: bytes
 
 
 def rewritten(rows: DataFrame) -> DataFrame:
-    """(path, content, edits, genres) -> (path, content, error): new bytes of each file."""
+    """(path, content, edits, genres) and perhaps cover -> (path, content, error): new bytes of
+    each file. A cover (binary, null for none) is added to a book that has none."""
+    cover = F.col("cover") if "cover" in rows.columns else F.lit(None).cast("binary")
 
     def run(batches):
         for batch in batches:
             found = []
-            for content, edit, genres in zip(batch["content"], batch["edits"], batch["genres"]):
+            for content, edit, genres, image in zip(batch["content"], batch["edits"], batch["genres"], batch["cover"]):
                 try:
-                    found.append((rewrite_one(content, edit or {}, list(genres) if genres is not None else []), None))
+                    found.append((rewrite_one(content, edit or {}, list(genres) if genres is not None else [], image), None))
                 except Unreadable as error:
                     found.append((content, str(error)))
             yield pd.DataFrame({"path": batch["path"], "content": [f[0] for f in found], "error": [f[1] for f in found]})
 
-    return rows.select("path", "content", "edits", "genres").mapInPandas(run, "path string, content binary, error string")
+    chosen = rows.select("path", "content", "edits", "genres", cover.alias("cover"))
+    return chosen.mapInPandas(run, "path string, content binary, error string")
 
 
 def opf_values(xml, name: str):

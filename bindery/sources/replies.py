@@ -6,6 +6,8 @@ Catalogue A answers with editions of works, catalogue B with volumes. A reply ta
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,18 +116,54 @@ def catalogue_b(replies: DataFrame, source: str = "catalogue_b", isbn: str | Non
     )
 
 
-def failure(status: Column, message: Column | None = None, model: bool = False) -> Column:
+#: What a refusal says that blames the key, and the reasons of failures.
+KEY_WORDS = ("api key", "keyinvalid", "key expired", "keyexpired", "not authorized")
+REJECTED_KEY = "rejected the key"
+UNREADABLE = "unreadable reply"
+NETWORK = {
+    "timeout": ("temporary", "timeout"),
+    "refused": ("temporary", "connection refused"),
+    "reset": ("temporary", "connection reset"),
+    "dns": ("temporary", "DNS failure"),
+    "certificate": ("held", "TLS certificate failure"),
+    "unreadable": ("held", UNREADABLE),
+}
+
+
+def failure(status: Column, message: Column | None = None, by: str = "message") -> Column:
     """struct(kind, reason) of an HTTP status, null for success: what passes by itself is
-    temporary, the rest is held until someone acts."""
-    told = F.coalesce(message, F.lit("")) if message is not None else F.lit("")
-    passing = status.isin(408, 429) | (status >= 500) | (F.lit(model) & (status == 402))
-    key = status.isin(401) | (status.isin(400, 403) & F.lower(told).rlike(r"\b(api )?key\b|not (been )?(used|enabled|configured)"))
-    reason = (
-        F.when(status == 408, "timeout").when(status == 429, "rate limit").when(F.lit(model) & (status == 402), "balance")
-        .when(status >= 500, "unavailable").when(key, "key").otherwise("refused")
-    )
-    kind = F.when(passing, "temporary").otherwise("held")
-    return F.when(~status.between(200, 299), F.struct(kind.alias("kind"), reason.alias("reason")))
+    temporary, the rest is held until someone acts.
+
+    ``by`` tells how a refusal of the key shows: ``message`` (catalogue B: its words, with a
+    400 or 403), ``status`` (catalogue A: any 401 or 403) or ``model`` (as ``status``, and a
+    402 is a spent balance, which passes).
+    """
+    told = F.lower(F.coalesce(message, F.lit(""))) if message is not None else F.lit("")
+    if by == "message":
+        key = status.isin(400, 403) & told.rlike("|".join(map(re.escape, KEY_WORDS)))
+    else:
+        key = status.isin(401, 403)
+    number = F.concat(F.lit(", HTTP "), status.cast("string"))
+    struct = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))
+    first = F.when(status.between(200, 299), F.lit(None))
+    if by == "model":
+        first = first.when(status == 402, struct("temporary", F.concat(F.lit("out of balance"), number)))
+    return (
+        first.when(key, struct("held", F.lit(REJECTED_KEY)))
+        .when(status == 429, struct("temporary", F.concat(F.lit("rate limiting"), number)))
+        .when((status == 408) | (status >= 500), struct("temporary", F.concat(F.lit("HTTP "), status.cast("string"))))
+        .when(status.between(400, 499), struct("held", F.concat(F.lit("configuration problem"), number)))
+        .otherwise(struct("held", F.concat(F.lit("HTTP "), status.cast("string"))))
+    )
+
+
+def network_failure(error: Column) -> Column:
+    """struct(kind, reason) of an exchange that gave no status, by what went wrong (a key of
+    ``NETWORK``); anything else is a reply that could not be read."""
+    known = F.create_map(*(F.lit(x) for k, (kind, _) in NETWORK.items() for x in (k, kind)))
+    reasons = F.create_map(*(F.lit(x) for k, (_, reason) in NETWORK.items() for x in (k, reason)))
+    kind, reason = F.coalesce(known[error], F.lit("held")), F.coalesce(reasons[error], F.lit(UNREADABLE))
+    return F.when(error.isNotNull(), F.struct(kind.alias("kind"), reason.alias("reason")))
 
 
 CHAT = "choices array<struct<finish_reason:string,message:struct<content:string>>>"

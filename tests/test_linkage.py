@@ -130,6 +130,31 @@ def test_free_names(spark):
     assert got == {1: "a (2).epub", 2: "a (4).epub", 3: "b.epub"}
 
 
+def test_free_names_where_numbered_names_are_wanted(spark):
+    names = ["a.epub", "a.epub", "a (2).epub", "a (2).epub", "a (2) (2).epub", "a.epub", "b", "b", "b (2)", ".epub", ".epub", "a (02).epub"]
+    wanted = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    taken = spark.createDataFrame([("a (4).epub",), ("b",), ("c.epub",)], "name string")
+    got = {r.id: r.free for r in delivery.free_names(wanted, taken, order=["id"]).collect()}
+    assert got == {
+        0: "a.epub", 1: "a (3).epub", 2: "a (2).epub", 3: "a (2) (3).epub", 4: "a (2) (2).epub", 5: "a (5).epub",
+        6: "b (3)", 7: "b (4)", 8: "b (2)", 9: ".epub", 10: " (2).epub", 11: "a (02).epub",
+    }
+    assert len(set(got.values())) == len(names)
+
+
+def test_quota_is_by_utc_day(spark):
+    import datetime as dt
+
+    at = [dt.datetime(2024, 3, 1, 23, 0, k) for k in range(3)] + [dt.datetime(2024, 3, 2, 0, 0, k) for k in range(3)]
+    rows = spark.createDataFrame(list(enumerate(at)), "id int, at timestamp")
+    try:
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert {r.id for r in state.quota(rows, 2).filter("granted").collect()} == {0, 1, 3, 4}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_options(tmp_path):
     file = tmp_path / "o.toml"
     file.write_text("strong_score = 0.9\n[rules]\ntitle = 'skip'\n")
@@ -176,6 +201,45 @@ def test_epub_reading_and_rewriting(spark):
     assert epub.rewrite_one(once, {}) == once
 
 
+def test_series_are_written_in_both_encodings():
+    collection = '<meta property="belongs-to-collection" id="g">Old</meta><meta refines="#g" property="collection-type">series</meta><meta refines="#g" property="group-position">3</meta>'
+    calibre = '<meta name="calibre:series" content="DCI Ryan"/><meta name="calibre:series_index" content="6.0"/>'
+    for metas in (calibre + collection, calibre, collection, ""):
+        book = sample(OPF.replace(calibre, metas))
+        told = epub.Package(epub.rewrite_one(book, {"series": "New", "series_number": "7.0"}))
+        assert [m.get("content") for m in told.named("calibre:series")] == ["New"]
+        assert [m.get("content") for m in told.named("calibre:series_index")] == ["7"]
+        group = told.collection()
+        assert group.text == "New" and told.refining(group.get("id"), "group-position") == "7"
+        assert told.refining(group.get("id"), "collection-type") == "series"
+        gone = epub.Package(epub.rewrite_one(book, {"series": "New", "drop_series_number": True}))
+        assert gone.series() == ("New", None) and gone.refining(gone.collection().get("id"), "group-position") is None
+
+
+def test_isbn_goes_to_the_identifier_that_states_one(spark):
+    cases = {
+        "<dc:identifier>urn:isbn:0306406152</dc:identifier>": (["urn:isbn:9780306406157"], True),
+        '<dc:identifier xmlns:opf="http://www.idpf.org/2007/opf" opf:scheme="ISBN">978-0-306-40615-7</dc:identifier>': (["978-0-306-40615-7"], False),
+        '<dc:identifier xmlns:opf="http://www.idpf.org/2007/opf" opf:scheme="ISBN">none</dc:identifier>': (["urn:isbn:9780306406157"], True),
+        "<dc:identifier>uuid:1</dc:identifier>": (["uuid:1", "urn:isbn:9780306406157"], True),
+    }
+    for stated, (want, changed) in cases.items():
+        book = sample(OPF.replace("<dc:identifier>urn:isbn:0306406152</dc:identifier>", stated))
+        new = epub.rewrite_one(book, {"isbn": "9780306406157"})
+        assert [e.text for e in epub.Package(new).all("identifier")] == want and (new != book) == changed
+
+
+def test_covers_are_added_from_a_frame(spark):
+    kind = "struct<title:string,authors:array<string>,isbn:string,series:string,series_number:string,unverified:boolean>"
+    big = b"\xff\xd8\xff" + b"0" * epub.MAX_IMAGE
+    rows = spark.createDataFrame(
+        [(p, bytearray(sample()), None, [], c and bytearray(c)) for p, c in (("a", b"\xff\xd8\xff0"), ("b", None), ("c", b"text"), ("d", big))],
+        f"path string, content binary, edits {kind}, genres array<string>, cover binary",
+    )
+    got = {r.path: epub.read_one(bytes(r.content))["has_cover"] for r in epub.rewritten(rows).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False}
+
+
 def test_registered_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import os
