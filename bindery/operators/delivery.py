@@ -83,3 +83,14 @@ def expired(backups: DataFrame, now: Column, days: int, at: str = "modificationT
     """Backups older than ``days``; hidden files stay."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return backups.filter((F.col(at) < now - F.expr(f"INTERVAL {int(days)} DAYS")) & ~name.startswith("."))
+
+
+def not_stuck(sightings: DataFrame, stuck: DataFrame) -> DataFrame:
+    """Sightings less the files that were delivered but could not be removed, until they
+    change. Both have (path, mark)."""
+    return sightings.join(stuck.select("path", "mark"), ["path", "mark"], "left_anti")
+
+
+def still_stuck(stuck: DataFrame, sightings: DataFrame) -> DataFrame:
+    """The stuck files that are there as they were; the others are forgotten."""
+    return stuck.join(sightings.select("path", "mark").distinct(), ["path", "mark"], "left_semi")

@@ -282,3 +282,145 @@ def test_notes_on_blank_texts_come_off_to_nothing(spark):
     assert column(spark, blank, X.noted) == [X.NOTE] * 4
     assert column(spark, blank, lambda c: X.noted(X.noted(c))) == [X.NOTE] * 4
     assert column(spark, blank, lambda c: X.unmarked(X.noted(c))) == [None] * 4
+
+
+def book(title, author="L. J. Ross", isbn=None, extra=""):
+    number = f"<dc:identifier>urn:isbn:{isbn}</dc:identifier>" if isbn else ""
+    return sample(
+        '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f"<dc:title>{title}</dc:title><dc:creator>{author}</dc:creator>{number}{extra}</metadata><manifest/></package>"
+    )
+
+
+def test_a_pass_from_files_to_files(spark, tmp_path):
+    from bindery.plans import correction
+    from bindery.sources import files
+
+    ingest, output, backups = (tmp_path / n for n in ("in", "out", "kept"))
+    for folder in (ingest, ingest / ".hidden", output, backups):
+        folder.mkdir()
+    one, two = "9780306406157", "9780306406164"
+    books = {
+        "isbn.epub": book("Cragside", isbn=one), "stale.epub": book("Belsay", isbn=two), "title.epub": book("The Infirmary"),
+        "none.epub": book("Nobody Knows It"), "held.epub": book("Held Back"), "asked.epub": book("Heavenfield (The DCI Ryan Mysteries Book 3)"),
+        "same.epub": b"just bytes", "broken.epub": b"no zip", "note.txt": b"x",
+    }
+    for name, content in books.items():
+        (ingest / name).write_bytes(content)
+    (ingest / "half.epub.part").write_bytes(b"x")
+    (ingest / ".hidden" / "h.epub").write_bytes(b"x")
+    (output / "same.epub").write_bytes(b"just bytes")
+    (output / "title.epub").write_bytes(b"another book")
+    listed = delivery.candidates(files.contents(spark, str(ingest)), str(ingest))
+    assert sorted(r.name for r in listed.collect()) == sorted(books)
+    titles = {"isbn.epub": "Cragside", "stale.epub": "Belsay", "title.epub": "The Infirmary", "asked.epub": "Heavenfield", "held.epub": "Held Back"}
+
+    def record(source, title, **more):
+        row = dict.fromkeys(c.split(" ")[0] for c in P.SCHEMA.replace("genre:string,seen", "").split(", "))
+        return row | {"source": source, "pos": 0, "title": title, "authors": ["LJ Ross"], "author_ids": ["7"], "genres": [("crime", "Crime")]} | more
+
+    def frame(rows_by_title, asked, by="title"):
+        keyed = [(k, *[r[c.split(" ")[0]] for c in P.SCHEMA.replace("genre:string,seen", "").split(", ")][1:]) for k, r in rows_by_title]
+        kind = P.SCHEMA.replace("book_id long", "key string")
+        rows = spark.createDataFrame(keyed, kind)
+        return asked.select("book_id", F.col(by).alias("key")).join(rows, "key").select("book_id", *rows.columns[1:])
+
+    def by_isbn(asked):
+        rows = [(one, record("catalogue_a", "Cragside", publisher="Dark Skies", isbn=one, cover="u")), (two, record("catalogue_a", "Something Else"))]
+        return [("catalogue_a", frame(rows, asked, "isbn"))], None
+
+    def by_title(asked):
+        first = [("The Infirmary", record("catalogue_a", "The Infirmary", series="DCI Ryan", series_number="0.5", series_id="4"))]
+        second = [("Belsay", record("catalogue_b", "Belsay")), ("Heavenfield (The DCI Ryan Mysteries Book 3)", record("catalogue_b", "Heavenfield", series_number="4"))]
+        errors = asked.filter("title = 'Held Back'").select("book_id", F.lit("catalogue_b").alias("source"), F.lit("timeout").alias("reason"))
+        return [("catalogue_a", frame(first, asked)), ("catalogue_b", frame(second, asked))], errors
+
+    reply = catalogue_chat('{"pick": 1, "confidence": 0.93, "reason": "same"}')
+    catalogues = correction.Catalogues(
+        by_isbn, by_title, choose=lambda calls: calls.select("id", F.lit(reply).alias("reply")),
+        map_genre=lambda calls: calls.select("id", F.lit(catalogue_chat('{"genre": "CRIME FICTION"}')).alias("reply")),
+        covers=spark.createDataFrame([("u", bytearray(b"\xff\xd8\xff0"))], "url string, body binary"),
+    )
+    memory = correction.Memory(
+        spark.createDataFrame([("author", "catalogue_a", "7", "L J Ross", "x")], state.NAMES), spark.createDataFrame([], state.GENRES),
+        spark.createDataFrame([("Crime Fiction",)], "genre string"),
+    )
+    dry, _, _ = correction.correct(listed, catalogues, memory, Options(dry_run=True))
+    rows, names, mapped = correction.correct(listed, catalogues, memory)
+    got = {r.name: r for r in rows.collect()}
+    assert {k: r.route for k, r in got.items()} == {
+        "isbn.epub": "match", "stale.epub": "match", "title.epub": "match", "none.epub": "unverified", "held.epub": "waiting",
+        "asked.epub": "match", "same.epub": "unread", "broken.epub": "unread", "note.txt": None,
+    }
+    dried = {r.name: r for r in dry.collect()}
+    assert all(bytes(dried[k].content) == v for k, v in books.items())
+    assert {k: r.line for k, r in dried.items()} == {k: r.line for k, r in got.items()}
+    assert got["isbn.epub"].line == "isbn.epub | match | source=catalogue_a | score=1.0000 | authors=L J Ross; publisher=Dark Skies; genres=Crime Fiction; cover=added"
+    new = {k: epub.read_one(bytes(r.content)) for k, r in got.items()}
+    assert new["title.epub"]["series"] == "DCI Ryan" and new["title.epub"]["series_number"] == "0.5" and new["title.epub"]["authors"] == ["L J Ross"]
+    assert new["stale.epub"]["authors"] == ["LJ Ross"] and new["stale.epub"]["isbn"] == two
+    assert new["asked.epub"]["title"] == "Heavenfield" and got["asked.epub"].score == 0.93
+    assert new["none.epub"]["unverified"] and new["isbn.epub"]["has_cover"] and new["isbn.epub"]["subjects"] == ["Crime Fiction"]
+    assert bytes(got["held.epub"].content) == books["held.epub"]
+    assert {(r.source, r.genre, r.mapped) for r in mapped.collect()} == {(s, "crime", "Crime Fiction") for s in ("catalogue_a", "catalogue_b")}
+    assert {r.standard for r in names.collect() if r.kind == "series"} == {"DCI Ryan"}
+
+    present = files.contents(spark, str(output)).select("name", "content")
+    done = {r.path.rpartition("/")[2]: r for r in correction.deliver(spark, rows, str(output), str(backups), present, spark.createDataFrame([("isbn.epub",)], "name string")).collect()}
+    assert {k: (r.name, r.route, r.error, r.stuck) for k, r in done.items()} == {
+        k: ("title (2).epub" if k == "title.epub" else k, {"title.epub": "collision", "same.epub": "duplicate"}.get(k, "moved"), None, None)
+        for k in books if k != "held.epub"
+    }
+    assert sorted(p.name for p in ingest.iterdir()) == [".hidden", "half.epub.part", "held.epub"]
+    assert (output / "title.epub").read_bytes() == b"another book" and epub.read_one((output / "title (2).epub").read_bytes())["series"] == "DCI Ryan"
+    assert (backups / "isbn (2).epub").read_bytes() == books["isbn.epub"] and (backups / "same.epub").exists()
+    assert not [p for folder in (output, backups) for p in folder.iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def catalogue_chat(content):
+    from bindery.plans import catalogue
+
+    return catalogue._chat(content)
+
+
+def test_requests_are_answered_from_a_table(spark):
+    from bindery.sources import requests
+
+    books = spark.createDataFrame(
+        [(1, 'The "Big" Sleep: A Novel', [" ", 'R "Ray" C']), (2, "Cragside", []), (3, None, ["A"]), (4, "Belsay", ["A"])], "book_id long, title string, authors array<string>"
+    )
+    asked = books.select("book_id", requests.title_request(F.col("title"), F.col("authors")).alias("request"))
+    told = {r.book_id: r.request for r in asked.collect()}
+    assert told == {1: 'intitle:"The  Big  Sleep" OR intitle:"The  Big  Sleep: A Novel" inauthor:"R  Ray  C"', 2: 'intitle:"Cragside"', 3: None, 4: 'intitle:"Belsay" inauthor:"A"'}
+    recorded = spark.createDataFrame([(told[1], 200, "{}", None), (told[2], 429, "slow", None), ("x", 200, "", None)], requests.RECORDED)
+    got = {r.book_id: r for r in requests.answers(asked, recorded).collect()}
+    assert got[1].reply == "{}" and got[1].failed is None and got[2].failed.kind == "temporary" and got[4].failed.reason == "unreadable reply"
+    assert {(r.book_id, r.source) for r in requests.errors(requests.answers(asked, recorded), "b").collect()} == {(2, "b"), (4, "b")}
+
+
+def test_secrets_listings_and_stuck_files(spark, tmp_path):
+    from bindery.sources import files
+
+    for name, text, want in (("a", " Bearer  tok \n", "tok"), ("b", "tok", "tok"), ("c", " \n", None)):
+        (tmp_path / name).write_text(text)
+        assert files.secret(spark, str(tmp_path / name)) == want
+    assert files.secret(spark, str(tmp_path / "absent")) is None
+    first = files.listing(spark, str(tmp_path))
+    assert [r.name for r in first.collect()] == ["a", "b", "c"]
+    stuck = spark.createDataFrame(first.filter("name <> 'c'").select("path", "mark").collect(), "path string, mark string")
+    (tmp_path / "a").write_text("changed")
+    second = files.listing(spark, str(tmp_path))
+    assert sorted(r.name for r in delivery.not_stuck(second, stuck).collect()) == ["a", "c"]
+    assert [r.path[-2:] for r in delivery.still_stuck(stuck, second).collect()] == ["/b"]
+
+
+def test_daily_calls_of_a_stream(spark):
+    from bindery.streaming.settling import DailyCalls
+
+    spend = DailyCalls(state.StateTable(spark, shared_dir(spark, "calls"), DailyCalls.SCHEMA), 5)
+    calls = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    got = lambda rows: sorted(r.id for r in rows.collect())
+    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1)) == [1, 2, 3]
+    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1)) == []
+    assert got(spend.grant(calls(4, 5, 6), "2024-01-01", 2)) == [4, 5]
+    assert got(spend.grant(calls(7, 8), "2024-01-02", 3)) == [7, 8] and spend.spent("2024-01-01") == 5
