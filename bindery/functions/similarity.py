@@ -104,9 +104,3 @@ def heads_agree(own: Column, other: Column) -> Column:
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     inside = (other != "") & F.contains(padded(own), padded(other))
     return (own == "") | inside | (1.0 - penalty(ratio(own, other)) >= TITLE_AGREES)
-
-
-def title_agrees(file_title: Column, record_title: Column) -> Column:
-    """``heads_agree`` of two titles."""
-    key = lambda t: X.comparison_key(X.parted(t)["head"])
-    return heads_agree(key(file_title), key(record_title))
