@@ -203,8 +203,9 @@ def plan(books: DataFrame, decided: DataFrame, wanted: DataFrame, options: Optio
 def correct(listed: DataFrame, by: Catalogues, memory: Memory, options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(path, name, content) -> the corrected files, the names and the genres to remember.
 
-    A corrected file has route, score, ``changes``, ``line``, ``kept`` (whether its original is
-    to be backed up) and its new content; with ``dry_run`` the content is as it was.
+    A corrected file has route, score, source, title (the record's), ``key`` (the book's, in the
+    match table), ``changes``, ``line``, ``kept`` (whether its original is to be backed up) and
+    its new content; with ``dry_run`` the content is as it was.
     """
     read = materialize(
         epub.read_books(listed.filter(delivery.is_book(F.col("path")))).withColumn("book_id", F.xxhash64("path")), "books"
@@ -217,7 +218,8 @@ def correct(listed: DataFrame, by: Catalogues, memory: Memory, options: Options
     moved = planned.filter(F.size("changes") > 0)
     new = epub.rewritten(moved.join(listed.select("path", "content"), "path"))
     written = new.select("path", F.col("content").alias("__new"), F.col("error").alias("__error"))
-    told = planned.select("path", "score", F.col("found_source").alias("source"), "changes")
+    key = state.book_key(F.col("file_isbn"), F.col("file_title"), F.col("file_authors")).alias("key")
+    told = planned.select("path", "score", F.col("found_source").alias("source"), F.col("found_title").alias("title"), key, "changes")
     routes = read.join(decided.select("book_id", "route"), "book_id", "left").select(
         "path", F.coalesce("route", F.lit("unread")).alias("route"), F.col("error").alias("problem")
     )

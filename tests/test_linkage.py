@@ -424,3 +424,55 @@ def test_daily_calls_of_a_stream(spark):
     assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1)) == []
     assert got(spend.grant(calls(4, 5, 6), "2024-01-01", 2)) == [4, 5]
     assert got(spend.grant(calls(7, 8), "2024-01-02", 3)) == [7, 8] and spend.spent("2024-01-01") == 5
+
+
+def test_a_watched_folder(spark, tmp_path):
+    import os
+
+    from bindery.plans import catalogue, correction
+    from bindery.plans.relay import Relay
+
+    ingest, output, backups, root = (tmp_path / n for n in ("in", "out", "kept", "state"))
+    for folder in (ingest, output, backups):
+        folder.mkdir()
+    (ingest / "a.epub").write_bytes(book("Cragside"))
+    (ingest / "held.epub").write_bytes(book("Held Back"))
+    (backups / "old.epub").write_bytes(b"old")
+    (backups / ".calls").write_bytes(b"kept")
+    os.utime(backups / "old.epub", (0, 0))
+    os.utime(backups / ".calls", (0, 0))
+
+    def by_title(asked):
+        rows = catalogue._hits(asked.filter("title = 'Cragside'").withColumn("pos", F.lit(0).cast("long")), "book_id", "catalogue_a", F.lit("Cragside"))
+        rows = rows.withColumns({"authors": F.array(F.lit("LJ Ross")), "publisher": F.lit("Dark Skies")})
+        return [("catalogue_a", rows)], asked.filter("title = 'Held Back'").select("book_id", F.lit("catalogue_a").alias("source"), F.lit("timeout").alias("reason"))
+
+    def by_isbn(asked):
+        none = catalogue._hits(asked.limit(0).withColumn("pos", F.lit(0).cast("long")), "book_id", "catalogue_a", F.lit(""))
+        return [("catalogue_a", none)], None
+
+    make = lambda **o: Relay(spark, str(ingest), str(output), str(backups), str(root), correction.Catalogues(by_isbn, by_title), Options(genres=("Crime",), **o))
+    relay = make()
+    relay.start()
+    assert relay.scan_once("2024-03-01", "2024-03-01T10:00:00Z") == []  # nothing has settled
+    assert not (backups / "old.epub").exists() and (backups / ".calls").exists()
+    (ingest / "late.epub").write_bytes(book("Late"))
+    lines = relay.scan_once("2024-03-01", "2024-03-01T10:00:05Z")
+    assert [x.split(" | ")[:2] for x in lines] == [["a.epub", "match"], ["held.epub", "waiting"]]
+    assert sorted(p.name for p in ingest.iterdir()) == ["held.epub", "late.epub"] and epub.read_one((output / "a.epub").read_bytes())["publisher"] == "Dark Skies"
+    assert {(r.source, r.confidence, r.matched_as) for r in relay.state["matches"].read().collect()} == {("catalogue_a", 1.0, "Cragside")}
+    assert [r.standard for r in relay.state["names"].read().filter("source = ''").collect()] == ["LJ Ross"]
+    again = make()  # state is on disk
+    lines = again.scan_once("2024-03-01", "2024-03-01T10:00:10Z")
+    assert [x.split(" | ")[:2] for x in lines] == [["late.epub", "unverified"]]
+    assert again.scan_once("2024-03-01", "2024-03-01T10:00:15Z") == []
+    again.scan_once("2024-03-02", "2024-03-02T10:00:00Z")
+    assert [x.split(" | ")[:2] for x in again.scan_once("2024-03-02", "2024-03-02T10:00:05Z")] == [["held.epub", "waiting"]]
+    dry = make(dry_run=True)
+    dry.state["waiting"].reset()
+    dry.scan_once("2024-03-02", "2024-03-02T10:00:10Z")
+    assert len(dry.scan_once("2024-03-02", "2024-03-02T10:00:15Z")) == 1 and (ingest / "held.epub").exists()
+    with pytest.raises(ValueError):
+        again.reset(confirmed=False)
+    again.reset(confirmed=True)
+    assert again.state["names"].read().count() == 0
