@@ -58,3 +58,32 @@ def errors(answered: DataFrame, source: str) -> DataFrame:
 def capped(candidates: DataFrame, most: int = MOST) -> DataFrame:
     """At most ``most`` candidates of a book: the places an answer has."""
     return candidates.filter(F.col("pos") < most)
+
+
+#: How each catalogue's replies are read, and how a refusal of its key shows.
+READERS = {"catalogue_a": (replies.catalogue_a, "status"), "catalogue_b": (replies.catalogue_b, "message")}
+
+
+def lookups(transports: dict[str, DataFrame | Callable[[DataFrame], DataFrame]]):
+    """(by_isbn, by_title) over catalogues in their order of trust: functions of books that give
+    (sources, errors) as the walks take them."""
+
+    def ask(books: DataFrame, request: Column, isbn: bool):
+        asked = books.select("book_id", "isbn", request.alias("request"))
+        sources, failed = [], None
+        for name, transport in transports.items():
+            read, by = READERS[name]
+            told = answers(asked.select("book_id", "request"), transport, by)
+            rows = told.filter("reply is not null").join(asked.select("book_id", "isbn"), "book_id")
+            sources.append((name, capped(read(rows, name, "isbn") if isbn else read(rows, name))))
+            own = errors(told, name)
+            failed = own if failed is None else failed.unionByName(own)
+        return sources, failed
+
+    def by_isbn(books: DataFrame):
+        return ask(books, F.when(X.isbn_of(F.col("isbn")).isNotNull(), isbn_request(F.col("isbn"))), True)
+
+    def by_title(books: DataFrame):
+        return ask(books, title_request(F.col("title"), F.col("authors")), False)
+
+    return by_isbn, by_title

@@ -476,3 +476,33 @@ def test_a_watched_folder(spark, tmp_path):
         again.reset(confirmed=False)
     again.reset(confirmed=True)
     assert again.state["names"].read().count() == 0
+
+
+def test_the_command_line_over_recorded_catalogues(spark, tmp_path, capsys):
+    from bindery import __main__ as command
+    from bindery.plans import catalogue
+    from bindery.sources import requests
+
+    folders = {n: tmp_path / n for n in ("ingest", "output", "backups", "state", "a", "b")}
+    for folder in list(folders.values())[:3]:
+        folder.mkdir()
+    (folders["ingest"] / "a.epub").write_bytes(book("Cragside (old)", isbn="0306406152"))
+    (folders["ingest"] / "b.epub").write_bytes(book("Belsay"))
+    title = 'intitle:"Belsay" inauthor:"L. J. Ross"'
+    spark.createDataFrame([("isbn:0306406152", 200, catalogue.REPLY_A, None), (title, 429, "", None)], requests.RECORDED).write.parquet(str(folders["a"]))
+    spark.createDataFrame([(title, 200, '{"totalItems": 0}', None)], requests.RECORDED).write.parquet(str(folders["b"]))
+    options = tmp_path / "o.toml"
+    options.write_text("stable_checks = 1\n")
+    given = ["--options", str(options), "--catalogue_a", str(folders["a"]), "--catalogue_b", str(folders["b"])]
+    given += [x for n in ("ingest", "output", "backups", "state") for x in (f"--{n}", str(folders[n]))]
+    command.main(["once", "--dry-run", *given])
+    dry = capsys.readouterr().out.splitlines()
+    assert [x.split(" | ")[:2] for x in dry] == [["a.epub", "match"], ["b.epub", "waiting"]] and not list(folders["output"].iterdir())
+    command.main(["once", *given])
+    assert capsys.readouterr().out.splitlines() == dry
+    told = epub.read_one((folders["output"] / "a.epub").read_bytes())
+    assert (told["title"], told["series"], told["series_number"], told["authors"]) == ("Cragside", "DCI Ryan", "6", ["L.J. Ross"])
+    assert [p.name for p in folders["ingest"].iterdir()] == ["b.epub"]
+    with pytest.raises(ValueError):
+        command.main(["reset", *given])
+    command.main(["reset", "--yes", *given])
