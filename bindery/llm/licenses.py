@@ -317,13 +317,8 @@ def scan_licenses(
 
 
 def op10_license_scans(spark, sf_dir) -> DataFrame:
-    """Licenses found in each document: their identifiers, sorted, and how many. As in its SQL,
-    the notices of fewer words than a shingle are not among them."""
-    return licenses_of(spark, sf_dir, TEMPLATES)
-
-
-def op10_license_notices(spark, sf_dir) -> DataFrame:
-    """Licenses and short notices found in each document."""
+    """Licenses and short rights notices found in each document: their identifiers, sorted, and
+    how many."""
     return licenses_of(spark, sf_dir, TEMPLATES + NOTICES)
 
 
@@ -365,13 +360,10 @@ FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id
 """
 
 
-ORACLE = _oracle()
-
-
 def _notices_oracle() -> str:
-    """The SQL above, with notices that are found where their words stand in a row."""
+    """The SQL of the templates, with notices that are found where their words stand in a row."""
     names = ", ".join(f"('{name}', '{' '.join(text.lower().split())}')" for name, text in NOTICES)
-    head, tail = ORACLE.rsplit("SELECT doc_id, coalesce(", 1)
+    head, tail = _oracle().rsplit("SELECT doc_id, coalesce(", 1)
     tail = tail.replace("LEFT JOIN m USING", "LEFT JOIN both_kinds USING")
     return f"""{head.rstrip()}, short AS (
   SELECT rid, name FROM (SELECT rid, ' ' || array_to_string(w, ' ') || ' ' AS said FROM d), (VALUES {names}) v(name, body)
@@ -380,4 +372,4 @@ def _notices_oracle() -> str:
 SELECT doc_id, coalesce({tail}"""
 
 
-NOTICES_ORACLE = _notices_oracle()
+ORACLE = _notices_oracle()

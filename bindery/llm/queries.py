@@ -11,7 +11,6 @@ QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
     "op8_simhash": simhash.op8_simhash,
     "op10_license_scans": licenses.op10_license_scans,
-    "op10_license_notices": licenses.op10_license_notices,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
@@ -24,7 +23,6 @@ ORACLES = {
     "op5_warc": warc.ORACLE,
     "op2_exact_topk": topk.ORACLE,
     "op10_license_scans": licenses.ORACLE,
-    "op10_license_notices": licenses.NOTICES_ORACLE,
     "op4_source_mix": mixing.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
