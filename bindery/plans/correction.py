@@ -164,9 +164,10 @@ def genres(decided: DataFrame, memory: Memory, model: Model | None, options: Opt
     targets = known.filter("state = 'mapped'").select("source", "genre", "target")
     new = known.limit(0).select("source", "genre", F.lit("").alias("mapped"), "seen")
     if model is not None:
-        listed = memory.allowed.agg(F.array_join(F.array_sort(F.collect_set("genre")), ", ").alias("listed"))
+        # The allowed list is a setting: as short as its author made it.
+        listed = memory.allowed.agg(F.array_join(F.array_sort(F.collect_set("genre")), ", ")).first()[0]
         misses = known.filter("state in ('miss', 'gone')").withColumn("id", F.xxhash64("source", "genre"))
-        calls = misses.crossJoin(listed).withColumn("prompt", F.concat("genre", F.lit("\n"), "listed"))  # one row
+        calls = misses.withColumn("prompt", F.concat("genre", F.lit(f"\n{listed}")))
         calls = state.quota(calls.withColumn("at", F.current_timestamp()), options.daily_calls, "at", ["id"])
         answered = misses.join(model(calls.filter("granted").select("id", "prompt")), "id").filter("reply is not null")
         own = memory.allowed.select(X.casefold(F.trim(F.col("genre"))).alias("__key"), F.col("genre").alias("target")).dropDuplicates(["__key"])
