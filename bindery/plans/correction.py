@@ -33,13 +33,14 @@ Model = Callable[[DataFrame], DataFrame]
 class Catalogues:
     """How books are looked up: by ISBN and by title, each giving (sources in order of trust,
     errors) for (book_id, title, authors, isbn, language, date); and a model that answers
-    (id, prompt) with (id, reply), null where it could not be asked."""
+    (id, prompt) with (id, reply), null where it could not be asked. Covers are a table (url,
+    body), or a function that gives one for the urls (url) that are wanted."""
 
     by_isbn: Lookup
     by_title: Lookup
     choose: Model | None = None
     map_genre: Model | None = None
-    covers: DataFrame | None = None
+    covers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass
@@ -181,7 +182,7 @@ def genres(decided: DataFrame, memory: Memory, model: Model | None, options: Opt
     return listed, new
 
 
-def plan(books: DataFrame, decided: DataFrame, wanted: DataFrame, options: Options, covers: DataFrame | None = None) -> DataFrame:
+def plan(books: DataFrame, decided: DataFrame, wanted: DataFrame, options: Options, covers=None) -> DataFrame:
     """Books with ``edits``, ``genres``, ``cover`` and ``changes``: what would be written."""
     rows = books.join(decided, "book_id").join(wanted, "book_id", "left")
     file = [F.col(n).alias(f"file_{n}") for n in (*merge.FIELDS, "unverified", "has_cover")]
@@ -192,6 +193,8 @@ def plan(books: DataFrame, decided: DataFrame, wanted: DataFrame, options: Optio
     marked = merge.mark(rows.filter("route = 'unverified'"))
     both = matched.unionByName(marked.withColumn("edits", F.col("edits").cast(matched.schema["edits"].dataType)))
     both = both.withColumn("genres", merge.genres_to_add(F.col("subjects"), F.col("wanted")))
+    if callable(covers):
+        covers = covers(both.filter(merge.wants_cover(options.add_cover)).select(F.col("found_cover").alias("url")).distinct())
     image = covers.select(F.col("url").alias("found_cover"), "body") if covers is not None else None
     if image is not None:
         both = both.join(image, "found_cover", "left")

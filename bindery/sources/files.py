@@ -101,9 +101,14 @@ def delete(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, error string")
 
 
-def secret(spark: SparkSession, path: str) -> str | None:
-    """The secret that a file holds, without the word before a bearer's; None for no file and
-    for an empty one. It is for the driver alone and never put into a plan."""
-    text = (read_text(spark, path) or "").strip()
+def bare_secret(text: str | None) -> str | None:
+    """A secret file's text without the word before a bearer's; None if nothing is left."""
+    text = (text or "").strip()
     word, _, rest = text.partition(" ")
     return (rest.strip() if word.lower() == "bearer" else text) or None
+
+
+def secret(spark: SparkSession, path: str) -> str | None:
+    """The secret that a file holds; None for no file and for an empty one. It is for the driver
+    alone and never put into a plan."""
+    return bare_secret(read_text(spark, path))

@@ -1,7 +1,11 @@
 """Rules of the linkage engine on golden rows and small fixtures."""
 
 import difflib
+import http.server
 import io
+import json
+import socket
+import threading
 import zipfile
 
 import pytest
@@ -398,6 +402,89 @@ def test_requests_are_answered_from_a_table(spark):
     assert {(r.book_id, r.source) for r in requests.errors(requests.answers(asked, recorded), "b").collect()} == {(2, "b"), (4, "b")}
 
 
+class Told(http.server.BaseHTTPRequestHandler):
+    """Answers by path; ``asked`` keeps (path, key, body) of each request."""
+
+    asked: list = []
+    image = b"\x89PNG\r\n\x1a\n" + b"x"
+
+    def answer(self):
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        self.asked.append((self.path, self.headers.get("X-Key"), body))
+        whole = {"/ok": (200, b'{"totalItems": 0}'), "/text": (200, b"<html>"), "/slow": (429, b"wait"), "/image": (200, self.image), "/page": (200, b"no image"), "/none": (200, b"")}
+        status, said = whole.get(self.path.partition("?")[0], (302, b""))
+        self.send_response(status)
+        if status == 302:
+            self.send_header("Location", "/ok")
+        self.end_headers()
+        self.wfile.write(said)
+
+    do_GET = do_POST = answer
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def served():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Told)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Told.asked = []
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+    server.server_close()
+
+
+def test_live_services_fill_the_tables(spark, served, tmp_path):
+    from bindery.sources import live, replies, requests
+
+    (tmp_path / "key").write_text("Bearer s&cret\n")
+    key = {"key_file": str(tmp_path / "key"), "headers": {"X-Key": "{key}"}}
+    asked = spark.createDataFrame([(n, r) for n, r in enumerate(["a b&c", "a b&c", "{key}", None])], "book_id long, request string")
+    got = requests.answers(asked, live.transport(live.Service(f"{served}/ok?q={{request}}&key={{key}}", **key)))
+    assert {r.book_id: r.reply for r in got.collect()} == dict.fromkeys(range(3), '{"totalItems": 0}')
+    got.count()
+    assert sorted(Told.asked) == [("/ok?q=%7Bkey%7D&key=s%26cret", "s&cret", b""), ("/ok?q=a%20b%26c&key=s%26cret", "s&cret", b"")]
+    reason = lambda path, **more: requests.answers(asked.limit(1), live.transport(live.Service(served + path, **more))).first().failed.reason
+    assert reason("/text") == replies.UNREADABLE and reason("/slow") == "rate limiting, HTTP 429" and reason("/moved") == "HTTP 302"
+    assert not any(path == "/ok" for path, _, _ in Told.asked)
+    with socket.socket() as idle:
+        idle.bind(("127.0.0.1", 0))
+        closed = live.Service(f"http://127.0.0.1:{idle.getsockname()[1]}/")
+        assert live.exchange(closed, "x", "") == (None, None, "refused")
+        idle.listen()
+        assert live.exchange(live.Service(closed.address, timeout=0.2), "x", "") == (None, None, "timeout")
+    with pytest.raises(ValueError):
+        live.Service("file:///etc/hosts")
+
+
+def test_a_live_model_and_covers(spark, served):
+    from bindery.sources import live
+
+    Told.asked = []
+    calls = spark.createDataFrame([(7, 'Pick "one"\n{key}')], "id long, prompt string")
+    body = {"messages": [{"role": "user", "content": "{request}"}], "max_tokens": 256}
+    assert live.model(live.Service(f"{served}/ok", body))(calls).first().asDict() == {"id": 7, "reply": '{"totalItems": 0}'}
+    assert json.loads(Told.asked[0][2]) == {"messages": [{"role": "user", "content": 'Pick "one"\n{key}'}], "max_tokens": 256}
+    assert live.model(live.Service(f"{served}/slow", lambda q: {"q": q}))(calls).first().reply is None
+    urls = spark.createDataFrame([(f"{served}/{p}",) for p in ("image", "page", "none", "gone")] + [("file:///etc/hosts",)], "url string")
+    got = {r.url.rpartition("/")[2]: r.body for r in live.images()(urls).collect()}
+    assert {n: b if b is None else bytes(b) for n, b in got.items()} == {"image": Told.image, "page": None, "none": None, "gone": None}
+
+
+def test_services_are_read_from_a_file(tmp_path):
+    from bindery import __main__ as command
+
+    told = tmp_path / "s.toml"
+    told.write_text('[catalogue_b]\naddress = "https://x.invalid/?q={request}"\npause = 1.5\n[choose]\naddress = "https://y.invalid"\n[choose.body]\nmodel = "m"\n')
+    got = command.services(str(told))
+    assert (got["catalogue_b"].pause, got["choose"].body) == (1.5, {"model": "m"}) and command.services(None) == {}
+    for wrong in ('[other]\naddress = "https://x"\n', '[choose]\naddress = "https://x"\nkey = "k"\n'):
+        told.write_text(wrong)
+        with pytest.raises(ValueError):
+            command.services(str(told))
+
+
 def test_secrets_listings_and_stuck_files(spark, tmp_path):
     from bindery.sources import files
 
