@@ -2,8 +2,9 @@
 
 A pool is a DataFrame with a row per candidate. ``book_id`` names the pool and ``pos`` is
 the candidate's place in it: order is data here, every choice ends in ``pos`` and none in
-the order rows happen to arrive. All steps window on ``book_id`` first, so one exchange
-serves them all.
+the order rows happen to arrive. Keys are worked out first (some need Python, after which Spark
+forgets how rows were dealt), then ``reduced`` deals the rows by ``book_id`` once, for all its
+windows. A book's pool is bounded by what its sources may answer, so this deals evenly.
 """
 
 from __future__ import annotations
@@ -66,9 +67,9 @@ def standard_record_order(fields=PAYLOAD) -> list[Column]:
     ]
 
 
-def work_groups(pool: DataFrame) -> DataFrame:
+def work_keys(pool: DataFrame) -> DataFrame:
     """The pool with ``group`` (title head and author letters; null if either is missing) and
-    ``placement`` (series and position, both or none; a sole one in the group is everyone's)."""
+    ``__own``, the record's own placement (series and position, both or none)."""
     # Each step in a projection of its own: what a later one reads twice is a column by then.
     told = pool.withColumns(
         {
@@ -80,32 +81,37 @@ def work_groups(pool: DataFrame) -> DataFrame:
     spelled = told.withColumns(
         {"__head": X.comparison_key(F.col("__title")), "__letters": X.letters(F.col("__names")), "__series": X.comparison_key(F.col("series"))}
     )
-    series, number = F.col("__series"), F.col("__number")
-    keyed = spelled.withColumns(
+    placed = (F.col("__series") != "") & F.col("__number").isNotNull()
+    known = (F.col("__head") != "") & F.col("__letters").isNotNull()
+    return spelled.withColumns(
         {
-            "__head": F.nullif("__head", F.lit("")),
-            "__own": F.when((series != "") & number.isNotNull(), F.concat_ws("\x1f", series, number)),
+            "group": F.when(known, F.concat_ws("\x1f", "__head", "__letters")),
+            "__own": F.when(placed, F.concat_ws("\x1f", "__series", "__number")),
         }
-    ).drop("__title", "__names", "__number", "__series")
-    group = F.when(
-        F.col("__head").isNotNull() & F.col("__letters").isNotNull(), F.concat_ws("\x1f", "__head", "__letters")
-    )
-    grouped = keyed.withColumn("group", group)
+    ).drop("__title", "__names", "__number", "__head", "__letters", "__series")
+
+
+def placed_groups(keyed: DataFrame) -> DataFrame:
+    """The pool of ``work_keys`` with ``placement``: its own, or the group's if that has one."""
     placed = F.collect_set("__own").over(Window.partitionBy("book_id", "group"))
     return (
-        grouped.withColumn("__placed", placed)
+        keyed.withColumn("__placed", placed)
         .withColumn("placement", F.coalesce("__own", F.when(F.size("__placed") == 1, F.get("__placed", 0))))
-        .drop("__head", "__letters", "__own", "__placed")
+        .drop("__own", "__placed")
     )
 
 
-def standard_records(pool: DataFrame) -> DataFrame:
-    """One candidate for each work, at the place where its work first appears."""
-    grouped = work_groups(pool).withColumn("__source_rank", source_ranks())
+def work_groups(pool: DataFrame) -> DataFrame:
+    """The pool with ``group`` (title head and author letters; null if either is missing) and
+    ``placement`` (series and position, both or none; a sole one in the group is everyone's)."""
+    return placed_groups(work_keys(pool))
+
+
+def _standard(grouped: DataFrame) -> DataFrame:
     key = F.when(F.col("group").isNotNull(), F.struct("group", F.coalesce("placement", F.lit("")).alias("placement")))
     work = F.coalesce(F.to_json(key), F.concat(F.lit("#"), F.col("pos").cast("string")))
     first = F.min("pos").over(Window.partitionBy("book_id", "__work"))
-    chosen = grouped.withColumn("__work", work).withColumn("__first", first)
+    chosen = grouped.withColumn("__source_rank", source_ranks()).withColumn("__work", work).withColumn("__first", first)
     window = Window.partitionBy("book_id", "__work").orderBy(*standard_record_order())
     return (
         chosen.withColumn("__n", F.row_number().over(window))
@@ -115,6 +121,11 @@ def standard_records(pool: DataFrame) -> DataFrame:
     )
 
 
+def standard_records(pool: DataFrame) -> DataFrame:
+    """One candidate for each work, at the place where its work first appears."""
+    return _standard(placed_groups(work_keys(pool).repartition("book_id")))
+
+
 def identity() -> Column:
     """What identifies a record: its ISBN-13, else title, first author and year; or null."""
     return _identified(X.comparison_key(F.col("title")), X.name_key(F.get("authors", 0)))
@@ -126,13 +137,27 @@ def _identified(title: Column, author: Column) -> Column:
     return F.when(isbn.isNotNull(), F.concat(F.lit("isbn\x1f"), isbn)).when((title != "") & (author != ""), key)
 
 
-def dedupe(pool: DataFrame) -> DataFrame:
-    """One candidate for each record, the first in the pool."""
+def identified(pool: DataFrame) -> DataFrame:
+    """The pool with ``__identity``."""
     keyed = pool.withColumns({"__title": X.comparison_key(F.col("title")), "__author": X.name_key(F.get("authors", 0))})
-    keyed = keyed.withColumn("__identity", _identified(F.col("__title"), F.col("__author"))).drop("__title", "__author")
+    return keyed.withColumn("__identity", _identified(F.col("__title"), F.col("__author"))).drop("__title", "__author")
+
+
+def _first_of_each(keyed: DataFrame) -> DataFrame:
     return first_in_group(keyed, ["book_id"], F.col("__identity"), [F.col("pos").asc()]).drop("__identity")
 
 
+def dedupe(pool: DataFrame) -> DataFrame:
+    """One candidate for each record, the first in the pool."""
+    return _first_of_each(identified(pool))
+
+
+def reduced(pool: DataFrame) -> DataFrame:
+    """``dedupe(standard_records(pool))`` with one exchange: a record's identity is its own,
+    whichever of its work it stands for, so all keys come before the rows are dealt."""
+    return _first_of_each(_standard(placed_groups(work_keys(identified(pool)).repartition("book_id"))))
+
+
 def concat_pools(pool: DataFrame | None, new: DataFrame) -> DataFrame:
     """The pool followed by new candidates, places re-based behind those there are."""
     if pool is None:

@@ -91,7 +91,7 @@ def gather(
         if errors is not None:
             failed = errors.filter(F.col("source") == name).select("book_id").distinct()
             new = new.join(failed, "book_id", "left_anti")
-        merged = P.dedupe(P.standard_records(P.concat_pools(pool, new)))
+        merged = P.reduced(P.concat_pools(pool, new))
         ranked = R.rank(R.score(merged, books))
         # The leader's band is everyone's, by the window that ranked the pool.
         led = F.max(F.when(F.col("rk") == 1, R.band(bands))).over(Window.partitionBy("book_id"))
