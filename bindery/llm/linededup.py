@@ -7,9 +7,9 @@ merge-joined with the runs: its hashes that no run has (the anti-join) are fresh
 they name a keeper, the largest document of the batch that holds the line; for known hashes
 the batch adds its documents alone. The batch becomes a run of level 0; when a level holds
 ``fanout`` runs they are merged into one sorted run of the next level, so a hash lies in at
-most ``fanout * levels`` runs. A small manifest names the runs that count; it is replaced in
-one step, so an interrupted call leaves the runs as they were, and a later call or session
-goes on from them.
+most ``fanout * levels`` runs. A small manifest names the runs that count; while it is replaced
+its successor stands beside it, so an interrupted call leaves either the runs as they were or
+those with its batch, and a later call or session goes on from them.
 
 ``dedup_lines`` deals its documents into batches by falling ids, adds them to the runs, and
 drops, from each document, the lines found in at least ``min_docs`` documents unless it is
@@ -61,7 +61,7 @@ class LineRuns:
         self.spark = spark
         self.root = root or shared_dir(spark, "line-runs")
         self.fanout = fanout
-        known = read_text(spark, self._manifest) if root else None
+        known = (read_text(spark, self._manifest) or read_text(spark, self._successor)) if root else None
         state = json.loads(known) if known else {"written": 0, "levels": {}}
         self.written: int = state["written"]
         self.levels: dict[int, list[str]] = {int(k): v for k, v in state["levels"].items()}
@@ -70,9 +70,16 @@ class LineRuns:
     def _manifest(self) -> str:
         return f"{self.root}/manifest.json"
 
+    @property
+    def _successor(self) -> str:
+        return f"{self.root}/manifest-next.json"
+
     def _commit(self) -> None:
-        remove(self.spark, self._manifest)
-        write_text(self.spark, self._manifest, json.dumps({"written": self.written, "levels": self.levels}))
+        """Name the runs that count: at each moment one of both files is whole."""
+        told = json.dumps({"written": self.written, "levels": self.levels})
+        for path in (self._successor, self._manifest):
+            remove(self.spark, path)
+            write_text(self.spark, path, told)
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(*paths)

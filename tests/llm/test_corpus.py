@@ -328,6 +328,26 @@ def test_runs_of_earlier_calls_meet_later_batches(spark):
     assert {r.n_docs for r in runs.totals().collect()} == set(seen.values())
 
 
+@pytest.mark.parametrize("broken, held", [("manifest-next.json", [1]), ("manifest.json", [1, 2])])
+def test_an_interrupted_call_leaves_whole_runs(spark, monkeypatch, broken, held):
+    root = warc.shared_dir(spark, "test-manifest")
+    hashes = lambda n: spark.createDataFrame([(n, n, n)], "h1 long, h2 long, doc_id long")
+    linededup.LineRuns(spark, root).add(hashes(1))
+
+    def stopped(spark, path, text, write=linededup.write_text):
+        if path.endswith(f"/{broken}"):
+            raise OSError("stopped")
+        write(spark, path, text)
+
+    monkeypatch.setattr(linededup, "write_text", stopped)
+    with pytest.raises(OSError):
+        linededup.LineRuns(spark, root).add(hashes(2))
+    monkeypatch.undo()
+    assert sorted(r.h1 for r in linededup.LineRuns(spark, root).totals().collect()) == held
+    linededup.LineRuns(spark, root).add(hashes(3))
+    assert sorted(r.h1 for r in linededup.LineRuns(spark, root).totals().collect()) == [*held, 3]
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
