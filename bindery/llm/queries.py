@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, mixing, negatives, packing, quality, secrets, simhash, topk, toxicity, warc
+from bindery.llm import licenses, linededup, lm, mixing, negatives, packing, quality, secrets, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op1_quality_rules": quality.op1_quality_rules,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_hmm_scores": lm.op13_hmm_scores,
     "quality_ablations": quality.quality_ablations,
     "secret_ledger_rounds": secrets.secret_ledger_rounds,
 }
