@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bindery.llm import licenses, linededup, lm, mixing, negatives, packing, quality, secrets, simhash, topk, toxicity, warc
+from bindery.llm import licenses, linededup, lm, mixing, negatives, packing, quality, secrets, simhash, topk, toxicity, trie, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_line_dedup": linededup.op7_line_dedup,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op1_quality_rules": quality.op1_quality_rules,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_hmm_scores": lm.op13_hmm_scores,
     "quality_ablations": quality.quality_ablations,
@@ -29,6 +30,7 @@ ORACLES = {
     "op7_line_dedup": linededup.ORACLE,
     "op9_secret_scans": secrets.ORACLE,
     "op1_quality_rules": quality.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
     "quality_ablations": quality.ABLATIONS_ORACLE,
     "secret_ledger_rounds": secrets.ROUNDS_ORACLE,
