@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import signal
 import tomllib
 
 from pyspark.sql import SparkSession
@@ -27,7 +28,7 @@ def services(path: str | None) -> dict[str, live.Service]:
         return {}
     with open(path, "rb") as file:
         told = tomllib.load(file)
-    if odd := set(told) - {*requests.READERS, "choose", "map_genre", "covers"}:
+    if odd := set(told) - {*requests.DIALECTS, "choose", "map_genre", "covers"}:
         raise ValueError(f"no such services: {sorted(odd)}")
     known = {f.name for f in dataclasses.fields(live.Service)}
     if odd := {e for entries in told.values() for e in entries} - known:
@@ -53,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     told.add_argument("command", choices=("watch", "once", "reset"))
     for name in ("ingest", "output", "backups", "state"):
         told.add_argument(f"--{name}", required=True)
-    for name in requests.READERS:
+    for name in requests.DIALECTS:
         told.add_argument(f"--{name}")
     told.add_argument("--options")
     told.add_argument("--services")
@@ -69,7 +70,9 @@ def main(arguments: list[str] | None = None) -> None:
     if given.command == "reset":
         relay.reset(given.yes)
     else:
-        relay.poll(1 if given.command == "once" else None, **({"rest": lambda seconds: None} if given.command == "once" else {}))
+        for number in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(number, lambda *_: relay.stop.set())
+        relay.poll(1 if given.command == "once" else None)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def destinations(files: DataFrame, delivered: DataFrame) -> DataFrame:
     ).drop("__size", "__digest")
 
 
+def routes(files: DataFrame, there: DataFrame, digests: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(path, name, content) with ``route``, as ``destinations``, against a listing (path, name,
+    length): only files of the same name and length are read, by ``digests`` of their paths."""
+    known = there.groupBy("name").agg(F.first("path").alias("__there"), F.first("length").alias("__length"))
+    met = files.join(known, "name", "left").withColumn("__same", F.length("content") == F.col("__length"))
+    read = digests(met.filter("__same").select(F.col("__there").alias("path"))).select(F.col("path").alias("__there"), "digest")
+    met = met.join(read, "__there", "left")
+    same = F.coalesce(F.col("__same") & (F.sha2("content", 256) == F.col("digest")), F.lit(False))
+    route = F.when(F.col("__there").isNull(), "moved").when(same, "duplicate").otherwise("collision")
+    return met.withColumn("route", route).drop("__there", "__length", "__same", "digest")
+
+
 def expired(backups: DataFrame, now: Column, days: int, at: str = "modificationTime") -> DataFrame:
     """Backups older than ``days``; hidden files stay."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

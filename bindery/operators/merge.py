@@ -145,11 +145,30 @@ def wants_cover(add_cover: bool = True) -> Column:
     return F.lit(add_cover) & (F.coalesce("found_cover", F.lit("")) != "") & ~F.coalesce("file_has_cover", F.lit(False))
 
 
-def audit_line(path: Column, outcome: Column, source: Column, score: Column) -> Column:
+def audit_line(
+    path: Column, outcome: Column, source: Column, score: Column, how: Column | None = None, problem: Column | None = None
+) -> Column:
     """One line for a book: what became of it and every change, in order; nothing of a source or
-    score that is null."""
+    score that is null. ``how`` is a struct of what led there (reason, sought, tried, near,
+    said): a wait has its reason; a book that nothing matched, what was sought and where, and
+    what came near; a book that the model was asked about, what it said."""
     told = F.transform("changes", lambda c: F.concat(c["field"], F.lit("="), X.short_reason(c["value"])))
-    return F.concat_ws(
-        " | ", path, outcome, F.concat(F.lit("source="), source), F.when(score.isNotNull(), F.concat(F.lit("score="), F.format_string("%.4f", score))),
-        F.when(F.size("changes") == 0, F.lit("no change")).otherwise(F.array_join(told, "; ")),
-    )
+    number = lambda c, form="%.4f": F.format_string(form, c)
+    parts = [path, outcome, F.concat(F.lit("source="), source), F.when(score.isNotNull(), F.concat(F.lit("score="), number(score)))]
+    if how is not None:
+        near, said, open_ = how["near"], how["said"], outcome == "unverified"
+        pick = F.coalesce(F.concat(F.lit("candidate "), said["pick"].cast("string")), F.lit("none of them"))
+        parts += [
+            F.concat(F.lit("reason="), how["reason"]),
+            F.when(open_, F.concat(F.lit("sought="), how["sought"])),
+            F.when(open_ & (F.size(how["tried"]) > 0), F.concat(F.lit("tried="), F.array_join(how["tried"], ", "))),
+            F.when(open_ & near.isNotNull(), F.concat(F.lit("near="), near["title"], F.lit(" of "), near["source"], F.lit(", "), number(near["score"]))),
+            F.when(
+                said.isNotNull(),
+                F.concat(F.lit("model="), pick, F.lit(", "), number(said["confidence"], "%.2f"), F.coalesce(F.concat(F.lit(": "), said["reason"]), F.lit(""))),
+            ),
+        ]
+    if problem is not None:
+        parts.append(F.when(problem.isNotNull(), F.concat(F.lit("problem="), X.short_reason(problem))))
+    parts.append(F.when(F.size("changes") == 0, F.lit("no change")).otherwise(F.array_join(told, "; ")))
+    return F.concat_ws(" | ", *parts)

@@ -1,16 +1,22 @@
 """Durable tables: name spellings, matches, genre mappings; and how they are written.
 
-A table is a folder of versions; a version is written whole and then named by a pointer
-row, so readers see one version or the next and a re-run of the same batch changes nothing.
-The upserts are functions of DataFrames.
+A table is a log of commits below one folder. A commit names the folders of Parquet files that
+make up the table from then on: a base, and deltas that are merged into it as it is read. It is
+a small file with the next number, created only if that is not there: readers see one commit or
+the next, and of two writers one has to read the other's commit and try again. The upserts are
+functions of DataFrames.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from bindery import storage
 from bindery.functions import text as X
 
 NAMES = "kind string, source string, key string, standard string, seen string"
@@ -18,41 +24,166 @@ MATCHES = "book_key string, source string, confidence double, matched_at string,
 GENRES = "source string, genre string, mapped string, seen string"
 
 
+#: Deltas that are read beside a base before they are written into a new one.
+MOST_DELTAS = 8
+#: Commits that stay, for readers that have begun with them.
+KEPT_COMMITS = 3
+#: Days whose leases stay.
+KEPT_DAYS = 2
+
+
 class StateTable:
-    """Versions of one table below ``root``; the pointer table tells the current one."""
+    """One table below ``root``. ``merged`` makes the table of the base's and the deltas' rows,
+    with ``seq``, the place of the commit they came with; without it they are all its rows.
+    ``batch`` numbers rise: what has no higher number than the last one was written before."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str, schema: str, merged: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.root, self.schema, self.merged = spark, root.rstrip("/"), schema, merged
 
-    def _pointers(self) -> list[tuple[int, int]]:
-        try:
-            rows = self.spark.read.schema("version long, batch long").parquet(f"{self.root}/pointer").collect()
-        except AnalysisException:
-            return []
-        return sorted((r["version"], r["batch"]) for r in rows)
+    def _log(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in storage.names(self.spark, f"{self.root}/log") if n.endswith(".json")]
 
-    def read(self) -> DataFrame:
-        pointers = self._pointers()
-        if not pointers:
+    def _commit(self, number: int) -> dict:
+        return json.loads(storage.read_text(self.spark, f"{self.root}/log/{number:010d}.json"))
+
+    def _current(self) -> tuple[int, dict]:
+        log = self._log()
+        return (log[-1], self._commit(log[-1])) if log else (-1, {"base": None, "deltas": [], "batch": -1})
+
+    def _rows(self, told: dict) -> DataFrame:
+        folders = [f for f in (told["base"], *told["deltas"]) if f]
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{pointers[-1][0]}")
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{f}" for f in folders))
+        if self.merged is None or not told["deltas"]:
+            return rows
+        own = F.regexp_extract("_metadata.file_path", "/(rows-[0-9a-f]+)/[^/]*$", 1)
+        seq = F.array_position(F.array(*map(F.lit, folders)), own)
+        return self.merged(rows.withColumn("seq", seq)).select(*(c.split(" ")[0] for c in self.schema.split(", ")))
+
+    def read(self) -> DataFrame:
+        return self._rows(self._current()[1])
+
+    def _written(self, rows: DataFrame) -> str:
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _put(self, number: int, told: dict) -> bool:
+        done = storage.create_text(self.spark, f"{self.root}/log/{number:010d}.json", json.dumps(told))
+        if done:
+            self._forget()
+        return done
+
+    def _forget(self) -> None:
+        """Old commits go, and what only they name."""
+        log = self._log()
+        old, kept = log[:-KEPT_COMMITS], log[-KEPT_COMMITS:]
+        if not old:
+            return
+        of = lambda told: {f for f in (told["base"], *told["deltas"]) if f}
+        needed = set().union(*(of(self._commit(n)) for n in kept))
+        for n in old:
+            for folder in of(self._commit(n)) - needed:
+                storage.remove(self.spark, f"{self.root}/{folder}")
+            storage.remove(self.spark, f"{self.root}/log/{n:010d}.json")
 
     def replace(self, rows: DataFrame, batch: int = -1) -> bool:
-        """Write a new version; False if ``batch`` was written before."""
-        pointers = self._pointers()
-        if batch >= 0 and any(b == batch for _, b in pointers):
-            return False
-        version = pointers[-1][0] + 1 if pointers else 0
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self.spark.createDataFrame([(version, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(
-            f"{self.root}/pointer"
-        )
+        """Make the table these rows; False if ``batch`` was written before."""
+        folder = None
+        while True:
+            number, told = self._current()
+            if 0 <= batch <= told["batch"]:
+                return False
+            folder = folder or self._written(rows)
+            if self._put(number + 1, {"base": folder, "deltas": [], "batch": max(batch, told["batch"])}):
+                return True
+
+    def append(self, rows: DataFrame, batch: int = -1) -> bool:
+        """Add rows to those there are; False if ``batch`` was written before."""
+        folder = None
+        while True:
+            number, told = self._current()
+            if 0 <= batch <= told["batch"]:
+                return False
+            folder = folder or self._written(rows)
+            if self._put(number + 1, told | {"deltas": [*told["deltas"], folder], "batch": max(batch, told["batch"])}):
+                break
+        if len(told["deltas"]) + 1 >= MOST_DELTAS:
+            self.update(lambda rows: rows)
         return True
 
+    def update(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Make the table what ``change`` makes of it, anew if another writer came first."""
+        while True:
+            number, told = self._current()
+            folder = self._written(change(self._rows(told)))
+            if self._put(number + 1, {"base": folder, "deltas": [], "batch": told["batch"]}):
+                return
+            storage.remove(self.spark, f"{self.root}/{folder}")
+
     def reset(self) -> None:
         self.replace(self.spark.createDataFrame([], self.schema))
 
 
+class DailyCalls:
+    """How many calls each UTC day has left, whoever makes them.
+
+    Calls are taken before they are made, by a lease: a file below ``root`` and the day, with
+    the next number and all that is spent with it, created only if that is not there. Those who
+    ask at once take turns, a restart reads the last lease, and a call that fails was spent.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, daily: int):
+        self.spark, self.root, self.daily = spark, root.rstrip("/"), daily
+
+    def _last(self, day: str) -> tuple[int, dict]:
+        leases = storage.names(self.spark, f"{self.root}/{day}")
+        if not leases:
+            return -1, {"spent": 0, "batch": -1}
+        return int(leases[-1]), json.loads(storage.read_text(self.spark, f"{self.root}/{day}/{leases[-1]}"))
+
+    def spent(self, day: str) -> int:
+        return self._last(day)[1]["spent"]
+
+    def take(self, day: str, wanted: int, batch: int = -1) -> int:
+        """How many of the wanted calls may be made; none for a batch, of rising numbers, that
+        took some before. Leases of days before yesterday go."""
+        while True:
+            number, told = self._last(day)
+            given = wanted if not self.daily else max(0, min(wanted, self.daily - told["spent"]))
+            if 0 <= batch <= told["batch"] or (given == 0 and batch < 0):
+                return 0
+            lease = {"spent": told["spent"] + given, "calls": given, "batch": max(batch, told["batch"])}
+            if storage.create_text(self.spark, f"{self.root}/{day}/{number + 1:010d}", json.dumps(lease)):
+                break
+        for old in storage.names(self.spark, self.root)[:-KEPT_DAYS]:
+            storage.remove(self.spark, f"{self.root}/{old}")
+        return given
+
+    def on(self, day: str) -> Callable[[int], int]:
+        """A day's calls, as the steps that make them take them."""
+        return lambda wanted: self.take(day, wanted)
+
+    def grant(self, calls: DataFrame, day: str, batch: int, *order: str) -> DataFrame:
+        """The first calls of a batch that the day still has, by ``order``, which tells them
+        apart; the calls of a day are as few as its limit."""
+        given = self.take(day, calls.count(), batch)
+        return calls.orderBy(*order).limit(given)
+
+
+def in_all(daily: int) -> Callable[[int], int]:
+    """As many calls as ``daily`` in all, for a pass that keeps no count; 0 is no limit."""
+    left = [daily]
+
+    def take(wanted: int) -> int:
+        given = wanted if not daily else min(wanted, left[0])
+        left[0] -= given
+        return given
+
+    return take
+
+
 def resolve_names(names: DataFrame, known: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(kind, source, name, identity) with ``spelling``, ``by_id`` and ``overridden``.
 
@@ -77,33 +208,49 @@ def resolve_names(names: DataFrame, known: DataFrame, overrides: DataFrame | Non
     ).drop("__over", "__id", "__key")
 
 
+def name_rows(resolved: DataFrame) -> DataFrame:
+    """What resolved names tell the name table: a row by the chosen spelling's key and, unless
+    it was resolved by id or overridden, one by the source's id; with ``pos`` and other columns
+    as they are."""
+    others = [c for c in resolved.columns if c not in ("kind", "source", "key", "name", "identity", "spelling", "by_id", "overridden")]
+    told = [F.col("spelling").alias("standard"), F.col("name").alias("seen"), *others]
+    by_key = resolved.select("kind", F.lit("").alias("source"), X.durable_key(F.col("spelling")).alias("key"), *told)
+    by_id = resolved.filter("identity is not null and not by_id and not overridden").select("kind", "source", F.col("identity").alias("key"), *told)
+    return by_key.unionByName(by_id).filter("key <> ''")
+
+
+def first_names(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """The first row of each kind, source and key: what came first stays."""
+    first = Window.partitionBy("kind", "source", "key").orderBy(order)
+    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", order)
+
+
 def learn_names(known: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The name table with what was not known: a row by the chosen spelling's key and, unless
-    it was resolved by id or overridden, one by the source's id. First come, first kept."""
-    new_key = resolved.select(
-        "kind", F.lit("").alias("source"), X.durable_key(F.col("spelling")).alias("key"),
-        F.col("spelling").alias("standard"), F.col("name").alias("seen"), "pos",
-    )
-    new_id = resolved.filter("identity is not null and not by_id and not overridden").select(
-        "kind", "source", F.col("identity").alias("key"), F.col("spelling").alias("standard"), F.col("name").alias("seen"), "pos"
-    )
-    order = Window.partitionBy("kind", "source", "key").orderBy("pos")
-    first = (
-        new_key.unionByName(new_id).filter("key <> ''").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "pos")
-    )
+    """The name table with what was not known. First come, first kept."""
+    first = first_names(name_rows(resolved), "pos")
     return known.unionByName(first.join(known, ["kind", "source", "key"], "left_anti").select(known.columns))
 
 
-def best_matches(known: DataFrame, new: DataFrame, priority: dict[str, int] | list[str]) -> DataFrame:
-    """The match table after new matches: the higher confidence, then the better source (an
-    unlisted one last), then the one that was there."""
+def merged_genres(rows: DataFrame) -> DataFrame:
+    """Of each source's genre the newest target and the spelling seen first, by ``seq``."""
+    return rows.groupBy("source", "genre").agg(F.max_by("mapped", "seq").alias("mapped"), F.min_by("seen", "seq").alias("seen"))
+
+
+def merged_matches(priority: dict[str, int] | list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Of each book's matches the one of higher confidence, then of the better source (an
+    unlisted one last), then the one that was there, by ``seq``."""
     listed = {s: n for n, s in enumerate(priority)} if isinstance(priority, list) else priority
     rank: Column = F.lit(len(listed))
     for name, n in listed.items():
         rank = F.when(F.col("source") == name, F.lit(n)).otherwise(rank)
-    rows = known.withColumn("__new", F.lit(0)).unionByName(new.select(known.columns).withColumn("__new", F.lit(1)))
-    order = Window.partitionBy("book_key").orderBy(F.col("confidence").desc(), rank, "__new", "matched_at", "matched_as")
-    return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__new")
+    order = Window.partitionBy("book_key").orderBy(F.col("confidence").desc(), rank, "seq", "matched_at", "matched_as")
+    return lambda rows: rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "seq")
+
+
+def best_matches(known: DataFrame, new: DataFrame, priority: dict[str, int] | list[str]) -> DataFrame:
+    """The match table after new matches, the best of each book."""
+    rows = known.withColumn("seq", F.lit(0)).unionByName(new.select(known.columns).withColumn("seq", F.lit(1)))
+    return merged_matches(priority)(rows)
 
 
 def book_key(isbn: Column, title: Column, authors: Column) -> Column:

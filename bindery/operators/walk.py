@@ -5,11 +5,15 @@ that has the number decides. By title: each source's candidates join the pool, w
 reduced to standard records and de-duplicated at every step (the reduction is not
 associative, so it can't be done once at the end), and a book whose pool is strong asks no
 further source. Books already decided leave before the next step.
+
+A source is a table of candidates, or a function that is called, at its step, with the books
+that are still open, and only if there are some: it gives candidates and (book_id, source,
+reason) of the books that it could not be asked about.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +26,29 @@ from bindery.storage import materialize
 
 ERRORS = "book_id long, source string, reason string"
 
+Source = DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
+Sources = Sequence[tuple[str, Source]]
+
+
+def _asked(name: str, source: Source, open_: DataFrame, errors: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """A source's candidates for the open books, and (book_id, source, reason) of its failures."""
+    if isinstance(source, DataFrame):
+        return source, None if errors is None else errors.filter(F.col("source") == name).join(open_.select("book_id"), "book_id", "left_semi")
+    return source(open_)
+
+
+def _trail(name: str, open_: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """(book_id, source, reason) of the books a source was asked about; reason is null where it
+    answered."""
+    asked = open_.select("book_id", F.lit(name).alias("source"))
+    if failed is None:
+        return asked.withColumn("reason", F.lit(None).cast("string"))
+    return asked.join(failed.groupBy("book_id").agg(F.min("reason").alias("reason")), "book_id", "left")
+
+
+def _both(one: DataFrame | None, other: DataFrame) -> DataFrame:
+    return other if one is None else one.unionByName(other)
+
 
 def any_key_join(left: DataFrame, right: DataFrame, left_key: str, right_keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows of ``left`` whose key equals any of several columns of ``right``, once for each
@@ -48,49 +75,78 @@ def title_lookup(books: DataFrame, records: DataFrame) -> DataFrame:
     return once.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("__title", "__lang", "record_pos")
 
 
-def by_isbn(books: DataFrame, sources: Sequence[tuple[str, DataFrame]], errors: DataFrame | None = None) -> DataFrame:
+def by_isbn(books: DataFrame, sources: Sources, errors: DataFrame | None = None) -> DataFrame:
     """(book_id, outcome, found): the ISBN walk of books that have an ISBN.
 
     ``outcome``: ``held`` where a source failed before one answered; ``match`` where the
     first hit's title agrees; ``contradicted`` where it does not; ``missed``. ``found`` is
     the hit. Each source is (name, candidates by ISBN), one row per book at most being used.
     """
-    left = books.filter(X.isbn_of(F.col("isbn")).isNotNull()).select("book_id", X.parted(F.col("title"))["head"].alias("__head"))
+    return isbn_walk(books, sources, errors)[0]
+
+
+def isbn_walk(books: DataFrame, sources: Sources, errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The outcomes of ``by_isbn``, and the trail of who was asked about what."""
+    left = books.filter(X.isbn_of(F.col("isbn")).isNotNull()).withColumn("__head", X.parted(F.col("title"))["head"])
     left = left.withColumn("__own", X.comparison_key(F.col("__head"))).drop("__head")
-    done = None
-    for name, hits in sources:
-        if errors is not None:
-            failed = errors.filter(F.col("source") == name).select("book_id").distinct()
-            held = left.join(failed, "book_id", "left_semi").select("book_id", F.lit("held").alias("outcome"), F.lit(None).alias("found"))
-            done = held if done is None else done.unionByName(held, allowMissingColumns=True)
-            left = left.join(failed, "book_id", "left_anti")
+    done, trail = None, None
+    for name, source in sources:
+        called = not isinstance(source, DataFrame)
+        if called and left.isEmpty():
+            break
+        hits, failed = _asked(name, source, left.drop("__own"), errors)
+        trail = _both(trail, _trail(name, left, failed))
+        open_ = left.select("book_id", "__own")
+        if failed is not None:
+            broken = failed.select("book_id").distinct()
+            held = open_.join(broken, "book_id", "left_semi").select("book_id", F.lit("held").alias("outcome"))
+            open_ = open_.join(broken, "book_id", "left_anti")
         first = Window.partitionBy("book_id").orderBy("pos")
         one = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
         record = one.select("book_id", F.struct(*(c for c in one.columns if c != "book_id")).alias("found"))
-        met = left.join(record.withColumn("__head", X.parted(F.col("found.title"))["head"]), "book_id")
+        met = open_.join(record.withColumn("__head", X.parted(F.col("found.title"))["head"]), "book_id")
         met = met.withColumn("__other", X.comparison_key(F.col("__head")))
         agrees = heads_agree(F.col("__own"), F.col("__other"))
         told = met.select("book_id", F.when(agrees, "match").otherwise("contradicted").alias("outcome"), "found")
-        done = told if done is None else told.unionByName(done.select("book_id", "outcome", done["found"].cast(told.schema["found"].dataType)))
-        left = left.join(record, "book_id", "left_anti")
-    return done.unionByName(left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(done.schema["found"].dataType).alias("found")))
+        kind = told.schema["found"].dataType
+        if failed is not None:
+            told = told.unionByName(held.withColumn("found", F.lit(None).cast(kind)))
+        if called:
+            # The next source's questions are sent from this: it is to be known, not computed again.
+            told = materialize(told, "isbn-step")
+        done = told if done is None else told.unionByName(done.select("book_id", "outcome", done["found"].cast(kind)))
+        left = left.join(told.select("book_id"), "book_id", "left_anti")
+    if done is None:
+        none = "struct<" + ",".join(P.SCHEMA.split(", ")[1:]).replace(" ", ":") + ">"
+        return left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(none).alias("found")), None
+    rest = left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(done.schema["found"].dataType).alias("found"))
+    return done.unionByName(rest), trail
+
+
+def gather(books: DataFrame, sources: Sources, errors: DataFrame | None = None, bands: R.Bands = R.Bands()) -> DataFrame:
+    """The ranked pools of the title walk, with ``band``, ``exited`` (stopped early) and
+    ``held`` (a source failed and the walk did not stop early) on every candidate."""
+    return title_walk(books, sources, errors, bands)[0]
 
 
-def gather(
-    books: DataFrame, sources: Sequence[tuple[str, DataFrame]], errors: DataFrame | None = None, bands: R.Bands = R.Bands()
-) -> DataFrame:
-    """The ranked pools of the title walk, with ``band``, ``exited`` (stopped early) and
-    ``held`` (a source failed and the walk did not stop early) on every candidate.
+def title_walk(
+    books: DataFrame, sources: Sources, errors: DataFrame | None = None, bands: R.Bands = R.Bands()
+) -> tuple[DataFrame, DataFrame | None]:
+    """The pools of ``gather``, and the trail of who was asked about what.
 
     Each step's pool is written, as the next one reads it more than once.
     """
-    asking = books.select("book_id")
-    pool, closed = None, None
-    for number, (name, candidates) in enumerate(sources):
-        new = candidates.join(asking, "book_id", "left_semi")
-        if errors is not None:
-            failed = errors.filter(F.col("source") == name).select("book_id").distinct()
-            new = new.join(failed, "book_id", "left_anti")
+    open_ = books
+    pool, closed, trail, failures = None, None, None, None
+    for number, (name, source) in enumerate(sources):
+        if not isinstance(source, DataFrame) and open_.isEmpty():
+            break
+        candidates, failed = _asked(name, source, open_, errors)
+        trail = _both(trail, _trail(name, open_, failed))
+        new = candidates.join(open_.select("book_id"), "book_id", "left_semi")
+        if failed is not None:
+            failures = _both(failures, failed.select("book_id"))
+            new = new.join(failed.select("book_id").distinct(), "book_id", "left_anti")
         merged = P.reduced(P.concat_pools(pool, new))
         ranked = R.rank(R.score(merged, books))
         # The leader's band is everyone's, by the window that ranked the pool.
@@ -100,19 +156,17 @@ def gather(
         strong = step.filter("band = 'strong'").withColumn("exited", F.lit(not last))
         still = step.filter("band <> 'strong'")
         out = strong if not last else step.withColumn("exited", F.lit(False))
-        closed = out if closed is None else closed.unionByName(out)
-        asking = asking.join(strong.select("book_id").distinct(), "book_id", "left_anti")
+        closed = _both(closed, out)
+        open_ = open_.join(strong.select("book_id").distinct(), "book_id", "left_anti")
         pool = still.select(*candidates.columns)
-    failed = (
-        errors.join(books.select("book_id"), "book_id", "left_semi").select("book_id").distinct().withColumn("__failed", F.lit(True))
-        if errors is not None
-        else books.sparkSession.createDataFrame([], "book_id long, __failed boolean")
-    )
-    return (
-        closed.join(failed, "book_id", "left")
-        .withColumn("held", F.coalesce("__failed", F.lit(False)) & ~F.col("exited"))
-        .drop("__failed")
-    )
+    if closed is None:
+        empty = books.sparkSession.createDataFrame([], P.SCHEMA)
+        closed = R.rank(R.score(empty, books)).withColumns({"band": F.lit(""), "exited": F.lit(False)})
+    if failures is None:
+        return closed.withColumn("held", F.lit(False)), trail
+    failed = failures.distinct().withColumn("__failed", F.lit(True))
+    held = F.coalesce("__failed", F.lit(False)) & ~F.col("exited")
+    return closed.join(failed, "book_id", "left").withColumn("held", held).drop("__failed"), trail
 
 
 def routed(pools: DataFrame, full_scan: bool = False) -> DataFrame:

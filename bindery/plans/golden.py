@@ -433,13 +433,13 @@ def stream_hold(spark, sf_dir):
 def stream_quota(spark, sf_dir):
     """A day's twelve calls, spent by the batches of a stream in turn; a repeated batch gets none."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("batch"))
-    spend = settling.DailyCalls(state.StateTable(spark, shared_dir(spark, "calls"), settling.DailyCalls.SCHEMA), 12)
+    spend = state.DailyCalls(spark, shared_dir(spark, "calls"), 12)
     granted = None
     for number in range(5):
         calls = nations.filter(F.col("batch") == number).select("id")
-        own = spend.grant(calls, "2024-01-01", number)
+        own = spend.grant(calls, "2024-01-01", number, "id")
         granted = own if granted is None else granted.unionByName(own)
-        granted = granted.unionByName(spend.grant(calls, "2024-01-01", number))
+        granted = granted.unionByName(spend.grant(calls, "2024-01-01", number, "id"))
     return granted
 
 

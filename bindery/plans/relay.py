@@ -1,14 +1,22 @@
 """Watching a folder: passes over what has settled, with the state between them.
 
 A pass lists the ingest folder, counts for how many passes each file has looked the same,
-corrects and delivers those that have settled, and remembers what was delivered. State is a
-handful of small versioned tables below one folder: ``seen`` (path, mark, streak), ``stuck``
-(delivered but not removable, until they change), ``waiting`` (left for the next UTC day),
-``names``, ``genres``, ``matches`` and the allowed list's ``fingerprint``.
+corrects and delivers those that have settled, and remembers what was delivered. State is below
+one folder: tables ``seen`` (path, mark, streak), ``stuck`` (delivered but not removable, until
+they change), ``waiting`` (left for the next UTC day), ``told`` (announced by a dry run; for a day, if they wait),
+``backed`` (originals that are in backups and whose book has not arrived), ``names``,
+``genres``, ``matches`` and the allowed list's ``fingerprint``; and the leases of the day's
+``calls``.
+
+What a pass decided is written into ``journal``, a row a book with where it goes, before
+anything is put there, and learned from the rows of the books that arrived. A journal that a
+pass left behind is learned from by the next one, as far as its books are in the output folder
+and no more in the ingest folder; learning the same twice changes nothing.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -22,14 +30,20 @@ from bindery.plans import correction
 from bindery.sources import files
 from bindery.storage import materialize, scratch
 
+NAME = "struct<kind:string,source:string,key:string,standard:string,seen:string,pos:struct<path:string,place:int>>"
+GENRE = "struct<source:string,genre:string,mapped:string,seen:string>"
+MATCH = "struct<book_key:string,source:string,confidence:double,matched_at:string,matched_as:string>"
 TABLES = {
     "seen": "path string, mark string, streak long",
     "stuck": "path string, mark string",
     "waiting": "path string, day string",
+    "told": "path string, mark string, day string",
+    "backed": "path string, mark string, name string",
     "names": state.NAMES,
     "genres": state.GENRES,
     "matches": state.MATCHES,
     "fingerprint": "fingerprint string",
+    "journal": f"path string, name string, length long, names array<{NAME}>, genres array<{GENRE}>, match {MATCH}",
 }
 
 
@@ -44,10 +58,17 @@ class Relay:
     options: Options = field(default_factory=Options)
 
     def __post_init__(self) -> None:
-        self.state = {n: state.StateTable(self.spark, f"{self.root.rstrip('/')}/{n}", kind) for n, kind in TABLES.items()}
+        root = self.root.rstrip("/")
+        merged = {"names": state.first_names, "genres": state.merged_genres, "matches": state.merged_matches(list(self.options.sources))}
+        self.state = {n: state.StateTable(self.spark, f"{root}/{n}", kind, merged.get(n)) for n, kind in TABLES.items()}
+        self.calls = state.DailyCalls(self.spark, f"{root}/calls", self.options.daily_calls)
+        self.stop = threading.Event()
 
     def _put(self, name: str, rows: DataFrame) -> None:
-        self.state[name].replace(materialize(rows, f"state-{name}"))
+        """Replace a small table, if that changes it."""
+        rows = materialize(rows, f"state-{name}")
+        if not (rows.isEmpty() and self.state[name].read().isEmpty()):
+            self.state[name].replace(rows)
 
     def start(self) -> None:
         """Forget the genres that did not fit, if the allowed list has changed; a dry run
@@ -57,7 +78,7 @@ class Relay:
         current = state.genre_fingerprint(self._allowed()).first()["fingerprint"]
         stored = self.state["fingerprint"].read().first()
         if stored is None or stored["fingerprint"] != current:
-            self._put("genres", state.sweep_genres(self.state["genres"].read(), stored and stored["fingerprint"], current))
+            self.state["genres"].update(lambda known: state.sweep_genres(known, stored and stored["fingerprint"], current))
             self._put("fingerprint", self.spark.range(1).select(F.lit(current).alias("fingerprint")))
 
     def _allowed(self) -> DataFrame:
@@ -74,10 +95,13 @@ class Relay:
         """(path, mark) of the files to be handled in this pass; counts the others."""
         listed = delivery.candidates(files.listing(self.spark, self.ingest), self.ingest)
         present = materialize(listed.select("path", "mark"), "present")
-        stuck = self.state["stuck"].read()
-        self._put("stuck", delivery.still_stuck(stuck, present))
+        stuck = materialize(delivery.still_stuck(self.state["stuck"].read(), present), "stuck")
+        self._put("stuck", stuck)
         waiting = self.state["waiting"].read().filter(F.col("day") == day)
         fresh = delivery.not_stuck(present, stuck).join(waiting, "path", "left_anti")
+        if self.options.dry_run:
+            told = self.state["told"].read().filter(F.coalesce(F.col("day") == day, F.lit(True)))
+            fresh = fresh.join(told, ["path", "mark"], "left_anti")
         before = self.state["seen"].read().select("path", F.col("mark").alias("was"), F.col("streak").alias("n"))
         streak = F.when(F.col("mark") == F.col("was"), F.col("n")).otherwise(0) + 1
         counted = materialize(fresh.join(before, "path", "left").select("path", "mark", streak.cast("long").alias("streak")), "counted")
@@ -90,53 +114,114 @@ class Relay:
         with scratch(self.spark):
             return self._scan(day, now)
 
+    def _learn(self, rows: DataFrame) -> None:
+        """Remember what the journal says of books that arrived."""
+        told = materialize(rows, "learned")
+        new = {
+            "names": state.first_names(told.select(F.inline("names")), "pos"),
+            "genres": told.select(F.inline("genres")).groupBy("source", "genre").agg(F.min("mapped").alias("mapped"), F.min("seen").alias("seen")),
+            "matches": told.filter("match is not null").select("match.*"),
+        }
+        for name, more in new.items():
+            if not (more := materialize(more, f"new-{name}")).isEmpty():
+                self.state[name].append(more)
+
+    def recover(self) -> None:
+        """Learn from what an earlier pass delivered and did not come to learn from."""
+        journal = self.state["journal"].read()
+        if journal.isEmpty():
+            return
+        there = files.at_top(files.listing(self.spark, self.output), self.output).select("name", "length")
+        here = files.listing(self.spark, self.ingest).select("path")
+        self._learn(journal.join(there, ["name", "length"], "left_semi").join(here, "path", "left_anti"))
+        self.state["journal"].reset()
+
+    def _journal(self, told: DataFrame, names: DataFrame, genres: DataFrame, going: DataFrame, now: str) -> DataFrame:
+        """A row for each book that teaches something: a rewritten one its names, genres and
+        match; one that needed no change its genres."""
+        own = told.filter("route = 'match'").select("path", "kept", "key", "source", "score", "title", (F.size("changes") == 0).alias("same"))
+        listed = names.groupBy("path").agg(F.collect_list(F.struct("kind", "source", "key", "standard", "seen", "pos")).alias("names"))
+        mapped = genres.groupBy("path").agg(F.collect_list(F.struct("source", "genre", "mapped", "seen")).alias("genres"))
+        match = F.struct(
+            F.col("key").alias("book_key"), "source", F.col("score").alias("confidence"), F.lit(now).alias("matched_at"), F.col("title").alias("matched_as")
+        )
+        rows = own.join(listed, "path", "left").join(mapped, "path", "left").join(going.select("path", "name", F.length("content").cast("long").alias("length")), "path")
+        empty = lambda kind: F.array().cast(f"array<{kind}>")
+        return rows.select(
+            "path", "name", "length",
+            F.when(F.col("kept"), F.coalesce("names", empty(NAME))).otherwise(empty(NAME)).alias("names"),
+            F.when(F.col("kept") | F.col("same"), F.coalesce("genres", empty(GENRE))).otherwise(empty(GENRE)).alias("genres"),
+            F.when(F.col("kept"), match).alias("match"),
+        ).filter("size(names) > 0 or size(genres) > 0 or match is not null")
+
     def _scan(self, day: str, now: str) -> list[str]:
-        if not self.options.dry_run:
+        dry = self.options.dry_run
+        if not dry:
             old = files.listing(self.spark, self.backups)
             expired = delivery.expired(old, F.lit(now).cast("timestamp"), self.options.backup_days)
-            files.delete(expired.select("path")).count()
+            gone = materialize(files.delete(expired.select("path")), "expired")
+            if not gone.isEmpty():
+                files.remove_empty_folders(self.backups)
+            self.recover()
         ready = materialize(self.settled(day), "settled")
         if ready.isEmpty():
             return []
-        listed = files.contents(self.spark, self.ingest).join(ready, "path", "left_semi")
+        listed = materialize(files.read(ready), "listed")
         memory = correction.Memory(
             self.state["names"].read(),
             self.state["genres"].read(),
             self._allowed(),
             self._overrides(),
         )
-        corrected, names, genres = correction.correct(listed, self.catalogues, memory, self.options)
+        corrected, names, genres = correction.correct(listed, self.catalogues, memory, self.options, self.calls.on(day))
         told = materialize(corrected, "corrected")
-        if self.options.dry_run:
-            return [r["line"] for r in told.select("name", "line").orderBy("name").collect()]
         put_off = told.filter("route = 'waiting'").select("path", F.lit(day).alias("day"))
+        if dry:
+            # Each version once; those that wait, once a day. A later real pass is not held by it.
+            self._put("told", self.state["told"].read().unionByName(ready.join(put_off, "path", "left")))
+            return self._lines(told)
         self._put("waiting", self.state["waiting"].read().filter(F.col("day") == day).unionByName(put_off))
-        present = files.contents(self.spark, self.output).select("name", "content")
         kept = files.listing(self.spark, self.backups).select("name")
-        done = materialize(correction.deliver(self.spark, told, self.output, self.backups, present, kept), "done")
+        backed = self.state["backed"].read()
+        held, aside = correction.backed_up(told, self.backups, kept, backed.join(ready, ["path", "mark"], "left_semi"))
+        aside = materialize(aside.join(ready, "path").select("path", "mark", "name"), "aside")
+        if not aside.isEmpty():
+            self._put("backed", backed.unionByName(aside))
+        present = files.at_top(files.listing(self.spark, self.output), self.output)
+        going = correction.addressed(held, present, kept.unionByName(aside.select("name")))
+        journal = materialize(self._journal(held, names, genres, going, now), "journal")
+        if not journal.isEmpty():
+            self.state["journal"].replace(journal)
+        done = materialize(correction.put(going, self.output, self.backups), "done")
         arrived = done.filter("error is null").select("path")
         left = done.filter("stuck is not null").join(ready, "path").select("path", "mark")
-        self._put("stuck", self.state["stuck"].read().unionByName(left))
-        # Only now, as what did not arrive is not to be learned from.
-        learned = told.join(arrived, "path", "left_semi").filter("route = 'match'")
-        if not learned.isEmpty():
-            self._put("names", names)
-            self._put("genres", genres)
-            new = learned.select(
-                F.col("key").alias("book_key"), "source", F.col("score").alias("confidence"), F.lit(now).alias("matched_at"), F.col("title").alias("matched_as")
-            )
-            self._put("matches", state.best_matches(self.state["matches"].read(), new, list(self.options.sources)))
-        return [r["line"] for r in told.select("name", "line").orderBy("name").collect()]
-
-    def poll(self, passes: int | None = None, clock: Callable[[], float] = time.time, rest: Callable[[float], None] = time.sleep) -> None:
-        """Pass after pass, ``poll_seconds`` apart."""
+        if not left.isEmpty():
+            self._put("stuck", self.state["stuck"].read().unionByName(left))
+        if not journal.isEmpty():
+            # Only now, and only of these: what did not arrive is not to be learned from.
+            self._learn(journal.join(arrived, "path", "left_semi"))
+            self.state["journal"].reset()
+        self._put("backed", self.state["backed"].read().join(arrived, "path", "left_anti"))
+        lost = done.filter("error is not null").select("path", F.concat(F.lit(" | not delivered: "), "error").alias("lost"))
+        whole = told.filter("route = 'waiting'").select("path", "name", "line").unionByName(held.select("path", "name", "line"))
+        return self._lines(whole.join(lost, "path", "left").withColumn("line", F.concat("line", F.coalesce("lost", F.lit("")))))
+
+    def _lines(self, told: DataFrame) -> list[str]:
+        """The lines by name; they come one partition after the other, not all at once."""
+        return [r["line"] for r in told.select("name", "line").orderBy("name").toLocalIterator()]
+
+    def poll(self, passes: int | None = None, clock: Callable[[], float] = time.time, rest: Callable[[float], object] | None = None) -> None:
+        """Pass after pass, ``poll_seconds`` apart, until ``stop`` is set; the pass that is
+        under way then is finished."""
         self.start()
-        while passes is None or passes > 0:
+        rest = rest or self.stop.wait
+        while not self.stop.is_set() and (passes is None or passes > 0):
             moment = time.gmtime(clock())
             for line in self.scan_once(time.strftime("%Y-%m-%d", moment), time.strftime("%Y-%m-%dT%H:%M:%SZ", moment)):
                 print(line, flush=True)
             passes = None if passes is None else passes - 1
-            rest(self.options.poll_seconds)
+            if passes is None or passes > 0:
+                rest(self.options.poll_seconds)
 
     def reset(self, confirmed: bool) -> None:
         """Forget names, genres and matches; only if that was confirmed."""

@@ -8,6 +8,7 @@ the same place. Folders are URIs or paths that all executors share.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from bindery.storage import read_text
 
 HALF_WRITTEN = "bindery-tmp"
+#: Bytes of a file that are held while it is digested.
+PIECE = 1 << 20
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -37,6 +40,49 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content")
 
 
+def at_top(listed: DataFrame, root: str) -> DataFrame:
+    """The listed files that are in ``root`` itself."""
+    plain = lambda uri: re.sub("^file:/*", "/", uri.rstrip("/"))
+    return listed.filter(F.regexp_replace("path", "^file:/*", "/") == F.concat(F.lit(f"{plain(root)}/"), "name"))
+
+
+def read(paths: DataFrame) -> DataFrame:
+    """(path, ...) -> (path, name, content) of the files that are there: no others are opened."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["path"]:
+                system, path = _opened(uri)
+                try:
+                    with system.open_input_stream(path) as held:
+                        yield pd.DataFrame({"path": [uri], "name": [uri.rpartition("/")[2]], "content": [held.read()]})
+                except FileNotFoundError:
+                    continue
+
+    return paths.select("path").mapInPandas(run, "path string, name string, content binary")
+
+
+def digests(paths: DataFrame) -> DataFrame:
+    """(path) -> (path, digest): SHA-256 of each file, read in pieces; null where it is gone."""
+
+    def digest(uri: str) -> str | None:
+        system, path = _opened(uri)
+        told = hashlib.sha256()
+        try:
+            with system.open_input_stream(path) as held:
+                while piece := held.read(PIECE):
+                    told.update(piece)
+        except FileNotFoundError:
+            return None
+        return told.hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "digest": [digest(uri) for uri in batch["path"]]})
+
+    return paths.select("path").mapInPandas(run, "path string, digest string")
+
+
 def _opened(uri: str):
     """The file system of a URI or path, and the path there; names are taken as they are, as
     they may hold what a URI would encode."""
@@ -101,6 +147,21 @@ def delete(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, error string")
 
 
+def remove_empty_folders(root: str) -> None:
+    """Take out the folders below ``root`` that have nothing in them, the deepest first."""
+    from pyarrow import fs
+
+    system, path = _opened(root)
+    below = system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
+    folders = sorted((f.path for f in below if f.type == fs.FileType.Directory), key=len, reverse=True)
+    full = {f.path.rpartition("/")[0] for f in below if f.type != fs.FileType.Directory}
+    for folder in folders:
+        if folder in full:
+            full.add(folder.rpartition("/")[0])
+        else:
+            system.delete_dir(folder)
+
+
 def bare_secret(text: str | None) -> str | None:
     """A secret file's text without the word before a bearer's; None if nothing is left."""
     text = (text or "").strip()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import http.client
 import json
+import re
 import socket
 import ssl
 import time
@@ -29,6 +30,8 @@ from bindery.sources import epub, files
 from bindery.sources.requests import RECORDED
 from bindery.storage import materialize
 
+#: The place of a question's named value; the question and the key have places of their own.
+_NAMED = re.compile(r"\{(?!request\}|key\})(\w+)\}")
 #: No reply is read further than this; a longer one counts as unreadable.
 MOST_BYTES = 8 * 1024 * 1024
 
@@ -37,7 +40,13 @@ MOST_BYTES = 8 * 1024 * 1024
 class Service:
     """How a question is sent: ``{request}`` and ``{key}`` stand for the question and the key in
     the address (there percent-encoded, unless the question is the whole address), the headers
-    and the strings of ``body``. Without a body it is a GET, with one a POST of it as JSON; ``body`` may be a function of the question."""
+    and the strings of ``body``. Without a body it is a GET, with one a POST of it as JSON;
+    ``body`` may be a function of the question.
+
+    A question that is a JSON object gives its values to the entries of ``query``, which is
+    added to the address, and of the body: an entry that is ``"{name}"`` becomes the value of
+    that name, whatever it is, and is left out where the question has none. ``forms`` are
+    bodies by the question's value of ``form``."""
 
     address: str
     body: Mapping | Callable[[str], Mapping] | None = None
@@ -46,6 +55,8 @@ class Service:
     timeout: float = 30.0
     pause: float = 0.0
     lanes: int = 1
+    query: Mapping[str, str] = field(default_factory=dict)
+    forms: Mapping[str, Mapping] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if urllib.parse.urlsplit(self.address.replace("{request}", "x")).scheme not in ("http", "https", ""):
@@ -57,24 +68,43 @@ class Service:
         quoted = {"{request}": urllib.parse.quote(question, safe=""), "{key}": urllib.parse.quote(key, safe="")}
         address = question if self.address == "{request}" else _filled(self.address, quoted)
         plain = {"{request}": question, "{key}": key}
-        body = self.body(question) if callable(self.body) else self.body
-        data = None if body is None else json.dumps(_filled(body, plain)).encode()
+        told = _values(question)
+        if query := _filled(self.query, plain, told):
+            address += ("&" if "?" in address else "?") + urllib.parse.urlencode(query, quote_via=urllib.parse.quote)
+        body = self.forms.get(told.get("form"), self.body)
+        body = body(question) if callable(body) else body
+        data = None if body is None else json.dumps(_filled(body, plain, told)).encode()
         asked = urllib.request.Request(address, data, {n: _filled(v, plain) for n, v in self.headers.items()})
         if data is not None:
             asked.add_header("Content-Type", "application/json")
         return asked
 
 
-def _filled(value, given: Mapping[str, str]):
+def _values(question: str) -> dict:
+    """The named values of a question; none of one that is a plain text."""
+    try:
+        told = json.loads(question)
+    except ValueError:
+        return {}
+    return told if isinstance(told, dict) else {}
+
+
+def _left_out(value, told: Mapping) -> bool:
+    return isinstance(value, str) and (name := _NAMED.fullmatch(value)) is not None and name[1] not in told
+
+
+def _filled(value, given: Mapping[str, str], told: Mapping = {}):
     """A template with its places filled, once each: what is put in is not looked through."""
     if isinstance(value, str):
+        if (name := _NAMED.fullmatch(value)) and name[1] in told:
+            return told[name[1]]
         parts = [value]
         for place, said in given.items():
             parts = [x for p in parts for x in (_around(p, place, said) if isinstance(p, str) else [p])]
         return "".join(p if isinstance(p, str) else p[0] for p in parts)
     if isinstance(value, Mapping):
-        return {k: _filled(v, given) for k, v in value.items()}
-    return [_filled(v, given) for v in value] if isinstance(value, (list, tuple)) else value
+        return {k: _filled(v, given, told) for k, v in value.items() if not _left_out(v, told)}
+    return [_filled(v, given, told) for v in value] if isinstance(value, (list, tuple)) else value
 
 
 def _around(text: str, place: str, said: str) -> list:

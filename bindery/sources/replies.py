@@ -81,6 +81,11 @@ def catalogue_a(replies: DataFrame, source: str = "catalogue_a", asked: str | No
     )
 
 
+def has_editions(reply: Column) -> Column:
+    """Whether a reply of catalogue A is an answer: it lists editions, if none."""
+    return F.from_json(reply, "data struct<editions:array<string>>")["data"]["editions"].isNotNull()
+
+
 def catalogue_b(replies: DataFrame, source: str = "catalogue_b", isbn: str | None = None) -> DataFrame:
     """Volumes as candidates; this catalogue states no series. With ``isbn``, a column that
     holds the number asked for, only volumes that really carry it."""
@@ -200,27 +205,13 @@ def mapped_genre(reply: Column) -> Column:
     return X.said(F.try_variant_get(_content(reply), "$.genre", "string"))
 
 
-def described(fields: list[str]) -> Column:
-    """``name=value`` of what a row states, for a prompt."""
-    return F.concat_ws("; ", *(F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{f}="), F.col(f).cast("string"))) for f in fields))
+def described(fields: list[str] | dict[str, Column]) -> Column:
+    """``name=value`` of what a row states, for a prompt: of columns, or of named values."""
+    told = fields if isinstance(fields, dict) else {f: F.col(f) for f in fields}
+    said = lambda c: c.cast("string")
+    return F.concat_ws("; ", *(F.when(F.coalesce(said(c), F.lit("")) != "", F.concat(F.lit(f"{n}="), said(c))) for n, c in told.items()))
 
 
 def numbered(lines: Column) -> Column:
     """Descriptions as numbered lines from 1."""
     return F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-
-
-class Registry:
-    """Catalogues by name: each a function of books that returns candidates."""
-
-    def __init__(self):
-        self._known: dict = {}
-
-    def add(self, name: str, by_isbn, by_title) -> None:
-        self._known[name] = (by_isbn, by_title)
-
-    def by_isbn(self, names, books: DataFrame) -> list[tuple[str, DataFrame]]:
-        return [(n, self._known[n][0](books)) for n in names if n in self._known]
-
-    def by_title(self, names, books: DataFrame) -> list[tuple[str, DataFrame]]:
-        return [(n, self._known[n][1](books)) for n in names if n in self._known]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,18 +75,57 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file; it is there whole or not at all."""
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; whole, and only if it is not there: of several writers of one name
+    one is told True."""
     system, there = _file_system(spark, path)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system.mkdirs(there.getParent())
+    if system.getUri().getScheme() == "file":
+        # Hadoop's local rename replaces what is there; a link does not.
+        name = there.toUri().getPath()
+        aside = f"{os.path.dirname(name)}/.{os.path.basename(name)}.{uuid.uuid4().hex}"
+        with open(aside, "w", encoding="utf-8") as out:
+            out.write(text)
+            out.flush()
+            os.fsync(out.fileno())
+        try:
+            os.link(aside, name)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(aside)
+    jvm = spark._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(there.getParent(), f".{there.getName()}.{uuid.uuid4().hex}")
     stream = system.create(aside, True)
     stream.write(bytearray(text.encode("utf-8")))
     stream.close()
-    if not system.rename(aside, there):
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, there, how)
+        return True
+    except Exception:
         system.delete(aside, False)
+        if system.exists(there):
+            return False
+        raise
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; it is there whole or not at all, and none is replaced."""
+    if not create_text(spark, path, text):
         raise FileExistsError(path)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder, sorted, but for hidden names; nothing where there is none."""
+    system, there = _file_system(spark, path)
+    if not system.exists(there):
+        return []
+    return sorted(n for s in system.listStatus(there) if not (n := s.getPath().getName()).startswith("."))
+
+
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to a fresh shared folder and read it back.
 

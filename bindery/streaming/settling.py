@@ -103,26 +103,3 @@ def deliver(batch: DataFrame, number: int, output, remember) -> None:
         remember(kept.filter(F.col("delivered")) if "delivered" in kept.columns else kept, number)
     finally:
         kept.unpersist()
-
-
-class DailyCalls:
-    """A count of calls by UTC day in a state table, spent batch by batch of a stream."""
-
-    SCHEMA = "day string, calls long"
-
-    def __init__(self, table, daily: int):
-        self.table, self.daily = table, daily
-
-    def spent(self, day: str) -> int:
-        found = self.table.read().filter(F.col("day") == day).agg(F.sum("calls")).first()[0]
-        return int(found or 0)
-
-    def grant(self, calls: DataFrame, day: str, number: int, order: str = "id") -> DataFrame:
-        """The first calls of a batch that the day still has, counted before they are made;
-        a batch that comes again gets none, as its calls were counted."""
-        left = self.daily - self.spent(day) if self.daily else None
-        granted = calls if left is None else calls.orderBy(order).limit(max(0, left))
-        granted = granted.persist()
-        other = self.table.read().filter(F.col("day") != day)
-        today = calls.sparkSession.range(1).select(F.lit(day).alias("day"), F.lit(self.spent(day) + granted.count()).alias("calls"))
-        return granted if self.table.replace(other.unionByName(today), number) else granted.limit(0)

@@ -358,7 +358,8 @@ def test_a_pass_from_files_to_files(spark, tmp_path):
     }
     dried = {r.name: r for r in dry.collect()}
     assert all(bytes(dried[k].content) == v for k, v in books.items())
-    assert {k: r.line for k, r in dried.items()} == {k: r.line for k, r in got.items()}
+    # A dry run asks nobody about genres, so it can't tell of them.
+    assert {k: r.line for k, r in dried.items()} == {k: r.line.replace("; genres=Crime Fiction", "").replace("genres=Crime Fiction; ", "") for k, r in got.items()}
     assert got["isbn.epub"].line == "isbn.epub | match | source=catalogue_a | score=1.0000 | authors=L J Ross; publisher=Dark Skies; genres=Crime Fiction; cover=added"
     new = {k: epub.read_one(bytes(r.content)) for k, r in got.items()}
     assert new["title.epub"]["series"] == "DCI Ryan" and new["title.epub"]["series_number"] == "0.5" and new["title.epub"]["authors"] == ["L J Ross"]
@@ -369,7 +370,7 @@ def test_a_pass_from_files_to_files(spark, tmp_path):
     assert {(r.source, r.genre, r.mapped) for r in mapped.collect()} == {(s, "crime", "Crime Fiction") for s in ("catalogue_a", "catalogue_b")}
     assert {r.standard for r in names.collect() if r.kind == "series"} == {"DCI Ryan"}
 
-    present = files.contents(spark, str(output)).select("name", "content")
+    present = files.at_top(files.listing(spark, str(output)), str(output))
     done = {r.path.rpartition("/")[2]: r for r in correction.deliver(spark, rows, str(output), str(backups), present, spark.createDataFrame([("isbn.epub",)], "name string")).collect()}
     assert {k: (r.name, r.route, r.error, r.stuck) for k, r in done.items()} == {
         k: ("title (2).epub" if k == "title.epub" else k, {"title.epub": "collision", "same.epub": "duplicate"}.get(k, "moved"), None, None)
@@ -502,15 +503,13 @@ def test_secrets_listings_and_stuck_files(spark, tmp_path):
 
 
 def test_daily_calls_of_a_stream(spark):
-    from bindery.streaming.settling import DailyCalls
-
-    spend = DailyCalls(state.StateTable(spark, shared_dir(spark, "calls"), DailyCalls.SCHEMA), 5)
+    spend = state.DailyCalls(spark, shared_dir(spark, "calls"), 5)
     calls = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
     got = lambda rows: sorted(r.id for r in rows.collect())
-    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1)) == [1, 2, 3]
-    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1)) == []
-    assert got(spend.grant(calls(4, 5, 6), "2024-01-01", 2)) == [4, 5]
-    assert got(spend.grant(calls(7, 8), "2024-01-02", 3)) == [7, 8] and spend.spent("2024-01-01") == 5
+    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1, "id")) == [1, 2, 3]
+    assert got(spend.grant(calls(3, 1, 2), "2024-01-01", 1, "id")) == []
+    assert got(spend.grant(calls(4, 5, 6), "2024-01-01", 2, "id")) == [4, 5]
+    assert got(spend.grant(calls(7, 8), "2024-01-02", 3, "id")) == [7, 8] and spend.spent("2024-01-01") == 5
 
 
 def test_a_watched_folder(spark, tmp_path):
@@ -575,8 +574,9 @@ def test_the_command_line_over_recorded_catalogues(spark, tmp_path, capsys):
         folder.mkdir()
     (folders["ingest"] / "a.epub").write_bytes(book("Cragside (old)", isbn="0306406152"))
     (folders["ingest"] / "b.epub").write_bytes(book("Belsay"))
-    title = 'intitle:"Belsay" inauthor:"L. J. Ross"'
-    spark.createDataFrame([("isbn:0306406152", 200, catalogue.REPLY_A, None), (title, 429, "", None)], requests.RECORDED).write.parquet(str(folders["a"]))
+    number, titles = '{"form":"isbn","isbn":"0306406152"}', '{"form":"title","titles":["Belsay"]}'
+    title = r'{"q":"intitle:\"Belsay\" inauthor:\"L. J. Ross\"","maxResults":40}'
+    spark.createDataFrame([(number, 200, catalogue.REPLY_A, None), (titles, 429, "", None)], requests.RECORDED).write.parquet(str(folders["a"]))
     spark.createDataFrame([(title, 200, '{"totalItems": 0}', None)], requests.RECORDED).write.parquet(str(folders["b"]))
     options = tmp_path / "o.toml"
     options.write_text("stable_checks = 1\n")
