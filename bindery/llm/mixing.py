@@ -208,26 +208,30 @@ def mix(
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as whole documents, with the input's columns, in the order of their slots: a
     copy for each turn that takes at least half of a document's words, so each source is
-    within half a document of its target for each turn."""
+    within half a document of its target for each turn.
+
+    Rows of one id and text are as many as the mix has lists of turns for; equal rows of them
+    are counted, not numbered: the lists are dealt to the counts in their order, and a text is
+    moved once for all rows that equal it."""
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    wanted = (
-        mix(docs, doc_id, text, source)
-        .select(
-            key(F.col("doc_id")).alias("key"),
-            "row",
-            F.transform(F.filter("turns", lambda t: 2 * t["words"] >= F.col("size")), lambda t: t["slot"]).alias("slots"),
-        )
-        .groupBy("key", "row")
-        .agg(F.sort_array(F.collect_list("slots")).alias("slots"))
+    wanted = mix(docs, doc_id, text, source).select(
+        key(F.col("doc_id")).alias("key"),
+        "row",
+        F.transform(F.filter("turns", lambda t: 2 * t["words"] >= F.col("size")), lambda t: t["slot"]).alias("slots"),
     )
     own = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"), key(F.col(doc_id)).alias("key"), F.xxhash64(text).alias("row")
-    )
-    # Rows of one id and text take the turns that the mix has for each of them.
-    among = Window.partitionBy("key", "row").orderBy(F.xxhash64("in"))
-    met = own.join(wanted.hint("shuffle_hash"), ["key", "row"]).withColumn("rn", F.row_number().over(among))
-    copies = met.select("in", F.explode(F.get("slots", F.col("rn") - 1)).alias("slot"))
-    return copies.orderBy("slot").select("in.*")
+    ).withColumn("kind", F.xxhash64("in"))
+    of = Window.partitionBy("key", "row")
+    kinds = own.groupBy("key", "row", "kind").agg(F.count("*").alias("n"))
+    first = kinds.select("key", "row", "kind", (F.sum("n").over(of.orderBy("kind")) - F.col("n") + 1).alias("at"))
+    lists = wanted.filter(F.size("slots") > 0).withColumn("at", F.row_number().over(of.orderBy("slots")).cast("long"))
+    dealt = lists.withColumn("kind", F.lit(None).cast("long")).unionByName(first.withColumn("slots", F.array().cast("array<long>")))
+    # The kind that begins last at or before a list's place; kinds come before lists of their place.
+    last = of.orderBy("at", F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    copies = dealt.withColumn("kind", F.last("kind", ignorenulls=True).over(last)).select("key", "row", "kind", F.explode("slots").alias("slot"))
+    texts = own.groupBy("key", "row", "kind").agg(F.first("in").alias("in"))
+    return copies.join(texts, ["key", "row", "kind"]).select("slot", "in").orderBy("slot").select("in.*")
 
 
 def op4_source_mix(spark, sf_dir) -> DataFrame:

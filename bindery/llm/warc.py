@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from bindery.storage import discard, materialize, shared_dir
 
 MIN_BYTES = 0
-#: Records of a file at most, and bytes before compression that decide on fewer.
+#: Records of a file at most, bytes of a file before compression, and of a record's heads.
 RECORDS_PER_FILE = 5000
 FILE_BYTES = 1 << 30
+RECORD_BYTES = 2048
 RANGE_ROWS = 200_000
 #: Captures without a time of their own: seconds from this moment (2024-01-01) by id.
 EPOCH = 1704067200
@@ -124,16 +125,25 @@ def write_archives(
     html: str = "html",
     min_bytes: int = MIN_BYTES,
 ) -> None:
-    """Write the rows to gzipped WARC files in the folder ``path``."""
+    """Write the rows to gzipped WARC files in the folder ``path``.
+
+    Small records share files by their number; those over a file's bytes by that number go
+    into files of their own, by doubling sizes, so one large page makes no others' files small
+    and no file is over its bytes unless one record is."""
     first = payloads(pages, page_id, html)
-    largest = (first.agg(F.max("bytes")).first()[0] or 0) + 2048
-    (
-        records(pages, first, page_id, url, html, min_bytes)
-        .write.option("lineSep", END.decode())
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", max(16, min(RECORDS_PER_FILE, FILE_BYTES // largest)))
-        .text(path)
-    )
+    share = FILE_BYTES // RECORDS_PER_FILE
+    held = F.col("bytes") + RECORD_BYTES
+    kind = F.when(held <= share, 0).otherwise(F.ceil(F.log2(held / share))).cast("int")
+    kinds = [r["k"] for r in first.select(kind.alias("k")).distinct().orderBy("k").collect()]
+    for k in kinds or [0]:
+        (
+            records(pages, first.filter(kind == k), page_id, url, html, min_bytes)
+            .write.mode("append")
+            .option("lineSep", END.decode())
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", max(1, FILE_BYTES // (share << k)))
+            .text(path)
+        )
     discard(first)
 
 

@@ -232,7 +232,8 @@ def test_warc_of_long_and_repeated_pages(spark, monkeypatch):
     path = warc.shared_dir(spark, "test-warc")
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
     runs = warc.capture_runs(spark, path).cache()
-    assert max(r["count"] for r in runs.groupBy("file").count().collect()) == 19
+    files = runs.groupBy("file").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"), F.max("payload_bytes").alias("most")).collect()
+    assert max(r.n for r in files if r.most > 1000) == 19 and max(r.bytes for r in files if r.most > 1000) <= 40_000_000
     monkeypatch.setattr(warc, "RANGE_ROWS", 40)
     sizes = warc.merge_runs(runs).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert sum(r["count"] for r in sizes) == 320 and max(r["count"] for r in sizes) < 150
@@ -613,3 +614,35 @@ def test_pipeline_rows_of_each_stage_and_of_run(spark, tmp_path):
 
 def test_row_places():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
+
+
+def test_equal_rows_are_mixed_in_the_time_of_others(spark):
+    import time
+
+    def mixed(id, n=20000):
+        rows = spark.range(n).select(id.alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"), F.lit(1).alias("slot"))
+        began = time.time()
+        got = mixing.mixed_documents(rows)
+        assert got.columns == rows.columns
+        # 150% of all words in whole documents.
+        assert abs(got.count() - 1.5 * n) < 0.02 * n
+        return time.time() - began
+
+    mixed(F.col("id"), 100)
+    apart = mixed(F.col("id"))
+    assert max(mixed(F.lit(None).cast("long")), mixed(F.lit(7))) < 3 * apart + 5
+
+
+def test_a_large_page_leaves_others_their_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 50)
+    rows = [(k, f"https://x.org/{k}", f"<p>{k}</p>") for k in range(120)] + [(900, "https://x.org/l", "l" * 150_000), (901, "https://x.org/m", "m" * 20_000), (902, "https://x.org/n", "n" * 900_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    made = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
+    # 120 small records in threes of fifty at most, and one file for each large one.
+    assert len(made) <= 12
+    import gzip
+
+    sizes = sorted(len(gzip.decompress(f.read_bytes())) for f in made)
+    assert sizes[-1] > 900_000 and sizes[-2] <= 200_000
