@@ -108,7 +108,9 @@ def isbn_walk(books: DataFrame, sources: Sources, errors: DataFrame | None = Non
         met = met.withColumn("__other", X.comparison_key(F.col("__head")))
         agrees = heads_agree(F.col("__own"), F.col("__other"))
         told = met.select("book_id", F.when(agrees, "match").otherwise("contradicted").alias("outcome"), "found")
-        kind = told.schema["found"].dataType
+        # By its text, a type of fields that may all be null: sources differ in what they promise.
+        kind = told.schema["found"].dataType.simpleString()
+        told = told.withColumn("found", F.col("found").cast(kind))
         if failed is not None:
             told = told.unionByName(held.withColumn("found", F.lit(None).cast(kind)))
         if called:
@@ -119,7 +121,7 @@ def isbn_walk(books: DataFrame, sources: Sources, errors: DataFrame | None = Non
     if done is None:
         none = "struct<" + ",".join(P.SCHEMA.split(", ")[1:]).replace(" ", ":") + ">"
         return left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(none).alias("found")), None
-    rest = left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(done.schema["found"].dataType).alias("found"))
+    rest = left.select("book_id", F.lit("missed").alias("outcome"), F.lit(None).cast(done.schema["found"].dataType.simpleString()).alias("found"))
     return done.unionByName(rest), trail
 
 

@@ -22,6 +22,7 @@ from bindery.sources import epub, replies
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+GOLDEN: dict = {}
 
 
 def query(sql: str | None = None):
@@ -36,6 +37,17 @@ def query(sql: str | None = None):
     return add
 
 
+def golden(sql: str):
+    """Keep a function of published or hand-worked rows, with those rows as SQL, for the tests;
+    queries of the same names do the same over tables."""
+
+    def add(f):
+        GOLDEN[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,7 +100,7 @@ KEYS = [
 ]
 
 
-@query(values(KEYS, "name, key"))
+@golden(values(KEYS, "name, key"))
 def durable_key_golden(spark, sf_dir):
     return spark.createDataFrame([(k,) for k, _ in KEYS], "name string").select("name", X.durable_key(F.col("name")).alias("key"))
 
@@ -105,7 +117,7 @@ TITLES = [
 ]
 
 
-@query(values(TITLES, "title, search, also, series, series_number"))
+@golden(values(TITLES, "title, search, also, series, series_number"))
 def clean_title_golden(spark, sf_dir):
     rows = spark.createDataFrame([(t[0],) for t in TITLES], "title string")
     return rows.select("title", X.clean_title(F.col("title")).alias("c")).select("title", "c.*")
@@ -114,7 +126,7 @@ def clean_title_golden(spark, sf_dir):
 PAIRS = [("L. J. Ross", "LJ Ross", 1.0), ("L. J. Ross", "Ross, L. J.", 1.0), ("L. J. Ross", "L. J. Riss", 0.6814), ("L. J. Ross", "L. K. Ross", 0.6814), ("L. J. Ross", "L. J. Ros", 0.8308), ("L.J. Ross", "M.J. Porter", 0.02), ("L.J. Ross", "Carly Reagon", 0.0568)]
 
 
-@query(values(PAIRS, "one, other, similarity"))
+@golden(values(PAIRS, "one, other, similarity"))
 def name_pairs_golden(spark, sf_dir):
     rows = spark.createDataFrame([p[:2] for p in PAIRS], "one string, other string")
     raw = S.ratio(X.name_key(F.col("one")), X.name_key(F.col("other")))
@@ -148,7 +160,7 @@ def golden_pool(spark) -> DataFrame:
     return spark.createDataFrame(rows, P.SCHEMA)
 
 
-@query(values([(r[0], r[8], r[9]) for r in SCORES], "book_id, score, band"))
+@golden(values([(r[0], r[8], r[9]) for r in SCORES], "book_id, score, band"))
 def score_golden(spark, sf_dir):
     """The published score table, each candidate alone in its pool."""
     return R.leaders(R.rank(R.score(golden_pool(spark), golden_books(spark)))).select("book_id", "score", "band")
@@ -157,7 +169,7 @@ def score_golden(spark, sf_dir):
 BANDS = [(1, [0.96], True, "strong"), (2, [0.94], True, "medium"), (3, [0.9, 0.8], True, "strong"), (4, [0.9, 0.85], True, "medium"), (5, [0.79, 0.1], True, "low"), (6, [0.7], False, "low"), (7, [0.0], True, "none"), (8, [0.89, 0.81], True, "strong")]
 
 
-@query(values([(b[0], b[3]) for b in BANDS], "book_id, band"))
+@golden(values([(b[0], b[3]) for b in BANDS], "book_id, band"))
 def band_golden(spark, sf_dir):
     rows = [(b, p, s, agrees) for b, scores, agrees, _ in BANDS for p, s in enumerate(scores)]
     scored = spark.createDataFrame(rows, "book_id long, pos long, score double, author_agrees boolean")
@@ -355,7 +367,7 @@ def fold_early_exit(spark, sf_dir):
     return walk.gather(books, sources, errors).filter("rk = 1").select("book_id", "exited", "held", "source")
 
 
-@query(values([(r[0], {"strong": "write", "medium": "ask"}.get(r[9], "unverified")) for r in SCORES], "book_id, route"))
+@golden(values([(r[0], {"strong": "write", "medium": "ask"}.get(r[9], "unverified")) for r in SCORES], "book_id, route"))
 def title_walk_golden(spark, sf_dir):
     return flagship(spark, sf_dir).select("book_id", "route")
 
@@ -414,7 +426,7 @@ MERGED = [
 ]
 
 
-@query(values(MERGED, "id, title, series, series_number, drop_series_number, drop_description, changes"))
+@golden(values(MERGED, "id, title, series, series_number, drop_series_number, drop_description, changes"))
 def merge_golden(spark, sf_dir):
     """Same-value guard, ISBN gate, series and number, unmarking, and the change list."""
     rows = merge.changes(merge.edits(merge_rows(spark, MERGES)), F.lit("catalogue_a"))
@@ -671,7 +683,7 @@ CHOICES = [
 ]
 
 
-@query(values([(c[0], *c[2:]) for c in CHOICES], "id, valid, pick, confidence"))
+@golden(values([(c[0], *c[2:]) for c in CHOICES], "id, valid, pick, confidence"))
 def json_contract(spark, sf_dir):
     """A chooser's replies, by the strict contract."""
     rows = spark.createDataFrame([c[:2] for c in CHOICES], "id long, reply string")
@@ -701,7 +713,7 @@ STATUSES = [
 LOST = [("timeout", "temporary", "timeout"), ("refused", "temporary", "connection refused"), ("reset", "temporary", "connection reset"), ("dns", "temporary", "DNS failure"), ("certificate", "held", "TLS certificate failure"), ("unreadable", "held", "unreadable reply")]
 
 
-@query(values([(i, *s[3:]) for i, s in enumerate(STATUSES)] + [(100 + i, *x[1:]) for i, x in enumerate(LOST)], "id, kind, reason"))
+@golden(values([(i, *s[3:]) for i, s in enumerate(STATUSES)] + [(100 + i, *x[1:]) for i, x in enumerate(LOST)], "id, kind, reason"))
 def failure_kinds(spark, sf_dir):
     """What each refusal and each lost exchange is, by who was asked."""
     rows = spark.createDataFrame([(i, *s[:3]) for i, s in enumerate(STATUSES)], "id long, by string, status int, message string")
@@ -722,7 +734,7 @@ REPLY_B = json.dumps({"totalItems": 2, "items": [
     {"volumeInfo": {"title": "Other", "industryIdentifiers": [{"type": "ISBN_13", "identifier": "9781111111111"}]}}]})
 
 
-@query(
+@golden(
     values(
         [
             ("catalogue_a", 0, "Cragside", "L.J. Ross", "DCI Ryan", "6", "0306406152", "2017-07-07", "u", "Crime<Crime: Mystery,Mystery<Crime: Mystery"),

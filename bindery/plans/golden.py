@@ -16,7 +16,7 @@ from bindery.operators import pool as P
 from bindery.operators import ranking as R
 from bindery.options import Options
 from bindery.plans import correction
-from bindery.plans.catalogue import SCORES, _chat, _hits, golden_books, golden_pool, query, table, values
+from bindery.plans.catalogue import SCORES, _chat, _hits, golden, golden_books, golden_pool, query, table, values
 from bindery.sources import epub, replies, requests
 from bindery.storage import shared_dir
 from bindery.streaming import settling
@@ -70,7 +70,7 @@ def _books(spark) -> DataFrame:
     return spark.createDataFrame([(n, bytearray(c)) for n, c in BOOKS], "path string, content binary")
 
 
-@query(values(READ, "path, title, authors, isbn, series, series_number, has_cover, unverified, subjects, unread"))
+@golden(values(READ, "path, title, authors, isbn, series, series_number, has_cover, unverified, subjects, unread"))
 def epub_fields(spark, sf_dir):
     """Package records of books: both encodings of a series, ISBN forms, covers, marks, locks."""
     return epub.read_books(_books(spark)).select(
@@ -94,7 +94,7 @@ REWRITTEN = [
 ]
 
 
-@query(values(REWRITTEN, "path, title, authors, isbn, series, series_number, collection, position, has_cover, unverified, subjects, refused"))
+@golden(values(REWRITTEN, "path, title, authors, isbn, series, series_number, collection, position, has_cover, unverified, subjects, refused"))
 def epub_rewrite(spark, sf_dir):
     """Books rewritten and read again: texts, names, ISBN, both encodings of a series, tag,
     genres, cover. (A note in a description is taken off by the description's own edit.)"""
@@ -130,15 +130,15 @@ def _package(files: DataFrame) -> DataFrame:
 
 PASSED = [
     ("a.epub", "match", "Cragside", "DCI Ryan", "6.5", "a.epub | match | source=catalogue_a | score=1.0000 | publisher=Dark Skies; genres=Crime Fiction"),
-    ("b.epub", "match", "The Infirmary", "DCI Ryan", "0.5", "b.epub | match | source=catalogue_b | score=1.0000 | title=The Infirmary; authors=L. J. Ross; series=DCI Ryan; series_number=0.5"),
-    ("c.epub", "unverified", "Nobody Knows It", None, None, f"c.epub | unverified | description={X.NOTE}; tag=added"),
-    ("d.epub", "waiting", "Held Back", None, None, "d.epub | waiting | no change"),
-    ("e.epub", "unread", None, None, None, "e.epub | unread | no change"),
+    ("b.epub", "match", "The Infirmary", "DCI Ryan", "0.5", "b.epub | match | source=catalogue_b | score=1.0000 | model=candidate 1, 1.00: same | title=The Infirmary; authors=L. J. Ross; series=DCI Ryan; series_number=0.5"),
+    ("c.epub", "unverified", "Nobody Knows It", None, None, f"c.epub | unverified | sought=Nobody Knows It | tried=catalogue_a, catalogue_b | description={X.NOTE}; tag=added"),
+    ("d.epub", "waiting", "Held Back", None, None, "d.epub | waiting | reason=catalogue_a could not be asked: timeout | no change"),
+    ("e.epub", "unread", None, None, None, "e.epub | unread | problem=not an EPUB: File is not a zip file | no change"),
     ("f.epub", "untouched", None, None, None, "f.epub | untouched | no change"),
 ]
 
 
-@query(values(PASSED, "name, route, title, series, series_number, line"))
+@golden(values(PASSED, "name, route, title, series, series_number, line"))
 def correction_pass(spark, sf_dir):
     """The whole pass over six books, from their bytes to the corrected files read again."""
     titled = lambda t, a="L. J. Ross": opf(f"<dc:title>{t}</dc:title><dc:creator>{a}</dc:creator>")
@@ -209,7 +209,7 @@ ASKED = [
 ]
 
 
-@query(values([(a[0], *a[3:]) for a in ASKED], "book_id, request, kind, reason"))
+@golden(values([(a[0], *a[3:]) for a in ASKED], "book_id, request, kind, reason"))
 def title_requests(spark, sf_dir):
     """What a catalogue is asked about books, and how a recorded one answers."""
     books = spark.createDataFrame([(k, t, [a] if a else []) for k, t, a, *_ in ASKED], "book_id long, title string, authors array<string>")
@@ -243,7 +243,7 @@ def isbn_forms(spark, sf_dir):
 SEARCHED = [("Cragside: A DCI Ryan Mystery (The DCI Ryan Mysteries Book 6)", "Cragside|Cragside: A DCI Ryan Mystery"), ("Cragside", "Cragside"), ("The Lord: The Ring", "The Lord: The Ring"), ("", None), (" (X Book 1)", None)]
 
 
-@query(values(SEARCHED, "title, asked"))
+@golden(values(SEARCHED, "title, asked"))
 def search_titles_golden(spark, sf_dir):
     rows = spark.createDataFrame([s[:1] for s in SEARCHED], "title string")
     return rows.select("title", F.array_join(X.search_titles(F.col("title")), "|").alias("asked"))
@@ -252,7 +252,7 @@ def search_titles_golden(spark, sf_dir):
 LETTERS = [("1", "lj ross;m j porter", "jm porter|lj ross"), ("2", "ross lj", "lj ross"), ("3", "", None)]
 
 
-@query("SELECT * FROM (VALUES ('1', 'j m porter|lj ross'), ('2', 'lj ross'), ('3', NULL)) v(id, letters)")
+@golden("SELECT * FROM (VALUES ('1', 'j m porter|lj ross'), ('2', 'lj ross'), ('3', NULL)) v(id, letters)")
 def letters_golden(spark, sf_dir):
     """Letters of authors' keys: equal for the same names in any order."""
     rows = spark.createDataFrame([r[:2] for r in LETTERS], "id string, keys string")
@@ -263,7 +263,7 @@ def letters_golden(spark, sf_dir):
 AGREES = [("Cragside: A DCI Ryan Mystery", "Cragside", True), ("Cragside", "The Infirmary", False), ("", "Anything", True), ("The Rock Pool", "Rock", True), ("Rocks", "Rock", True), ("Cragsde", "Cragside", True), ("A", "", False)]
 
 
-@query(values(AGREES, "file, record, agrees"))
+@golden(values(AGREES, "file, record, agrees"))
 def title_agreement(spark, sf_dir):
     rows = spark.createDataFrame([a[:2] for a in AGREES], "file string, record string")
     heads = rows.select("file", "record", *(X.parted(F.col(c))["head"].alias(f"{c}_head") for c in ("file", "record")))
@@ -271,7 +271,7 @@ def title_agreement(spark, sf_dir):
     return keyed.select("file", "record", S.heads_agree(F.col("file_key"), F.col("record_key")).alias("agrees"))
 
 
-@query(values([(r[0], r[0] <= 6) for r in SCORES], "book_id, agrees"))
+@golden(values([(r[0], r[0] <= 6) for r in SCORES], "book_id, agrees"))
 def agreement_golden(spark, sf_dir):
     """Which records of the published score table agree on title and author."""
     return R.score(golden_pool(spark), golden_books(spark)).select("book_id", "agrees")
@@ -317,7 +317,7 @@ OFFERED = [(1, "Cragside", "L", 1), (1, "Belsay", "L", 2), (2, "Heavenfield", "L
 CONTRADICTED = [(1, "Belsay", "L"), (2, "Belsay", "L"), (3, "Belsay", "L")]
 
 
-@query(values([*OFFERED, (2, "Belsay", "L", 2), (3, "Belsay", "L", 1)], "book_id, title, publisher, rk"))
+@golden(values([*OFFERED, (2, "Belsay", "L", 2), (3, "Belsay", "L", 1)], "book_id, title, publisher, rk"))
 def contradicted_records(spark, sf_dir):
     """A contradicted record goes to the end of what a model is offered, once."""
     offered = spark.createDataFrame(OFFERED, "book_id long, title string, publisher string, rk int")
@@ -328,7 +328,7 @@ def contradicted_records(spark, sf_dir):
 KNOWN_WORKS = [("Cragside", "en", "eng", 0), ("Cragside", "de", "deu", 1), ("Cragside: A DCI Ryan Mystery", "en", "eng", 2), ("cragside", "en", "eng", 3)]
 
 
-@query("SELECT * FROM (VALUES (1, 'en', 0), (1, 'en', 1), (2, 'de', 0), (3, 'en', 0), (3, 'de', 1), (3, 'en', 2)) v(book_id, code2, pos)")
+@golden("SELECT * FROM (VALUES (1, 'en', 0), (1, 'en', 1), (2, 'de', 0), (3, 'en', 0), (3, 'de', 1), (3, 'en', 2)) v(book_id, code2, pos)")
 def title_lookup(spark, sf_dir):
     """Works under any of a book's search titles, exact, in its language where it has one."""
     title = "Cragside: A DCI Ryan Mystery"
@@ -454,10 +454,22 @@ def delivered_then_remembered(spark, sf_dir):
     return kept.read()
 
 
-@query("SELECT p_partkey, '1. source=' || p_brand || '; title=' || p_name || chr(10) || '2. title=' || p_type AS prompt FROM part")
+@query(
+    """
+SELECT p_partkey, '1. title=' || p_name || '; author=LJ Ross, Ann Lee' || CASE WHEN p_partkey % 2 = 0 THEN '; series=' || p_brand || '; position=' || p_size ELSE '' END
+  || CASE WHEN p_partkey % 3 = 0 THEN '; year=' || (1990 + p_size) ELSE '' END || '; publisher=' || p_type || '; isbn=' || printf('978%010d', p_partkey) || '; language=en'
+  || chr(10) || '2. title=' || p_type AS prompt FROM part
+"""
+)
 def prompts(spark, sf_dir):
-    """Descriptions of a book's candidates as numbered lines."""
-    one = replies.described(["source", "title", "series"])
-    part = table(spark, sf_dir, "part").withColumns({"source": F.col("p_brand"), "title": F.col("p_name"), "series": F.lit("")})
-    first = part.withColumn("first", one).withColumns({"source": F.lit(None).cast("string"), "title": F.col("p_type")})
-    return first.select("p_partkey", replies.numbered(F.array("first", one)).alias("prompt"))
+    """What a prompt says of a book's candidates, as numbered lines; their source is withheld."""
+    even = F.col("p_partkey") % 2 == 0
+    date = F.when(F.col("p_partkey") % 3 == 0, F.concat((F.col("p_size") + 1990).cast("string"), F.lit("-05"))).otherwise("20")
+    told = {
+        "source": F.lit("catalogue_a"), "title": F.col("p_name"), "authors": F.array(F.lit("LJ Ross"), F.lit("Ann Lee")), "series": F.when(even, F.col("p_brand")),
+        "series_number": F.when(even, F.col("p_size").cast("string")), "date": date, "publisher": F.col("p_type"), "isbn": F.format_string("978%010d", "p_partkey"), "language": F.lit("en"),
+    }
+    part = table(spark, sf_dir, "part").withColumns(told)
+    first = part.withColumn("first", correction.shown())
+    bare = first.withColumns({n: F.lit(None).cast(first.schema[n].dataType) for n in told} | {"title": F.col("p_type")})
+    return bare.select("p_partkey", replies.numbered(F.array("first", correction.shown())).alias("prompt"))
