@@ -72,7 +72,7 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         for number in (signal.SIGINT, signal.SIGTERM):
             signal.signal(number, lambda *_: relay.stop.set())
-        relay.poll(1 if given.command == "once" else None)
+        relay.poll(1) if given.command == "once" else relay.watch()
 
 
 if __name__ == "__main__":

@@ -6,7 +6,8 @@ one folder: tables ``seen`` (path, mark, streak), ``stuck`` (delivered but not r
 they change), ``waiting`` (left for the next UTC day), ``told`` (announced by a dry run; for a day, if they wait),
 ``backed`` (originals that are in backups and whose book has not arrived), ``names``,
 ``genres``, ``matches`` and the allowed list's ``fingerprint``; and the leases of the day's
-``calls``.
+``calls``. ``poll`` makes passes, ``watch`` handles the folder as a stream, whose own state then
+counts and holds.
 
 What a pass decided is written into ``journal``, a row a book with where it goes, before
 anything is put there, and learned from the rows of the books that arrived. A journal that a
@@ -29,6 +30,7 @@ from bindery.options import Options
 from bindery.plans import correction
 from bindery.sources import files
 from bindery.storage import materialize, scratch
+from bindery.streaming import folder
 
 NAME = "struct<kind:string,source:string,key:string,standard:string,seen:string,pos:struct<path:string,place:int>>"
 GENRE = "struct<source:string,genre:string,mapped:string,seen:string>"
@@ -154,16 +156,25 @@ class Relay:
             F.when(F.col("kept"), match).alias("match"),
         ).filter("size(names) > 0 or size(genres) > 0 or match is not null")
 
+    def _expire(self, now: str) -> None:
+        """Old backups go, and the folders that they leave empty."""
+        if self.options.dry_run:
+            return
+        old = files.listing(self.spark, self.backups)
+        expired = delivery.expired(old, F.lit(now).cast("timestamp"), self.options.backup_days)
+        gone = materialize(files.delete(expired.select("path")), "expired")
+        if not gone.isEmpty():
+            files.remove_empty_folders(self.backups)
+
     def _scan(self, day: str, now: str) -> list[str]:
-        dry = self.options.dry_run
-        if not dry:
-            old = files.listing(self.spark, self.backups)
-            expired = delivery.expired(old, F.lit(now).cast("timestamp"), self.options.backup_days)
-            gone = materialize(files.delete(expired.select("path")), "expired")
-            if not gone.isEmpty():
-                files.remove_empty_folders(self.backups)
+        if not self.options.dry_run:
+            self._expire(now)
             self.recover()
-        ready = materialize(self.settled(day), "settled")
+        return self._handled(materialize(self.settled(day), "settled"), day, now)
+
+    def _handled(self, ready: DataFrame, day: str, now: str) -> list[str]:
+        """Correct and deliver settled files (path, mark)."""
+        dry = self.options.dry_run
         if ready.isEmpty():
             return []
         listed = materialize(files.read(ready), "listed")
@@ -223,6 +234,30 @@ class Relay:
             if passes is None or passes > 0:
                 rest(self.options.poll_seconds)
 
+    def batch(self, settled: DataFrame, number: int = 0) -> list[str]:
+        """Handle a batch of the stream: the settled files that are candidates and not stuck.
+        Those that wait are told again by the stream on the next UTC day."""
+        moment = time.gmtime()
+        day, now = time.strftime("%Y-%m-%d", moment), time.strftime("%Y-%m-%dT%H:%M:%SZ", moment)
+        with scratch(self.spark):
+            if not self.options.dry_run:
+                self.recover()
+            ready = delivery.candidates(settled.select("path", "mark"), self.ingest)
+            ready = materialize(delivery.not_stuck(ready, self.state["stuck"].read()), "settled")
+            return self._handled(ready, day, now)
+
+    def watch(self, tell: Callable[[str], None] = lambda line: print(line, flush=True)) -> None:
+        """Handle the folder as a stream until ``stop`` is set; a restart goes on where it was."""
+        self.start()
+        self._expire(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))
+        handle = lambda batch, number: [tell(line) for line in self.batch(batch, number)] and None
+        query = folder.watch(self.spark, self.ingest, f"{self.root.rstrip('/')}/stream", handle, self.options.stable_checks, self.options.poll_seconds)
+        while not self.stop.wait(0.5) and query.isActive:
+            continue
+        query.stop()
+        if (error := query.exception()) is not None:
+            raise error
+
     def reset(self, confirmed: bool) -> None:
         """Forget names, genres and matches; only if that was confirmed."""
         if not confirmed:
