@@ -386,12 +386,22 @@ def book_keys(spark, sf_dir):
     return customers.select("c_custkey", state.book_key(isbn, F.col("c_mktsegment"), F.array(F.lit("L. J. Ross"), F.lit("Ann Lee"))).alias("key"))
 
 
-@query("SELECT p_partkey, lower(regexp_replace(trim(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')), '^(The|A|An) ', '')) AS key FROM part")
+@query(
+    """
+SELECT p_partkey, lower(regexp_replace(trim(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')), '^(The|A|An) ', '')) AS key,
+  'lj ' || lower(p_brand[:5]) || ' ' || p_brand[7:] AS name, 'cafe ' || p_name AS accented, p_name || ' ' || p_type AS squeezed FROM part
+"""
+)
 def registered_functions(spark, sf_dir):
-    """The key functions as SQL users call them."""
+    """The key functions as SQL users call them: the plan has no Python but for other scripts."""
     X.register(spark)
     table(spark, sf_dir, "part").createOrReplaceTempView("bindery_parts")
-    return spark.sql("SELECT p_partkey, comparison_key(p_name) AS key FROM bindery_parts")
+    return spark.sql(
+        """
+        SELECT p_partkey, comparison_key(p_name) AS key, durable_key('L. J. ' || p_brand) AS name, comparison_key('The Café ' || p_name || '!') AS accented,
+          squeezed('  ' || p_name || '\t\n ' || p_type || ' ') AS squeezed FROM bindery_parts
+        """
+    )
 
 
 # ---- streams ----------------------------------------------------------------------------

@@ -160,13 +160,24 @@ def read_books(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, {BOOK}")
 
 
+def _new(package: Package, name: str, text: str):
+    """A new element of the record, behind the last of its kind of namespace: metas follow."""
+    place = max((n + 1 for n, e in enumerate(package.meta) if str(e.tag).startswith(f"{{{DC}}}")), default=0)
+    element = ET.Element(f"{{{DC}}}{name}")
+    element.text = text
+    package.meta.insert(place, element)
+    return element
+
+
 def _set_first(package: Package, name: str, value: str | None) -> None:
     value = (value or "").strip()
     if not value:
         return
     held = list(package.meta.iter(f"{{{DC}}}{name}"))
-    target = held[0] if held else ET.SubElement(package.meta, f"{{{DC}}}{name}")
-    target.text = value
+    if held:
+        held[0].text = value
+    else:
+        _new(package, name, value)
 
 
 def _set_authors(package: Package, authors: list[str]) -> None:
@@ -182,7 +193,7 @@ def _set_authors(package: Package, authors: list[str]) -> None:
             if extra.get("id") and m.get("refines") == f"#{extra.get('id')}":
                 package.meta.remove(m)
     for author in wanted[len(held) :]:
-        ET.SubElement(package.meta, f"{{{DC}}}creator").text = author
+        _new(package, "creator", author)
 
 
 def _set_isbn(package: Package, isbn: str) -> None:
@@ -195,7 +206,7 @@ def _set_isbn(package: Package, isbn: str) -> None:
     if wanted is None or known == wanted:
         return
     if target is None:
-        target = ET.SubElement(package.meta, f"{{{DC}}}identifier")
+        target = _new(package, "identifier", "")
     target.attrib.pop(f"{{{OPF}}}scheme", None)
     target.text = f"urn:isbn:{wanted}"
 
@@ -243,7 +254,7 @@ def _set_series(package: Package, series: str | None, number: str | None, drop:
 def _set_tag(package: Package, on: bool) -> None:
     tagged = [e for e in package.all("subject") if e.text.strip() == TAG]
     if on and not tagged:
-        ET.SubElement(package.meta, f"{{{DC}}}subject").text = TAG
+        _new(package, "subject", TAG)
     for e in tagged if not on else []:
         package.meta.remove(e)
 
@@ -254,7 +265,9 @@ def _add_cover(package: Package, cover: bytes) -> tuple[str, bytes] | None:
         return None
     folder = package.path.rpartition("/")[0]
     name = f"cover-{hashlib.md5(cover).hexdigest()[:8]}{kind[1]}"
-    ET.SubElement(package.manifest, f"{{{OPF}}}item", {"id": name.partition(".")[0], "href": name, "media-type": kind[0], "properties": "cover-image"})
+    # Only manifests of EPUB 3 have properties.
+    newer = {"properties": "cover-image"} if package.root.get("version", "").strip().startswith("3") else {}
+    ET.SubElement(package.manifest, f"{{{OPF}}}item", {"id": name.partition(".")[0], "href": name, "media-type": kind[0]} | newer)
     ET.SubElement(package.meta, f"{{{OPF}}}meta", name="cover", content=name.partition(".")[0])
     return (f"{folder}/{name}" if folder else name), cover
 
@@ -276,7 +289,7 @@ def rewrite_one(content: bytes, edit: dict, genres: list[str] = (), cover: bytes
     taken = {s.casefold() for s in package.subjects()}
     for genre in (g.strip() for g in genres):
         if genre and genre.casefold() not in taken:
-            ET.SubElement(package.meta, f"{{{DC}}}subject").text = genre
+            _new(package, "subject", genre)
             taken.add(genre.casefold())
     image = _add_cover(package, cover) if cover else None
     if image is None and ET.tostring(package.root) == before:

@@ -593,3 +593,25 @@ def test_the_command_line_over_recorded_catalogues(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         command.main(["reset", *given])
     command.main(["reset", "--yes", *given])
+
+
+def test_sql_functions_give_what_the_columns_give(spark):
+    X.register(spark)
+    words = ["Brontë", "Straße & Co.", "The Wind in the Willows", "A", None, "!!!", "Война и мир", "ﬁn ½ Ĳssel", "J.R.R. Tolkien", "Ross, L. J.", "it's \\ 'so'", " en-GB ", "de_AT", ""]
+    spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").createOrReplaceTempView("bindery_words")
+    for name, own in (("comparison_key", X.comparison_key), ("durable_key", X.durable_key), ("squeezed", X.squeeze), ("stated", X.said), ("primary_language", X.primary_language)):
+        got = [r[0] for r in spark.sql(f"SELECT {name}(w) FROM bindery_words ORDER BY k").collect()]
+        assert got == column(spark, words, own), name
+    plan = spark.sql("SELECT durable_key(w), squeezed(w) FROM bindery_words")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "regexp_replace" in plan
+
+
+def test_covers_and_records_of_older_packages():
+    old = OPF.replace('version="3.0"', 'version="2.0"')
+    for opf, property in ((OPF, "cover-image"), (old, None)):
+        told = epub.Package(epub.rewrite_one(sample(opf), {"publisher": "P", "unverified": True}, ["Noir"], b"\xff\xd8\xff0"))
+        (cover,) = [i for i in told.manifest if i.get("media-type") == "image/jpeg"]
+        assert cover.get("properties") == property and told.has_cover()
+        tags = [e.tag.rpartition("}")[2] for e in told.meta]
+        # The record's elements are together; the metas that refine them follow.
+        assert {"publisher", "subject"} <= set(tags[: len(tags) - tags[::-1].index("subject")]) and tags[-1] == "meta"
