@@ -13,8 +13,8 @@ import numpy as np
 
 #: Symbols of the sequences that are held at once in training, and in scoring, which keeps none
 #: of a sequence's states: many long texts then share their steps.
-AT_ONCE = 1 << 18
-SCORED_AT_ONCE = 1 << 21
+AT_ONCE = 1 << 17
+SCORED_AT_ONCE = 1 << 20
 #: Training pieces have so many symbols at most.
 PIECE = 512
 
@@ -70,9 +70,11 @@ def _laid_out(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     active = np.bincount(sizes, minlength=sizes[0] + 1)[::-1].cumsum()[::-1][1:]
     offsets = np.concatenate([[0], active.cumsum()])
     begins = np.concatenate([[0], sizes.cumsum()[:-1]])
-    when = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(begins.astype(np.int32), sizes)
+    place = offsets.astype(np.int32)[place]
+    place += np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     by_time = np.empty(sizes.sum(), sequences[0].dtype)
-    by_time[offsets[when] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[i] for i in order])
+    by_time[place] = np.concatenate([sequences[i] for i in order])
     return order, by_time, offsets
 
 

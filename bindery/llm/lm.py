@@ -48,11 +48,11 @@ ENDING = 3
 STATES = 8
 ROUNDS = 4
 #: Distinct words that a task counts before it passes their counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
 #: Slices in which the sums of a round are added up.
 SLICES = 256
 #: Symbols of training texts that a task gathers before it counts them.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 
 def tokens(text: bytes | None) -> list[bytes]:
