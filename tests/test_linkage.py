@@ -248,7 +248,7 @@ def test_registered_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import os
 
-    from bindery.plans import catalogue, golden  # noqa: F401
+    from bindery.plans import catalogue, golden, tables  # noqa: F401
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
