@@ -55,7 +55,7 @@ LEAST_DOCS = 3
 RIDGE = 0.3
 #: Words that are compressed in one call.
 GROUP_WORDS = 100_000
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 PUNCTUATION = ".,;:!?|*&%$#<>()[]{}\"'-_=+/\\~`"
 
 _cache: dict[str, bytes] = {}
@@ -73,6 +73,12 @@ def word_codes(word: str) -> bytes:
     return known
 
 
+def _forget() -> None:
+    """Give back what a task's words took: its worker goes on to other tasks, of other stages too."""
+    _cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def coded(text: str | None) -> list[bytes]:
     return [word_codes(w) for w in (text or "").lower().split()]
 
@@ -288,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = sorted((r["bad"], r["text"]) for r in one_each.select("bad", "text").collect())
     of = lambda bad: [t for b, t in sample if b is bad]
     model = fit(of(True), of(False), counts.get(True, 0), counts.get(False, 0))
-    _cache.clear()  # the driver has no further use for the words
+    _forget()  # the driver has no further use for the words
     return model
 
 
@@ -299,6 +305,7 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             values = model.score(t.as_py() for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
+        _forget()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, score double")
@@ -312,6 +319,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", below: float =
         for batch in batches:
             values = model.score(t.as_py() for t in batch.column(place))
             yield batch.filter(pa.array(values < below))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
 
