@@ -20,18 +20,28 @@ from bindery.plans.golden import COLLECTION, EDITS, _package, opf
 from bindery.sources import epub, replies, requests
 from bindery.storage import shared_dir
 
-K = F.col("p_partkey")
-BRAND = F.col("p_brand")
-NAME = F.col("p_name")
-SIZE = F.col("p_size").cast("string")
+def key() -> Column:
+    return F.col("p_partkey")
 
 
-def case(key: Column, *values) -> Column:
+def brand() -> Column:
+    return F.col("p_brand")
+
+
+def name_of() -> Column:
+    return F.col("p_name")
+
+
+def size_of() -> Column:
+    return F.col("p_size").cast("string")
+
+
+def case(of: Column, *values) -> Column:
     """The value at the key's remainder by how many there are."""
     told = None
     for n, v in enumerate(values):
         v = v if isinstance(v, Column) else F.lit(v)
-        told = F.when(key % len(values) == n, v) if told is None else told.when(key % len(values) == n, v)
+        told = F.when(of % len(values) == n, v) if told is None else told.when(of % len(values) == n, v)
     return told
 
 
@@ -50,7 +60,10 @@ def durable_key_golden(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.durable_key(told).alias("key"))
 
 
-TITLED = case(K, joined(NAME, ": A DCI Ryan Mystery (The ", BRAND, " Mysteries Book ", SIZE, ".50)"), joined("  ", NAME, "   (2019) "), joined(NAME, ": ", BRAND), joined(NAME, " (", BRAND, " vol. ", SIZE, ")"))
+def titled() -> Column:
+    return case(key(), joined(name_of(), ": A DCI Ryan Mystery (The ", brand(), " Mysteries Book ", size_of(), ".50)"), joined("  ", name_of(), "   (2019) "), joined(name_of(), ": ", brand()), joined(name_of(), " (", brand(), " vol. ", size_of(), ")"))
+
+
 _TITLED = """SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN p_name || ' (2019)' WHEN 2 THEN p_name || ': ' || p_brand ELSE p_name END AS search,
   CASE p_partkey % 4 WHEN 0 THEN p_name || ': A DCI Ryan Mystery' END AS also, CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_brand || ' Mysteries' WHEN 3 THEN p_brand END AS series,
   CASE p_partkey % 4 WHEN 0 THEN p_size || '.5' WHEN 3 THEN p_size::VARCHAR END AS series_number FROM part"""
@@ -59,13 +72,13 @@ _TITLED = """SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN p_name || ' (2019)
 @query(_TITLED)
 def clean_title_golden(spark, sf_dir):
     """Titles of parts, with brackets, generic and other subtitles, cleaned."""
-    return table(spark, sf_dir, "part").select("p_partkey", X.clean_title(TITLED).alias("c")).select("p_partkey", "c.*")
+    return table(spark, sf_dir, "part").select("p_partkey", X.clean_title(titled()).alias("c")).select("p_partkey", "c.*")
 
 
 @query(f"SELECT p_partkey, search || coalesce('|' || also, '') AS asked FROM ({_TITLED})")
 def search_titles_golden(spark, sf_dir):
     """What is asked about each title."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.search_titles(TITLED), "|").alias("asked"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.search_titles(titled()), "|").alias("asked"))
 
 
 @query(
@@ -100,8 +113,8 @@ def letters_golden(spark, sf_dir):
 def title_agreement(spark, sf_dir):
     """Files' titles and records': equal heads, nothing alike, none, a word of the file's, one
     letter wrong."""
-    file = case(K, joined(NAME, ": a novel"), NAME, "", joined("the ", NAME), joined(NAME, " and yet another"))
-    record = case(K, joined("The ", NAME), "Zq", NAME, F.substring_index(NAME, " ", -1), joined(NAME, " and yet anothr"))
+    file = case(key(), joined(name_of(), ": a novel"), name_of(), "", joined("the ", name_of()), joined(name_of(), " and yet another"))
+    record = case(key(), joined("The ", name_of()), "Zq", name_of(), F.substring_index(name_of(), " ", -1), joined(name_of(), " and yet anothr"))
     rows = table(spark, sf_dir, "part").select("p_partkey", *(X.parted(t)["head"].alias(n) for n, t in (("file", file), ("record", record))))
     keyed = rows.select("p_partkey", *(X.comparison_key(F.col(c)).alias(c) for c in ("file", "record")))
     return keyed.select("p_partkey", S.heads_agree(F.col("file"), F.col("record")).alias("agrees"))
@@ -113,10 +126,10 @@ def title_agreement(spark, sf_dir):
 def _books(spark, sf_dir) -> DataFrame:
     """Parts as books of one author, with a place in their brand's series and a year."""
     return table(spark, sf_dir, "part").select(
-        K.alias("book_id"), joined(NAME, ": A DCI Ryan Mystery (The ", BRAND, " Mysteries Book ", SIZE, ")").alias("title"),
-        F.when(K % 7 != 6, F.array(F.lit("L. J. Ross"))).otherwise(F.array().cast("array<string>")).alias("authors"),
-        F.lit(None).cast("string").alias("language"), F.lit("2017-07-07").alias("date"), NAME.alias("name"), F.col("p_size").alias("size"),
-        joined("/in/", F.format_string("%09d", K)).alias("path"), F.lit(None).cast("string").alias("isbn"),
+        key().alias("book_id"), joined(name_of(), ": A DCI Ryan Mystery (The ", brand(), " Mysteries Book ", size_of(), ")").alias("title"),
+        F.when(key() % 7 != 6, F.array(F.lit("L. J. Ross"))).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.lit(None).cast("string").alias("language"), F.lit("2017-07-07").alias("date"), name_of().alias("name"), F.col("p_size").alias("size"),
+        joined("/in/", F.format_string("%09d", key())).alias("path"), F.lit(None).cast("string").alias("isbn"),
     )
 
 
@@ -283,8 +296,8 @@ SELECT book_id, code2, row_number() OVER (PARTITION BY book_id ORDER BY record_p
 def title_lookup(spark, sf_dir):
     """Works under any of a book's search titles, in its language where it states one."""
     part = table(spark, sf_dir, "part")
-    books = part.select(K.alias("book_id"), joined(NAME, F.when(K % 2 == 0, ": a novel").otherwise("")).alias("title"), case(K, "en-GB", "deu", F.lit(None).cast("string")).alias("language"))
-    works = part.filter("p_size < 6").select(NAME.alias("work_title"), case(K, "en", "de").alias("code2"), case(K, "eng", "deu").alias("code3"), K.alias("record_pos"))
+    books = part.select(key().alias("book_id"), joined(name_of(), F.when(key() % 2 == 0, ": a novel").otherwise("")).alias("title"), case(key(), "en-GB", "deu", F.lit(None).cast("string")).alias("language"))
+    works = part.filter("p_size < 6").select(name_of().alias("work_title"), case(key(), "en", "de").alias("code2"), case(key(), "eng", "deu").alias("code3"), key().alias("record_pos"))
     return walk.title_lookup(books, works).select("book_id", "code2", "pos")
 
 
@@ -306,9 +319,9 @@ FROM (SELECT * REPLACE (CASE WHEN l = 2 THEN replace(q, 'x', 'x') ELSE q END AS
 def title_requests(spark, sf_dir):
     """What each catalogue is asked about parts, in its dialect, and how a recorded one answers."""
     books = table(spark, sf_dir, "part").select(
-        K.alias("book_id"), joined(F.replace(NAME, F.lit(" "), F.lit(' "')), F.when(K % 3 == 0, ": a novel").otherwise("")).alias("title"),
-        F.when(K % 3 < 2, F.array(F.lit(" "), F.lit('R "Ray'))).otherwise(F.array().cast("array<string>")).alias("authors"),
-        F.when(K % 5 == 1, "en-GB").alias("language"), F.when(K % 5 == 1, "en_US").when(K % 5 == 2, "deu").alias("other"),
+        key().alias("book_id"), joined(F.replace(name_of(), F.lit(" "), F.lit(' "')), F.when(key() % 3 == 0, ": a novel").otherwise("")).alias("title"),
+        F.when(key() % 3 < 2, F.array(F.lit(" "), F.lit('R "Ray'))).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.when(key() % 5 == 1, "en-GB").alias("language"), F.when(key() % 5 == 1, "en_US").when(key() % 5 == 2, "deu").alias("other"),
     )
     asked = books.withColumn("one", requests.search_by_title(books))
     asked = asked.withColumn("language", F.col("other")).withColumn("two", requests.editions_by_title(books))
@@ -382,27 +395,27 @@ def replies_golden(spark, sf_dir):
     """Replies of both catalogues, made of the parts of each size, read as candidates."""
     part = table(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
-    odd = K % 2 == 1
+    odd = key() % 2 == 1
     person = lambda role, who, n: F.struct(F.lit(role).alias("contribution"), F.struct(F.lit(n).cast("long").alias("id"), who.alias("name")).alias("author"))
     series = lambda featured, at, name, n: F.struct(F.lit(featured).alias("featured"), at.alias("position"), F.struct(F.lit(n).cast("long").alias("id"), name.alias("name")).alias("series"))
-    first, second = series(False, F.lit(2.0), F.lit("First"), 3), series(True, F.col("p_size") + 0.5, BRAND, 4)
+    first, second = series(False, F.lit(2.0), F.lit("First"), 3), series(True, F.col("p_size") + 0.5, brand(), 4)
     empty = F.expr("array()").cast("array<struct<featured:boolean,position:double,series:struct<id:bigint,name:string>>>")
     work = F.struct(
-        K.alias("id"), F.when(K % 3 != 0, NAME).alias("title"), F.when(K % 4 == 0, "2001").alias("release_date"), F.struct(F.lit("work").alias("url")).alias("image"),
-        F.struct(F.array(F.struct(joined(F.col("p_type"), ": ", BRAND).alias("tag")), F.struct(BRAND.alias("tag"))).alias("Genre")).alias("cached_tags"),
-        F.array(person("Narrator", BRAND, 9), person("Author", joined(" Ann ", F.col("p_type")), 7), person("Author", F.lit(" "), 8)).alias("contributions"),
-        F.when(K % 3 == 0, F.array(first, second)).when(K % 3 == 1, F.array(first)).otherwise(empty).alias("book_series"),
+        key().alias("id"), F.when(key() % 3 != 0, name_of()).alias("title"), F.when(key() % 4 == 0, "2001").alias("release_date"), F.struct(F.lit("work").alias("url")).alias("image"),
+        F.struct(F.array(F.struct(joined(F.col("p_type"), ": ", brand()).alias("tag")), F.struct(brand().alias("tag"))).alias("Genre")).alias("cached_tags"),
+        F.array(person("Narrator", brand(), 9), person("Author", joined(" Ann ", F.col("p_type")), 7), person("Author", F.lit(" "), 8)).alias("contributions"),
+        F.when(key() % 3 == 0, F.array(first, second)).when(key() % 3 == 1, F.array(first)).otherwise(empty).alias("book_series"),
     )
     edition = F.struct(
-        F.when(K % 3 == 0, NAME).otherwise(joined(NAME, " (ed)")).alias("title"), F.when(~odd, F.format_string("978%010d", K)).alias("isbn_13"), F.when(odd, K.cast("string")).alias("isbn_10"),
-        case(K, F.lit(1), F.lit(None).cast("int"), F.lit(2), F.lit(4), F.lit(1)).alias("reading_format_id"), F.when(K % 4 != 0, "2017-07").alias("release_date"),
+        F.when(key() % 3 == 0, name_of()).otherwise(joined(name_of(), " (ed)")).alias("title"), F.when(~odd, F.format_string("978%010d", key())).alias("isbn_13"), F.when(odd, key().cast("string")).alias("isbn_10"),
+        case(key(), F.lit(1), F.lit(None).cast("int"), F.lit(2), F.lit(4), F.lit(1)).alias("reading_format_id"), F.when(key() % 4 != 0, "2017-07").alias("release_date"),
         F.struct(F.when(odd, "edition").alias("url")).alias("image"), work.alias("book"),
     )
     number = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("identifier"))
-    ten, thirteen = number("ISBN_10", F.format_string("%010d", K)), number("ISBN_13", F.format_string("978-%010d", K))
+    ten, thirteen = number("ISBN_10", F.format_string("%010d", key())), number("ISBN_13", F.format_string("978-%010d", key()))
     info = F.struct(
-        NAME.alias("title"), F.array(F.col("p_type"), F.lit(" ")).alias("authors"), F.lit("2017").alias("publishedDate"), F.when(odd, F.array(ten)).otherwise(F.array(ten, thirteen)).alias("industryIdentifiers"),
-        F.array(joined(F.col("p_type"), ";", BRAND)).alias("categories"), F.struct(F.lit("small").alias("smallThumbnail"), none.alias("thumbnail")).alias("imageLinks"),
+        name_of().alias("title"), F.array(F.col("p_type"), F.lit(" ")).alias("authors"), F.lit("2017").alias("publishedDate"), F.when(odd, F.array(ten)).otherwise(F.array(ten, thirteen)).alias("industryIdentifiers"),
+        F.array(joined(F.col("p_type"), ";", brand())).alias("categories"), F.struct(F.lit("small").alias("smallThumbnail"), none.alias("thumbnail")).alias("imageLinks"),
     )
     listed = part.groupBy(F.col("p_size").alias("book_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", edition.alias("e"), F.struct(info.alias("volumeInfo")).alias("v")))), lambda x: F.struct(x["e"].alias("e"), x["v"].alias("v"))).alias("all")
@@ -430,15 +443,15 @@ def merge_golden(spark, sf_dir):
     """Parts merged with records: same titles and another series; another title, the same series
     and, if it was found by number, an ISBN; marked ones without and with a blurb."""
     null = F.lit(None).cast("string")
-    four = lambda *v: case(K, *(x if x is not None else null for x in v))
+    four = lambda *v: case(key(), *(x if x is not None else null for x in v))
     told = {
-        "file_title": four(F.upper(NAME), joined("Not ", NAME), NAME, NAME), "found_title": four(joined(NAME, "!"), NAME, NAME, NAME),
-        "file_series": four("Old", F.lower(BRAND), None, None), "found_series": four(BRAND, F.upper(BRAND), None, None),
-        "file_series_number": four("2", None, None, None), "found_series_number": four(None, SIZE, None, "3"),
+        "file_title": four(F.upper(name_of()), joined("Not ", name_of()), name_of(), name_of()), "found_title": four(joined(name_of(), "!"), name_of(), name_of(), name_of()),
+        "file_series": four("Old", F.lower(brand()), None, None), "found_series": four(brand(), F.upper(brand()), None, None),
+        "file_series_number": four("2", None, None, None), "found_series_number": four(None, size_of(), None, "3"),
         "found_publisher": four(F.col("p_type"), None, None, None), "found_isbn": four(None, "9780306406157", None, None),
         "file_description": four(None, None, X.NOTE, joined(F.col("p_type"), "\n\n" + X.NOTE)),
     }
-    rows = table(spark, sf_dir, "part").select(K.alias("id"), *(c.alias(n) for n, c in told.items()), (K % 4 > 1).alias("file_unverified"))
+    rows = table(spark, sf_dir, "part").select(key().alias("id"), *(c.alias(n) for n, c in told.items()), (key() % 4 > 1).alias("file_unverified"))
     rest = [f"{s}_{n}" for s in ("file", "found") for n in merge.FIELDS if n != "authors" and f"{s}_{n}" not in told]
     rows = rows.withColumns({n: null for n in rest} | {f"{s}_authors": F.array().cast("array<string>") for s in ("file", "found")})
     done = merge.changes(merge.edits(rows, None, F.col("id") % 8 == 1), F.lit("catalogue_a"))
@@ -511,14 +524,14 @@ def epub_rewrite(spark, sf_dir):
     """Parts bound as books, rewritten and read again: texts, names, ISBN, both encodings of a
     series, tag, genres, cover. A book whose description keeps its note stays marked."""
     files = _bound(table(spark, sf_dir, "part"))
-    key = F.regexp_extract("path", r"(\d+)\.epub", 1).cast("long")
+    number = F.regexp_extract("path", r"(\d+)\.epub", 1).cast("long")
     part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "k")
-    rows = files.withColumn("k", key).join(part, "k")
+    rows = files.withColumn("k", number).join(part, "k")
     edit = F.struct(
-        F.upper(NAME).alias("title"), F.array(F.lit("X"), BRAND).alias("authors"), F.lit("9780306406157").alias("isbn"), F.when(F.col("k") % 6 < 2, "Other").alias("series"),
-        F.when(F.col("k") % 6 == 0, joined(SIZE, ".0")).alias("series_number"), (F.col("k") % 2 == 1).alias("unverified"), (F.col("k") % 6 == 1).alias("drop_series_number"),
+        F.upper(name_of()).alias("title"), F.array(F.lit("X"), brand()).alias("authors"), F.lit("9780306406157").alias("isbn"), F.when(F.col("k") % 6 < 2, "Other").alias("series"),
+        F.when(F.col("k") % 6 == 0, joined(size_of(), ".0")).alias("series_number"), (F.col("k") % 2 == 1).alias("unverified"), (F.col("k") % 6 == 1).alias("drop_series_number"),
     ).cast(EDITS)
-    told = rows.select("path", "content", edit.alias("edits"), F.array(F.upper(BRAND), BRAND, F.lit("Noir")).alias("given"), F.lit(bytearray(b"\xff\xd8\xff0")).alias("cover"), "k")
+    told = rows.select("path", "content", edit.alias("edits"), F.array(F.upper(brand()), brand(), F.lit("Noir")).alias("given"), F.lit(bytearray(b"\xff\xd8\xff0")).alias("cover"), "k")
     # A genre that the book has in another case is not added again; the brand's own is.
     done = epub.rewritten(told.withColumn("genres", F.when(F.col("k") % 6 == 0, F.col("given")).otherwise(F.slice("given", 2, 2))).drop("given", "k"))
     done = correction.materialize(done, "rewritten")
@@ -553,10 +566,10 @@ def correction_pass(spark, sf_dir):
     ross = F.array(F.lit("L. J. Ross"))
 
     def numbered(books: DataFrame):
-        brand = F.get("subjects", 0)
+        first = F.get("subjects", 0)
         genres = F.array(F.struct(F.lit("crime").alias("genre"), F.lit("Crime").alias("seen")))
         failed = books.filter(kind == 3).select("book_id", F.lit("catalogue_a").alias("source"), F.lit("timeout").alias("reason"))
-        return found(books.filter(kind == 0), "catalogue_a", authors=ross, publisher=brand, genres=genres), failed
+        return found(books.filter(kind == 0), "catalogue_a", authors=ross, publisher=first, genres=genres), failed
 
     nothing = lambda books: (found(books.limit(0), "catalogue_a", authors=ross), None)
     titled = lambda books: (found(books.filter(kind == 1), "catalogue_b", authors=F.array(F.lit("L. J. Ross"), F.lit("B")), series=F.lit("Ryan"), series_number=F.lit("7")), None)

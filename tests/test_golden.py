@@ -25,3 +25,13 @@ def test_every_registered_query_reads_a_table():
     from bindery.plans import tables  # noqa: F401
 
     assert not {n for n, f in catalogue.QUERIES.items() if "sf_dir" not in inspect.getsource(f).partition(":\n")[2]}
+
+
+def test_the_entry_is_imported_without_a_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
