@@ -58,13 +58,16 @@ def once_per_mark(rows: DataFrame) -> DataFrame:
 
 def hold_until_tomorrow(attempts: DataFrame) -> DataFrame:
     """(path, at, failed) of a stream -> attempts that are made: after one that failed, none
-    for the rest of its UTC day."""
+    for the rest of its UTC day.
+
+    Times go to pandas as microseconds and their days as text: its own times end in 2262, and
+    are in the session's zone.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else ""
         out = []
-        for at, failed in pd.concat(list(batches)).sort_values("at", kind="stable")[["at", "failed"]].itertuples(index=False):
-            day = at.strftime("%Y-%m-%d")
+        for at, day, failed in pd.concat(list(batches)).sort_values("at", kind="stable")[["at", "day", "failed"]].itertuples(index=False):
             if day == held:
                 continue
             out.append((key[0], at, bool(failed)))
@@ -73,9 +76,13 @@ def hold_until_tomorrow(attempts: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["path", "at", "failed"])
 
-    return attempts.groupBy("path").applyInPandasWithState(
-        step, "path string, at timestamp, failed boolean", "held string", "append", GroupStateTimeout.NoTimeout
+    at = F.col("at").cast("timestamp")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86400).cast("int")).cast("string")
+    told = attempts.select("path", F.unix_micros(at).alias("at"), day.alias("day"), "failed")
+    made = told.groupBy("path").applyInPandasWithState(
+        step, "path string, at long, failed boolean", "held string", "append", GroupStateTimeout.NoTimeout
     )
+    return made.withColumn("at", F.timestamp_micros("at"))
 
 
 def drain(stream: DataFrame, checkpoint: str, sink) -> None:
