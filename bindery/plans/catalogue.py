@@ -574,7 +574,9 @@ SELECT book_key, source, confidence, at_ AS matched_as FROM r WHERE n = 1
 def match_best_wins(spark, sf_dir):
     """The more confident match stays; a tie goes to the better source, then to the older."""
     events = table(spark, sf_dir, "events")
-    rows = events.select(F.col("user_id").cast("string").alias("book_key"), F.col("event_type").alias("source"), F.round(F.col("value") / 1000, 2).alias("confidence"), F.col("event_id").cast("string").alias("matched_at"), F.col("event_id").cast("string").alias("matched_as"), (F.col("event_id") % 2).alias("fresh"))
+    # As SQL rounds doubles, by the product and not by the decimal digits: 0.285 * 100 is below 28.5.
+    sure = F.round(F.col("value") / 1000 * 100) / 100
+    rows = events.select(F.col("user_id").cast("string").alias("book_key"), F.col("event_type").alias("source"), sure.alias("confidence"), F.col("event_id").cast("string").alias("matched_at"), F.col("event_id").cast("string").alias("matched_as"), (F.col("event_id") % 2).alias("fresh"))
     old, new = rows.filter("fresh = 0").drop("fresh"), rows.filter("fresh = 1").drop("fresh")
     return state.best_matches(old, new, ["purchase", "click"]).select("book_key", "source", "confidence", "matched_as")
 

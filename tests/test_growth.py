@@ -2,10 +2,25 @@
 
 import datetime
 
+import pytest
+
+from bindery.plans import catalogue, tables  # noqa: F401  tables registers queries of its own
 from bindery.storage import shared_dir
 from bindery.streaming import settling
 
 
+def against_sql(spark, folder, name, **given):
+    """A query's rows over these tables, which are those of its SQL."""
+    con = pytest.importorskip("duckdb").connect()
+    for table, rows in given.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    found = catalogue.QUERIES[name](spark, str(folder))
+    ours = sorted(repr(tuple(r)) for r in found.collect())
+    assert ours == sorted(repr(r) for r in con.sql(f"select {', '.join(found.columns)} from ({catalogue.ORACLES[name]})").fetchall())
+    return found
+
+
 def test_holds_know_days_beyond_2262(spark):
     at = lambda *when: datetime.datetime(*when, tzinfo=datetime.timezone.utc)
     told = [("a", at(2400, 1, 1, 1), True), ("a", at(2400, 1, 1, 23, 59, 59, 999999), False), ("a", at(2400, 1, 2), False), ("b", at(1969, 12, 31, 23), True), ("b", at(1970, 1, 1), True)]
@@ -22,3 +37,9 @@ def test_holds_know_days_beyond_2262(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     made = spark.read.parquet(out)
     assert made.exceptAll(rows.filter("at <> timestamp '2400-01-01 23:59:59.999999'")).isEmpty() and made.count() == 4
+
+
+def test_confidences_are_rounded_as_sql_rounds_them(spark, tmp_path):
+    told = [(0, 1, "view", 285.0), (2, 1, "purchase", 284.0), (4, 2, "view", 145.0), (5, 2, "click", 140.0), (7, 3, "click", 1005.0), (8, 3, "view", 1001.0)]
+    events = spark.createDataFrame(told, "event_id long, user_id long, event_type string, value double")
+    against_sql(spark, tmp_path, "match_best_wins", events=events)
