@@ -109,8 +109,8 @@ def epub_rewrite(spark, sf_dir):
     )
 
 
-def _package(files: DataFrame) -> DataFrame:
-    """(path, collection, position) of the EPUB 3 encoding alone."""
+def _package(files: DataFrame, *kept: str) -> DataFrame:
+    """(path, collection, position) of the EPUB 3 encoding alone, and the kept columns."""
     import pandas as pd
 
     def run(batches):
@@ -123,9 +123,9 @@ def _package(files: DataFrame) -> DataFrame:
                     told.append((path, group.text, package.refining(group.get("id"), "group-position")) if group is not None else (path, None, None))
                 except epub.Unreadable:
                     told.append((path, None, None))
-            yield pd.DataFrame(told, columns=["path", "collection", "position"])
+            yield pd.DataFrame(told, columns=["path", "collection", "position"]).assign(**{n: batch[n] for n in kept})
 
-    return files.select("path", "content").mapInPandas(run, "path string, collection string, position string")
+    return files.select("path", "content", *(n for n in kept if n != "content")).mapInPandas(run, f"path string, collection string, position string{epub.carried(files, kept)}")
 
 
 PASSED = [

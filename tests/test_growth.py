@@ -26,6 +26,11 @@ def parts(spark, n=60):
     return spark.range(n).selectExpr("id AS p_partkey", "concat('red bolt', id % 4) AS p_name", "concat('Brand#', id % 7) AS p_brand", "'SMALL' AS p_type", "cast(id % 50 + 1 AS int) AS p_size", "900.0D AS p_retailprice")
 
 
+def test_edits_go_with_their_books(spark, tmp_path):
+    found = against_sql(spark, tmp_path, "epub_rewrite", part=parts(spark))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_holds_know_days_beyond_2262(spark):
     at = lambda *when: datetime.datetime(*when, tzinfo=datetime.timezone.utc)
     told = [("a", at(2400, 1, 1, 1), True), ("a", at(2400, 1, 1, 23, 59, 59, 999999), False), ("a", at(2400, 1, 2), False), ("b", at(1969, 12, 31, 23), True), ("b", at(1970, 1, 1), True)]
