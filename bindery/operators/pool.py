@@ -164,7 +164,7 @@ def concat_pools(pool: DataFrame | None, new: DataFrame) -> DataFrame:
         return new
     ends = pool.groupBy("book_id").agg((F.max("pos") + 1).alias("__end"))
     moved = (
-        new.join(ends, "book_id", "left")
+        new.join(ends.hint("merge"), "book_id", "left")
         .withColumn("pos", F.col("pos") + F.coalesce("__end", F.lit(0)))
         .drop("__end")
     )

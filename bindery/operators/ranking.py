@@ -35,7 +35,7 @@ def score(pool: DataFrame, books: DataFrame) -> DataFrame:
     than the book's, as far as both state one, leave the pool.
     """
     file = books.select("book_id", *(F.col(c).alias(f"file_{c}") for c in ("title", "authors", "language", "date")))
-    met = pool.join(file, "book_id").filter(X.same_language(F.col("file_language"), F.col("language")))
+    met = pool.join(file.hint("merge"), "book_id").filter(X.same_language(F.col("file_language"), F.col("language")))
     # Each step in a projection of its own: what a later one reads twice is a column by then.
     sides = met.withColumns({"__file": X.parted(F.col("file_title")), "__record": X.parted(F.col("title"))})
     chosen = sides.withColumn("__titles", S.compared_titles(F.col("__file"), F.col("__record")))

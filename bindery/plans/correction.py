@@ -22,7 +22,7 @@ from bindery.operators import pool as P
 from bindery.operators import ranking as R
 from bindery.options import Options
 from bindery.sources import epub, files, replies
-from bindery.storage import materialize
+from bindery.storage import many, materialize
 
 #: Fields of a candidate that a decision carries.
 FOUND = [c.split(" ")[0] for c in P.SCHEMA.replace("genre:string,seen", "").split(", ")][2:]
@@ -86,7 +86,7 @@ def decide(books: DataFrame, by: Catalogues, options: Options, take: Take | None
     """
     take = state.in_all(options.daily_calls) if take is None else take
     found_isbn, first = walk.isbn_walk(books, *by.by_isbn(books))
-    outcomes = materialize(found_isbn, "isbn-walk")
+    outcomes = many(found_isbn, "isbn-walk")
     kind = outcomes.select(_found(outcomes, "found.")).schema["found"].dataType
     parts = [
         outcomes.filter("outcome = 'match'").select(
@@ -96,7 +96,7 @@ def decide(books: DataFrame, by: Catalogues, options: Options, take: Take | None
     ]
     trails = [first] if first is not None else []
     rest = books.join(outcomes.filter("outcome in ('match', 'held')"), "book_id", "left_anti")
-    rest = materialize(rest.withColumn("__titles", X.search_titles(F.col("title"))), "title-books")
+    rest = many(rest.withColumn("__titles", X.search_titles(F.col("title"))), "title-books")
     asked_before = outcomes.filter("outcome = 'missed'").select("book_id")
     nameless = rest.filter("__titles is null")
     parts.append(_told(nameless.join(asked_before, "book_id", "left_semi"), "unverified", kind))
@@ -108,7 +108,7 @@ def decide(books: DataFrame, by: Catalogues, options: Options, take: Take | None
         titled = titled.drop("__sought")
         gathered, second = walk.title_walk(titled, *by.by_title(titled), options.bands)
         trails += [second] if second is not None else []
-        pools = materialize(gathered, "title-walk")
+        pools = many(gathered, "title-walk")
         leaders = walk.routed(pools, options.full_scan)
         parts.append(
             leaders.filter("route = 'write'").select("book_id", F.lit("match").alias("route"), _found(leaders), "score", F.lit(False).alias("by_isbn"))
@@ -125,14 +125,14 @@ def decide(books: DataFrame, by: Catalogues, options: Options, take: Take | None
             open_ = leaders.filter("route = 'unverified'").select("book_id").unionByName(poolless.join(broken, "book_id", "left_anti"))
             medium = medium.unionByName(open_.join(extra, "book_id", "left_semi"))
         if by.choose is not None:
-            ask = materialize(offers.join(medium, "book_id", "left_semi"), "offers")
+            ask = many(offers.join(medium, "book_id", "left_semi"), "offers")
             if not ask.isEmpty():
                 picked, refused, said = _choose(ask, titled, by.choose, options, take)
                 parts.append(picked.select("book_id", F.lit("match").alias("route"), _found(picked), "score", F.lit(False).alias("by_isbn")))
                 parts.append(_told(refused, "waiting", kind))
                 notes.append(said)
                 reasons = refused
-    decided = materialize(reduce(DataFrame.unionByName, parts), "decided")
+    decided = many(reduce(DataFrame.unionByName, parts), "decided")
     decided = decided.unionByName(_told(books.join(decided, "book_id", "left_anti"), "unverified", kind))
     return _explained(decided, trails, notes, reasons, options)
 
@@ -147,7 +147,7 @@ def _explained(decided: DataFrame, trails: list[DataFrame], notes: list[DataFram
     if reasons is not None:
         why = why.unionByName(reasons).groupBy("book_id").agg(F.array_join(F.collect_list("reason"), "; ").alias("reason"))
     for more in (tried, why, *notes):
-        decided = decided.join(more, "book_id", "left")
+        decided = decided.join(more.hint("merge"), "book_id", "left")
     kinds = {"near": "struct<title:string,source:string,score:double>", "said": "struct<pick:int,confidence:double,reason:string>"}
     for name, kind in kinds.items():
         if name not in decided.columns:
@@ -175,7 +175,7 @@ def _choose(offers: DataFrame, books: DataFrame, model: Model, options: Options,
     listed = numbered.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("__n", "line"))).alias("lines"), F.count("*").cast("int").alias("n"))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     prompt = F.concat(F.lit("file="), name, F.lit("; title="), F.col("title"), F.lit("\n"), replies.numbered(F.transform("lines", lambda x: x["line"])))
-    calls = materialize(listed.join(books.select("book_id", "title", "path"), "book_id").select("book_id", "path", "n", prompt.alias("prompt")), "calls")
+    calls = many(listed.join(books.select("book_id", "title", "path"), "book_id").select("book_id", "path", "n", prompt.alias("prompt")), "calls")
     given = take(calls.count())
     # As few rows as a day has calls.
     granted = calls.orderBy("path", "book_id").limit(given)
@@ -207,12 +207,12 @@ def spelled(decided: DataFrame, memory: Memory) -> tuple[DataFrame, DataFrame]:
         F.col("found.series").alias("name"), F.col("found.series_id").alias("identity"),
     )
     names = authors.unionByName(series).withColumn("pos", F.struct("path", "place"))
-    resolved = materialize(state.resolve_names(names, memory.names, memory.overrides), "names")
+    resolved = many(state.resolve_names(names, memory.names, memory.overrides), "names")
     told = resolved.groupBy("book_id").agg(
         F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "author", F.struct("place", "spelling")))), lambda x: x["spelling"]).alias("__authors"),
         F.max(F.when(F.col("kind") == "series", F.col("spelling"))).alias("__series"),
     )
-    met = decided.join(told, "book_id", "left")
+    met = decided.join(told.hint("merge"), "book_id", "left")
     any_author = F.size("__authors") > 0
     found = (
         F.col("found")
@@ -259,7 +259,7 @@ def genres(decided: DataFrame, memory: Memory, model: Model | None, options: Opt
 def plan(books: DataFrame, decided: DataFrame, wanted: DataFrame, options: Options, covers=None) -> DataFrame:
     """Books with ``edits``, ``genres``, ``cover`` and ``changes``: what would be written. A dry
     run fetches no cover, and tells of the one that is wanted."""
-    rows = books.join(decided, "book_id").join(wanted, "book_id", "left")
+    rows = books.join(decided, "book_id").join(wanted.hint("merge"), "book_id", "left")
     file = [F.col(n).alias(f"file_{n}") for n in (*merge.FIELDS, "unverified", "has_cover")]
     found = [F.col(f"found.{n}").alias(f"found_{n}") for n in (*merge.FIELDS, "cover", "source")]
     keep = ["book_id", "path", "route", "score", "by_isbn", "subjects", "wanted"]
@@ -293,28 +293,28 @@ def correct(
     is as it was. ``take`` grants the calls of a model, of both kinds.
     """
     take = state.in_all(options.daily_calls) if take is None else take
-    read = materialize(
+    read = many(
         epub.read_books(listed.filter(delivery.is_book(F.col("path")))).withColumn("book_id", F.xxhash64("path")), "books"
     )
     books = read.filter("error is null")
-    decided = materialize(decide(books.drop("error"), by, options, take), "decisions")
+    decided = many(decide(books.drop("error"), by, options, take), "decisions")
     decided, taught = spelled(decided.join(books.select("book_id", "path"), "book_id"), memory)
-    decided = materialize(decided, "spelled")
+    decided = many(decided, "spelled")
     wanted, mapped = genres(decided.filter("found is not null"), memory, by.map_genre, options, take)
-    planned = materialize(plan(books, decided.drop("path"), wanted, options, by.covers), "planned")
+    planned = many(plan(books, decided.drop("path"), wanted, options, by.covers), "planned")
     moved = planned.filter(F.size("changes") > 0)
     key = state.book_key(F.col("file_isbn"), F.col("file_title"), F.col("file_authors")).alias("key")
     told = planned.select("path", "score", F.col("found_source").alias("source"), F.col("found_title").alias("title"), key, "changes")
     routes = read.join(decided.select("book_id", "route", "outcome"), "book_id", "left").select(
         "path", F.coalesce("route", F.lit("unread")).alias("route"), "outcome", F.col("error").alias("problem")
     )
-    rows = listed.join(routes, "path", "left").join(told, "path", "left")
+    rows = listed.join(routes.hint("merge"), "path", "left").join(told.hint("merge"), "path", "left")
     rows = rows.withColumn("changes", F.coalesce("changes", F.array().cast(planned.schema["changes"].dataType)))
     rows = rows.withColumn("line", merge.audit_line(F.col("name"), F.coalesce("route", F.lit("no book")), F.col("source"), F.col("score"), F.col("outcome"), F.col("problem")))
     if not options.dry_run:
         new = epub.rewritten(moved.join(listed.select("path", "content"), "path"))
         written = new.select("path", F.col("content").alias("__new"), F.col("error").alias("__error"))
-        rows = rows.join(written, "path", "left")
+        rows = rows.join(written.hint("merge"), "path", "left")
         rows = rows.withColumn("kept", F.col("__new").isNotNull() & F.col("__error").isNull())
         rows = rows.withColumn("original", F.when(F.col("kept"), F.col("content")))
         rows = rows.withColumn("content", F.when(F.col("kept"), F.col("__new")).otherwise(F.col("content"))).drop("__new", "__error")

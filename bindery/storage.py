@@ -144,6 +144,12 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return kept
 
 
+def many(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for a table with a row per book: joins of it are merged. Its files may be
+    small, as columns repeat, while their rows would not fit the driver that broadcasts them."""
+    return materialize(df, label).hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     remove(df.sparkSession, df.written_to)

@@ -68,3 +68,15 @@ def test_confidences_are_rounded_as_sql_rounds_them(spark, tmp_path):
     told = [(0, 1, "view", 285.0), (2, 1, "purchase", 284.0), (4, 2, "view", 145.0), (5, 2, "click", 140.0), (7, 3, "click", 1005.0), (8, 3, "view", 1001.0)]
     events = spark.createDataFrame(told, "event_id long, user_id long, event_type string, value double")
     against_sql(spark, tmp_path, "match_best_wins", events=events)
+
+
+def test_a_pass_broadcasts_no_table_of_books(spark, tmp_path):
+    told = spark._jsparkSession.sharedState().statusStore()
+    before = told.executionsCount()
+    against_sql(spark, tmp_path, "correction_pass", part=parts(spark, 24))
+    ran = [told.executionsList(before, 1000).apply(n) for n in range(told.executionsList(before, 1000).size())]
+    plans = [told.planGraph(e.executionId()).allNodes() for e in ran]
+    joins = [nodes.apply(n).desc() for nodes in plans for n in range(nodes.size()) if nodes.apply(n).name().endswith("Join")]
+    # Lists of genres are short; a book's rows meet by these.
+    by_book = [j for j in joins if "[book_id#" in j or "[path#" in j]
+    assert by_book and not [j for j in by_book if j.startswith("Broadcast")]
